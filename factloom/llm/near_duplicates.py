@@ -5,11 +5,11 @@ threshold. The result is exact.
 
 1. Records with the same set of words fall into one class, so copies are compared once.
 2. Classes are partitioned into small groups of similar sets: three min-hashes agree, and a group that the count sketch shows to
-   be large is split by a hash of the class. Of each group the matrix keeps its token union and its common tokens, hashed to 64
+   be large is split by a hash of the class. Of each group the matrix keeps its token union, hashed to 128
    columns, with the smallest and largest set size.
-3. A group meets another only through a word: each set sends its rarest words (a prefix that must hold one word of every
-   similar set). Where two groups meet, the columns bound the similarity of any two of their sets, and only pairs of groups
-   whose bound reaches the threshold are opened.
+3. A set, as a query, meets a group only through a word: each sends its rarest words (a prefix that must hold one word of every
+   similar set). Where they meet, the columns bound how many of the query's words any set of the group can have, and only
+   groups whose bound reaches the threshold are opened.
 4. In the opened groups, and inside each group, the sets themselves are compared.
 
 No step compares all pairs of a namespace, and what is broadcast is a sketch of fixed size. A namespace with a third of all
@@ -47,8 +47,10 @@ def group_of(h: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(b"".join(int((h * o).min()).to_bytes(8, "big") for o in ODD))
 
 
-def columns_of(h: np.ndarray) -> int:
-    return int(np.bitwise_or.reduce(np.uint64(1) << (h & np.uint64(63))))
+def columns_of(h: np.ndarray) -> tuple[int, int]:
+    """The 128 columns of the matrix that a set fills, in two halves."""
+    bit, upper = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(1) == 1
+    return int(np.bitwise_or.reduce(bit[~upper])) if not upper.all() else 0, int(np.bitwise_or.reduce(bit[upper])) if upper.any() else 0
 
 
 def packed(h: np.ndarray) -> bytes:
@@ -76,7 +78,7 @@ def _statistics(rows: DataFrame) -> np.ndarray:
     return sketch(rows, of, 2 << SKETCH_BITS)
 
 
-FEATURES = "id string, g long, ca long, cb long, sa long, sb long, n int, bits long, toks binary, fresh boolean"
+FEATURES = "id string, g long, ca long, cb long, sa long, sb long, n int, b1 long, b2 long, toks binary, fresh boolean"
 
 
 def features(rows: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -107,10 +109,10 @@ def features(rows: DataFrame, counts: np.ndarray) -> DataFrame:
                 fresh = (ca, cb) not in seen
                 seen.add((ca, cb))
                 sa, sb = halves(" ".join(found).encode("utf-8", "surrogatepass"))
-                out.append((i, signed(g), ca, cb, sa, sb, len(h), signed(columns_of(h)), packed(h[order]), fresh))
-            cols = list(zip(*out)) if out else [[]] * 10
-            types = [pa.string(), *[pa.int64()] * 5, pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "g", "ca", "cb", "sa", "sb", "n", "bits", "toks", "fresh"])
+                out.append((i, signed(g), ca, cb, sa, sb, len(h), *map(signed, columns_of(h)), packed(h[order]), fresh))
+            cols = list(zip(*out)) if out else [[]] * 11
+            types = [pa.string(), *[pa.int64()] * 5, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "g", "ca", "cb", "sa", "sb", "n", "b1", "b2", "toks", "fresh"])
 
     return rows.mapInArrow(make, FEATURES)
 
@@ -145,20 +147,28 @@ def _similar(num: int, den: int):  # noqa: ANN202
 def class_pairs(feats: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different classes (xa, xb), (ya, yb) whose similarity reaches the threshold, each once."""
     num, den = exact(threshold)
-    member = F.struct("ca", "cb", "toks")
     groups = (
-        feats.filter("fresh").select("g", "ca", "cb", "n", "bits", "toks").repartition("g")
-        .groupBy("g", "ca", "cb").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("toks").alias("toks"))
-        .groupBy("g").agg(F.collect_list(member).alias("members"), F.bit_or("bits").alias("uni"), F.bit_and("bits").alias("core"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+        feats.filter("fresh").select("g", "ca", "cb", "n", "b1", "b2", "toks").repartition("g")
+        .groupBy("g", "ca", "cb").agg(F.first(F.struct("n", "b1", "b2", "toks")).alias("m"))
+        .groupBy("g").agg(F.collect_list(F.struct("ca", "cb", "m.n", "m.b1", "m.b2", "m.toks")).alias("members"))
     ).persist()
-    # The prefix of each member, in KEPT-byte slices; a group sends the union of its members' prefixes.
-    prefix = F.expr(f"array_distinct(flatten(transform(members, m -> transform(sequence(0, cast(length(m.toks) div {KEPT} - ceil({num} * (length(m.toks) div {KEPT}) / {den}) as int)), i -> xxhash64(substring(m.toks, i * {KEPT} + 1, {KEPT}))))))")
-    rows = groups.select(F.explode(prefix).alias("key"), "g", "uni", "core", (F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("size"))
+    # Every set is a query and sends its prefix, in KEPT-byte slices; a group of several is a target besides and sends the union
+    # of its members' prefixes. `size` holds the smallest and the largest set and what the row is: 1 query, 2 target, 3 both.
+    lead = f"transform(sequence(0, cast(m.n - ceil({num} * m.n / {den}) as int)), i -> xxhash64(substring(m.toks, i * {KEPT} + 1, {KEPT})))"
+    pack = "named_struct('key', k, 'b1', {0}, 'b2', {1}, 'size', shiftleft(cast({2} as long), 34) + shiftleft(cast({3} as long), 4) + {4})".format
+    union = "aggregate(members, 0L, (x, m) -> x | m.{0})".format
+    queries = f"flatten(transform(members, m -> transform({lead}, k -> {pack('m.b1', 'm.b2', 'm.n', 'm.n', 'if(size(members) = 1, 3, 1)')})))"
+    targets = f"transform(array_distinct(flatten(transform(members, m -> {lead}))), k -> {pack(union('b1'), union('b2'), 'array_min(members.n)', 'array_max(members.n)', '2')})"
+    rows = groups.selectExpr("g", f"inline(if(size(members) = 1, {queries}, concat({queries}, {targets})))")
     a, b = rows.alias("a"), rows.alias("b")
-    lo, hi = (lambda s: F.shiftright(f"{s}.size", 32)), (lambda s: F.col(f"{s}.size").bitwiseAND(F.lit(0xFFFFFFFF)))
-    lost = lambda s, o: F.bit_count(F.col(f"{s}.core").bitwiseAND(F.bitwise_not(f"{o}.uni")))
-    bound = lambda s, o: den * (hi(s) - lost(s, o)) >= num * (hi(s) + lost(o, s))
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.g") < F.col("b.g")) & (den * hi("a") >= num * lo("b")) & (den * hi("b") >= num * lo("a")) & bound("a", "b") & bound("b", "a")
+    kind = lambda s: F.col(f"{s}.size").bitwiseAND(F.lit(3))
+    lo, hi = (lambda s: F.shiftright(f"{s}.size", 34)), (lambda s: F.shiftright(f"{s}.size", 4).bitwiseAND(F.lit((1 << 30) - 1)))
+    lost = lambda s, o: sum(F.bit_count(F.col(f"{s}.{c}").bitwiseAND(F.bitwise_not(f"{o}.{c}"))) for c in ("b1", "b2"))
+    once = F.when(kind("b") == 2, (kind("a") == 3) | ((kind("a") == 1) & (F.col("a.g") < F.col("b.g")))).otherwise((kind("a") == 3) & (kind("b") == 3) & (F.col("a.g") < F.col("b.g")))
+    sizes = (den * hi("a") >= num * lo("b")) & (den * hi("b") >= num * lo("a"))
+    # Of a query's words those in columns that the target lacks aren't in any of its sets; between two sets it holds both ways.
+    bound = (den * (hi("a") - lost("a", "b")) >= num * hi("a")) & ((kind("b") == 2) | ((den * (hi("a") - lost("a", "b")) >= num * (hi("a") + lost("b", "a"))) & (den * (hi("b") - lost("b", "a")) >= num * (hi("b") + lost("a", "b")))))
+    meet = (F.col("a.key") == F.col("b.key")) & once & sizes & bound
     opened = a.join(b.hint("merge"), meet).select(F.col("a.g").alias("g"), F.col("b.g").alias("h")).distinct()
     ready = opened.join(groups.select("g", "members"), "g").select("h", "members").join(groups.select(F.col("g").alias("h"), F.col("members").alias("others")), "h").select("members", "others")
     schema = "xa long, xb long, ya long, yb long"

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from factloom.llm.conversations import conversations
 from factloom.llm.format_copies import format_copies
+from factloom.llm.history_dedup import known_rows
+from factloom.llm.mixing import mix
 from factloom.llm.near_duplicates import near_duplicate_pairs
+from factloom.llm.packing import containers, unused_space
 from factloom.llm.shared_spans import shared_spans
 from factloom.llm.top_n import top_records
 
@@ -34,6 +37,30 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_copies(_live(spark, sf_dir))[1]
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return known_rows(_live(spark, sf_dir), _t(spark, sf_dir, "memory_batch"))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "container_kind"))
+
+
+def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unused_space(p6_containers(spark, sf_dir))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_target"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_target"))[1]
+
+
+def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_copies(_live(spark, sf_dir))[0]
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(_t(spark, sf_dir, "message")).select("session_id", "turn_no", "message_id")
 
@@ -43,7 +70,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_found": p8_found}
+    found = [p1_found, p2_found, p3_found, p3_kept, p4_found, p5_found, p6_containers, p6_unused, p7_mix, p7_shares, p8_found]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
