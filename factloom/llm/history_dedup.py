@@ -1,6 +1,6 @@
 """New batches checked against all that was accepted before, by bit-difference fingerprints in rotated block tables.
 
-Every record has a 64-bit fingerprint in which each of its distinct words flips one bit, so two fingerprints differ in at most as
+Every record has a 112-bit fingerprint in which each of its distinct words flips one bit, so two fingerprints differ in at most as
 many bits as their records differ in words: a pair whose bits differ more than the threshold allows can't be similar. Records are
 found by *blocks*: the words of a record from the rarest on, rotated so that each of the first ones leads one row of the block
 table, as many as must hold one word of every similar record. A new record looks up its own blocks, the matches are held against
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from factloom.llm.near_duplicates import KEPT, packed, scope_of, scoped
 from factloom.llm.words import SKETCH_BITS, WordHasher, exact, halves, signed, sketch, slots, words
 
-FINGERPRINT = "ca long, cb long, n int, fp long, toks binary, fresh boolean"
+FINGERPRINT = "ca long, cb long, n int, f1 long, f2 long, toks binary, fresh boolean"
+#: The largest set size that the lower 16 bits of f2 tell exactly.
+MOST = 0xFFFF
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
@@ -34,9 +36,13 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
-def bits_of(h: np.ndarray) -> int:
-    """Each hash flips one of 64 bits."""
-    return int(np.bitwise_xor.reduce(np.uint64(1) << (h & np.uint64(63))))
+def bits_of(h: np.ndarray) -> tuple[int, int]:
+    """Each hash flips one of 112 bits: 64 in the first half, 48 in the upper part of the second, whose lower part is the size."""
+    at = ((h >> np.uint64(20)) % np.uint64(112)).astype(np.uint64)
+    low = at < 64
+    f1 = int(np.bitwise_xor.reduce(np.uint64(1) << at[low])) if low.any() else 0
+    f2 = int(np.bitwise_xor.reduce(np.uint64(1) << (at[~low] - np.uint64(48)))) if not low.all() else 0
+    return f1, f2 | min(len(h), MOST)
 
 
 def word_order(rows: DataFrame) -> np.ndarray:
@@ -57,7 +63,7 @@ def fingerprints(rows: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
     kept = [c for c in rows.columns if c not in ("ns", "text")]
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), FINGERPRINT])
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, hasher, seen, scopes = shared.value, WordHasher(), set(), {}
@@ -66,7 +72,7 @@ def fingerprints(rows: DataFrame, counts: np.ndarray) -> DataFrame:
             for ns, text in zip(b.column("ns").to_pylist(), b.column("text").to_pylist()):
                 found = set(words(text))
                 if not found:
-                    out.append((None, None, None, None, None, False))
+                    out.append((None, None, None, None, None, None, False))
                     continue
                 if (scope := scopes.get(ns)) is None:
                     if len(scopes) > 100_000:
@@ -79,9 +85,9 @@ def fingerprints(rows: DataFrame, counts: np.ndarray) -> DataFrame:
                     seen.clear()
                 fresh = (ca, cb) not in seen
                 seen.add((ca, cb))
-                out.append((ca, cb, len(h), signed(bits_of(h)), packed(h[np.lexsort((h, df[slots(plain)]))]), fresh))
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(cols, types))], names=[*kept, "ca", "cb", "n", "fp", "toks", "fresh"])
+                out.append((ca, cb, len(h), *map(signed, bits_of(h)), packed(h[np.lexsort((h, df[slots(plain)]))]), fresh))
+            cols = list(zip(*out)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(cols, types))], names=[*kept, "ca", "cb", "n", "f1", "f2", "toks", "fresh"])
 
     return rows.mapInArrow(make, schema)
 
@@ -89,7 +95,7 @@ def fingerprints(rows: DataFrame, counts: np.ndarray) -> DataFrame:
 def blocks(prints: DataFrame, num: int, den: int) -> DataFrame:
     """The block table: one row for each leading word of each class."""
     lead = F.expr(f"transform(sequence(0, cast(n - ceil({num} * n / {den}) as int)), i -> xxhash64(substring(toks, i * {KEPT} + 1, {KEPT})))")
-    return prints.filter("fresh").select(F.explode(lead).alias("key"), "ca", "cb", "n", "fp")
+    return prints.filter("fresh").select(F.explode(lead).alias("key"), "ca", "f1", "f2")
 
 
 def _verify(num: int, den: int):  # noqa: ANN202
@@ -109,15 +115,17 @@ def _verify(num: int, den: int):  # noqa: ANN202
 
 def similar_classes(new: DataFrame, old: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of a class of `new` (xa, xb) and another of `old` (ya, yb) that are similar, by block, bit difference and words."""
-    x = blocks(new, num, den).select("key", F.col("ca").alias("xa"), F.col("cb").alias("xb"), F.col("n").alias("xn"), F.col("fp").alias("xf"))
-    y = blocks(old, num, den).select(F.col("key").alias("k"), F.col("ca").alias("ya"), F.col("cb").alias("yb"), F.col("n").alias("yn"), F.col("fp").alias("yf"))
-    sizes = (den * F.col("xn") >= num * F.col("yn")) & (den * F.col("yn") >= num * F.col("xn"))
-    differ = F.bit_count(F.col("xf").bitwiseXOR(F.col("yf"))) * (num + den) <= (den - num) * (F.col("xn") + F.col("yn"))
-    other = (F.col("xa") != F.col("ya")) | (F.col("xb") != F.col("yb"))
-    met = x.join(y.hint("merge"), (F.col("key") == F.col("k")) & sizes & differ & other).select("xa", "xb", "ya", "yb").distinct()
+    # The table carries half of a class's hash; classes that share it are told apart when their words are compared.
+    x = blocks(new, num, den).select(F.col("key"), F.col("ca").alias("xa"), F.col("f1").alias("x1"), F.col("f2").alias("x2"))
+    y = blocks(old, num, den).select(F.col("key").alias("k"), F.col("ca").alias("ya"), F.col("f1").alias("y1"), F.col("f2").alias("y2"))
+    xn, yn = F.col("x2").bitwiseAND(F.lit(MOST)), F.col("y2").bitwiseAND(F.lit(MOST))
+    bits = F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) + F.bit_count(F.shiftrightunsigned(F.col("x2").bitwiseXOR(F.col("y2")), 16))
+    near = (den * xn >= num * yn) & (den * yn >= num * xn) & (bits * (num + den) <= (den - num) * (xn + yn))
+    huge = (xn == MOST) | (yn == MOST)
+    met = x.join(y.hint("merge"), (F.col("key") == F.col("k")) & (near | huge) & (F.col("xa") != F.col("ya"))).select("xa", "ya").distinct()
     tx = new.filter("fresh").select(F.col("ca").alias("xa"), F.col("cb").alias("xb"), F.col("toks").alias("tx"))
     ty = old.filter("fresh").select(F.col("ca").alias("ya"), F.col("cb").alias("yb"), F.col("toks").alias("ty"))
-    ready = met.join(tx, ["xa", "xb"]).join(ty.hint("merge"), ["ya", "yb"])
+    ready = met.join(tx, "xa").join(ty.hint("merge"), "ya")
     return ready.select("xa", "xb", "ya", "yb", "tx", "ty").mapInArrow(_verify(num, den), "xa long, xb long, ya long, yb long").distinct()
 
 
@@ -208,5 +216,5 @@ class FingerprintStore:
         counts = np.frombuffer(self.spark.read.parquet(f"{self.path}/order").first()["counts"], dtype=np.int64)
         new = fingerprints(batch_rows(batch), counts).persist()
         cases = find_cases(self.spark.read.parquet(f"{self.path}/prints"), new, self.threshold).checkpoint()
-        new.join(cases, "row_id", "left_anti").select("ref", "ca", "cb", "n", "fp", "toks", F.col("n").isNotNull().alias("fresh")).write.mode("append").parquet(f"{self.path}/prints")
+        new.join(cases, "row_id", "left_anti").select("ref", "ca", "cb", "n", "f1", "f2", "toks", F.col("n").isNotNull().alias("fresh")).write.mode("append").parquet(f"{self.path}/prints")
         return cases
