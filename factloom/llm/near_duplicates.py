@@ -31,6 +31,8 @@ from factloom.llm.words import SKETCH_BITS, WordHasher, exact, halves, prefix_le
 
 #: Bytes that are kept of a word's hash when sets are compared.
 KEPT = 5
+#: From so many sets on a group is one target.
+UNION_OF = 4
 #: A group is split when the sketch counts more rows in it than this.
 GROUP_ROWS = 48
 #: Min-hashes that must agree for two sets to share a group. Sets that share a tenth of their words do so once in 10**6 pairs, so
@@ -119,6 +121,44 @@ def features(rows: DataFrame, counts: np.ndarray) -> DataFrame:
     return rows.mapInArrow(make, FEATURES)
 
 
+def _matrix(num: int, den: int):  # noqa: ANN202
+    """The rows by which sets and groups meet: key, group, columns, and size, which holds the smallest and the largest set and
+    what the row is: 1 a query, 2 a target, 3 both.
+
+    Every set is a query and sends its prefix. The sets of a small group are targets themselves, a larger group is one target
+    that sends its token union and the union of the prefixes.
+    """
+    weights = (np.uint64(1) << (np.uint64(8) * np.arange(KEPT - 1, -1, -1, dtype=np.uint64))).astype(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, fixed_, counts = [], [], []
+            for g, members in zip(batch.column("g").to_pylist(), batch.column("members").to_pylist()):
+                many, union = len(members) >= UNION_OF, []
+                for m in members:
+                    n = m["n"]
+                    lead = np.frombuffer(m["toks"], dtype=np.uint8, count=KEPT * prefix_length(n, num, den)).reshape(-1, KEPT)
+                    union.append(lead)
+                    keys.append(lead)
+                    fixed_.append((g, m["b1"], m["b2"], (n << 34) + (n << 4) + (1 if many else 3)))
+                    counts.append(len(lead))
+                if many:
+                    lead = np.unique(np.concatenate(union), axis=0)
+                    b1 = b2 = 0
+                    for m in members:
+                        b1, b2 = b1 | m["b1"], b2 | m["b2"]
+                    keys.append(lead)
+                    fixed_.append((g, b1, b2, (min(m["n"] for m in members) << 34) + (max(m["n"] for m in members) << 4) + 2))
+                    counts.append(len(lead))
+            if not keys:
+                continue
+            key = (np.concatenate(keys).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            cols = [np.repeat(np.array(c, dtype=np.int64), counts) for c in zip(*fixed_)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), *cols)], names=["key", "g", "b1", "b2", "size"])
+
+    return run
+
+
 def _similar(num: int, den: int):  # noqa: ANN202
     """Compares the sets of the members of opened groups; pairs of classes that are similar come out, the smaller class first."""
 
@@ -149,19 +189,14 @@ def _similar(num: int, den: int):  # noqa: ANN202
 def class_pairs(feats: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different classes (xa, xb), (ya, yb) whose similarity reaches the threshold, each once."""
     num, den = exact(threshold)
+    # A fixed number of partitions, so that the joins by g below find the stored groups where they are.
+    parts = int(feats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = (
-        feats.filter("fresh").select("g", "ca", "cb", "n", "b1", "b2", "toks").repartition("g")
+        feats.filter("fresh").select("g", "ca", "cb", "n", "b1", "b2", "toks").repartition(parts, "g")
         .groupBy("g", "ca", "cb").agg(F.first(F.struct("n", "b1", "b2", "toks")).alias("m"))
         .groupBy("g").agg(F.collect_list(F.struct("ca", "cb", "m.n", "m.b1", "m.b2", "m.toks")).alias("members"))
     ).persist()
-    # Every set is a query and sends its prefix, in KEPT-byte slices; a group of several is a target besides and sends the union
-    # of its members' prefixes. `size` holds the smallest and the largest set and what the row is: 1 query, 2 target, 3 both.
-    lead = f"transform(sequence(0, cast(m.n - ceil({num} * m.n / {den}) as int)), i -> xxhash64(substring(m.toks, i * {KEPT} + 1, {KEPT})))"
-    pack = "named_struct('key', k, 'b1', {0}, 'b2', {1}, 'size', shiftleft(cast({2} as long), 34) + shiftleft(cast({3} as long), 4) + {4})".format
-    union = "aggregate(members, 0L, (x, m) -> x | m.{0})".format
-    queries = f"flatten(transform(members, m -> transform({lead}, k -> {pack('m.b1', 'm.b2', 'm.n', 'm.n', 'if(size(members) = 1, 3, 1)')})))"
-    targets = f"transform(array_distinct(flatten(transform(members, m -> {lead}))), k -> {pack(union('b1'), union('b2'), 'array_min(members.n)', 'array_max(members.n)', '2')})"
-    rows = groups.selectExpr("g", f"inline(if(size(members) = 1, {queries}, concat({queries}, {targets})))")
+    rows = groups.mapInArrow(_matrix(num, den), "key long, g long, b1 long, b2 long, size long")
     a, b = rows.alias("a"), rows.alias("b")
     kind = lambda s: F.col(f"{s}.size").bitwiseAND(F.lit(3))
     lo, hi = (lambda s: F.shiftright(f"{s}.size", 34)), (lambda s: F.shiftright(f"{s}.size", 4).bitwiseAND(F.lit((1 << 30) - 1)))
