@@ -1,15 +1,552 @@
-"""The named queries of the core and the SQL each is compared with."""
+"""The named queries of the core over the test tables, and the SQL each is compared with."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from factloom.functions import fixed, policy
+from factloom.functions import text as T
+from factloom.operators import consolidate, mining, records, render, search
+from factloom.plans import sql as Q
+from factloom.sources import sync
+from factloom.streaming import sessions
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+TERMS = "cache queue timeout"
+PROJECT = "project:relay-core"
+QUERIES: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = (fn, sql)
+        return fn
+
+    return add
+
+
+def now() -> F.Column:
+    """The present of the test tables."""
+    return F.timestamp_micros(F.lit(Q.NOW_US))
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "memory")
+
+
+def micros(col: str) -> F.Column:
+    return F.unix_micros(col)
+
+
+# Retrieval
+
+
+@query(f"""{Q.bm25(TERMS)} SELECT id, round(bm25, 6) AS bm25 FROM scored ORDER BY bm25 DESC, id LIMIT 20""")
+def recall_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(memory(spark, sf_dir), TERMS).orderBy(F.col("bm25").desc(), "id").limit(20).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"""{Q.bm25(TERMS)}, {Q.tier('one', f"namespace = '{PROJECT}'", 10, fixed.RECALL_FLOOR)} SELECT id, namespace, round(score, 4) AS score, round(confidence, 3) AS confidence FROM one""")
+def recall_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.recall(memory(spark, sf_dir), TERMS, now(), PROJECT, 10)
+
+
+@query(f"""{Q.bm25(TERMS)}, {Q.tier('one', f"namespace = '{PROJECT}'", 5, fixed.RECALL_FLOOR)}, {Q.tier('two', f"namespace = '{fixed.GLOBAL_NAMESPACE}'", 3, fixed.RECALL_FLOOR)}
+SELECT id, namespace, round(score, 4) AS score, round(confidence, 3) AS confidence, 1 AS tier FROM one
+UNION ALL SELECT id, namespace, round(score, 4), round(confidence, 3), 2 FROM two WHERE id NOT IN (SELECT id FROM one)""")
+def recall_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.recall_tiers(memory(spark, sf_dir), TERMS, now(), PROJECT)
+
+
+@query(f"""{Q.bm25('no relay')}, {Q.tier('one', 'true', 10, 0.0)} SELECT id, namespace, round(score, 4) AS score, round(confidence, 3) AS confidence FROM one""")
+def search_floor0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.recall(memory(spark, sf_dir), "no relay", now(), None, 10, 0.0)
+
+
+@query("""WITH w AS (SELECT unnest(regexp_extract_all(lower(concat_ws(' ', content, tags, namespace)), '[a-z0-9]+')) AS term, id FROM memory)
+SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM w GROUP BY term""")
+def postings_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.postings(memory(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"""WITH r AS (SELECT id, namespace, type, confidence, ingestion_ts FROM memory WHERE superseded_at IS NULL AND confidence >= {fixed.RECENT_FLOOR} AND NOT isnan(confidence)),
+a AS (SELECT * FROM r WHERE namespace = '{PROJECT}' ORDER BY ingestion_ts DESC NULLS LAST, id LIMIT 5), b AS (SELECT * FROM r WHERE namespace = '{fixed.GLOBAL_NAMESPACE}' ORDER BY ingestion_ts DESC NULLS LAST, id LIMIT 3)
+SELECT id, namespace, type, round(confidence, 3) AS confidence, 1 AS tier FROM a UNION ALL SELECT id, namespace, type, round(confidence, 3), 2 FROM b WHERE id NOT IN (SELECT id FROM a)""")
+def recent_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.recent_tiers(memory(spark, sf_dir), PROJECT)
+
+
+@query("""WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], (SELECT e FROM q)), 5) AS sim FROM embeddings ORDER BY list_inner_product(embedding::DOUBLE[], (SELECT e FROM q)) DESC, vec_id LIMIT 10""")
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = t(spark, sf_dir, "embeddings")
+    return search.nearest(v, vector(v, 0), 10).select("vec_id", F.round("sim", 5).alias("sim"))
+
+
+def vector(v: DataFrame, vec_id: int) -> list[float]:
+    row = v.filter(F.col("vec_id") == vec_id).select("embedding").first()
+    return [0.0] if row is None else row["embedding"]
+
+
+@query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS sim FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM p) SELECT query_id, id, rank, round(sim, 5) AS sim FROM r WHERE rank <= 5""")
+def knn_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search.nearest_many(v, v.filter("vec_id % 50 = 0"), 5).select("query_id", "id", "rank", F.round("sim", 5).alias("sim"))
+
+
+@query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, q.label = v.label AS same, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS sim FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM p), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM r WHERE rank <= 5 AND same AND sim >= 0.3)
+SELECT query_id, id AS dup_of, round(sim, 5) AS sim FROM h WHERE nth = 1""")
+def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the five nearest the first with the query's label at or above the threshold."""
+    v = t(spark, sf_dir, "embeddings")
+    near = search.nearest_many(v.select("vec_id", "embedding"), v.filter("vec_id % 50 = 0").select("vec_id", "embedding"), 5)
+    a, b = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), v.select(F.col("vec_id").alias("id"), F.col("label").alias("vl"))
+    hit = near.join(a, "query_id").join(b, "id").filter((F.col("ql") == F.col("vl")) & (F.col("sim") >= 0.3))
+    return hit.groupBy("query_id").agg(F.min_by("id", "rank").alias("dup_of"), F.round(F.min_by("sim", "rank"), 5).alias("sim"))
+
+
+@query("""WITH d AS (SELECT vec_id, list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS a, list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)) AS b FROM embeddings),
+l AS (SELECT vec_id, rank FROM (SELECT vec_id, row_number() OVER (ORDER BY a DESC, vec_id) AS rank FROM d) WHERE rank <= 50 UNION ALL SELECT vec_id, rank FROM (SELECT vec_id, row_number() OVER (ORDER BY b DESC, vec_id) AS rank FROM d) WHERE rank <= 50)
+SELECT vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf FROM l GROUP BY vec_id""")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = t(spark, sf_dir, "embeddings")
+    w = search.Window.orderBy(F.col("sim").desc(), F.col("vec_id"))
+    lists = [search.nearest(v, vector(v, i), 50).withColumn("rank", F.row_number().over(w)) for i in (0, 1)]
+    return search.fuse(*lists, id_col="vec_id").select("vec_id", F.round("rrf", 6).alias("rrf"))
+
+
+@query(Q.hybrid(TERMS))
+def hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = t(spark, sf_dir, "embeddings")
+    m = memory(spark, sf_dir)
+    vec = m.select("id", F.pmod(F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("long"), F.lit(500)).alias("vec_id")).join(v.select("vec_id", "embedding"), "vec_id").select("id", "embedding")
+    return search.hybrid(m, TERMS, vec, vector(v, 0), now(), 10)
+
+
+@query("""WITH e AS (SELECT id, count(*) FILTER (line_no % 2 = 0) AS r, max(arrived_ts) FILTER (line_no % 2 = 0) AS rt, count(*) FILTER (line_no % 2 = 1) AS s, max(arrived_ts) FILTER (line_no % 2 = 1) AS st FROM memory_batch GROUP BY id)
+SELECT m.id, coalesce(retrieval_count, 0) + coalesce(r, 0) AS retrieval_count, coalesce(surfaced_count, 0) + coalesce(s, 0) AS surfaced_count, epoch_us(greatest(last_retrieved, rt)) AS last_retrieved, epoch_us(greatest(last_surfaced, st)) AS last_surfaced FROM memory m LEFT JOIN e ON m.id = e.id""")
+def telemetry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = t(spark, sf_dir, "memory_batch").select("id", F.when(F.col("line_no") % 2 == 0, "explicit").otherwise("passive").alias("kind"), F.col("arrived_ts").alias("ts"))
+    return records.bump(memory(spark, sf_dir), events).select("id", "retrieval_count", "surfaced_count", micros("last_retrieved").alias("last_retrieved"), micros("last_surfaced").alias("last_surfaced"))
+
+
+# Filters, point access, statistics
+
+
+@query("SELECT id, namespace, type FROM memory WHERE superseded_at IS NULL")
+def live_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.live(memory(spark, sf_dir)).select("id", "namespace", "type")
+
+
+@query("""SELECT id, namespace, type, substr(content, 1, 80) AS preview, CASE WHEN superseded_at IS NULL THEN 'live' ELSE concat_ws(': ', 'superseded', supersede_reason) END AS status
+FROM memory WHERE namespace = 'user:global' ORDER BY ingestion_ts DESC NULLS LAST, id LIMIT 50""")
+def list_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.listing(memory(spark, sf_dir), fixed.GLOBAL_NAMESPACE, 50, True)
+
+
+@query("SELECT id, namespace, type, content, tags FROM memory WHERE id = (SELECT min(id) FROM memory)")
+def get_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = memory(spark, sf_dir)
+    return records.get(m, m.agg(F.min("id")).first()[0]).select("id", "namespace", "type", "content", "tags")
+
+
+@query("SELECT namespace, count(*) AS n FROM memory WHERE namespace IN ('user:global', 'USER:GLOBAL', 'project:lantern') GROUP BY namespace")
+def namespace_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.in_namespaces(memory(spark, sf_dir), ["user:global", "project:lantern"], {"USER:GLOBAL": "user:global", "a": "b"}).groupBy("namespace").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT type, count(*) AS n FROM memory WHERE superseded_at IS NULL AND confidence >= {fixed.RECALL_FLOOR} AND NOT isnan(confidence) GROUP BY type")
+def confidence_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.live(memory(spark, sf_dir)).filter(search.sure(fixed.RECALL_FLOOR)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT source_ref, max(source_hash) AS h FROM memory WHERE source_hash IS NOT NULL AND source_ref IS NOT NULL GROUP BY source_ref)
+SELECT id, coalesce(source_hash <> h, false) AS stale, round(CASE WHEN coalesce(source_hash <> h, false) THEN confidence * 0.5 ELSE confidence END, 6) AS confidence
+FROM memory m LEFT JOIN c ON m.source_ref = c.source_ref WHERE superseded_at IS NULL AND confidence BETWEEN 0 AND 1""")
+def staleness_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = memory(spark, sf_dir)
+    current = m.filter("source_hash is not null and source_ref is not null").groupBy("source_ref").agg(F.max("source_hash").alias("current_hash"))
+    return records.with_staleness(records.live(m).filter("confidence between 0 and 1"), current).select("id", "stale", F.round("confidence", 6).alias("confidence"))
+
+
+@query("""SELECT DISTINCT session_id FROM tool_usage WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT regexp_extract(source_ref, '^session:(.+)$', 1) FROM memory WHERE superseded_at IS NULL AND source_ref LIKE 'session:%')""")
+def lessons_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.lessons_missing(t(spark, sf_dir, "tool_usage").filter("session_id is not null"), memory(spark, sf_dir))
+
+
+@query("""SELECT id, namespace FROM memory WHERE superseded_at IS NULL AND coalesce(retrieval_count, 0) = 0 AND coalesce(surfaced_count, 0) = 0 AND signal = 'none' AND confidence < 0.35
+AND (ingestion_ts AT TIME ZONE 'UTC')::DATE < DATE '2026-01-01' - 30""")
+def prune_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.prune_candidates(memory(spark, sf_dir), now()).select("id", "namespace")
+
+
+@query(f"""WITH p AS (SELECT *, coalesce(retrieval_count, 0) + coalesce(surfaced_count, 0) AS uses, {Q.one_line('content')} AS line FROM memory WHERE superseded_at IS NULL AND type = 'lesson' AND signal IN ('test', 'compile', 'lint') AND confidence >= 0.85 AND coalesce(retrieval_count, 0) + coalesce(surfaced_count, 0) > 3),
+s AS (SELECT *, CASE WHEN regexp_extract(line, '^(.*?[.!?])(?:\\s|$)', 1) = '' THEN line ELSE regexp_extract(line, '^(.*?[.!?])(?:\\s|$)', 1) END AS sent,
+list_filter(list_transform({Q.tag_list('lower(tags)')}, lambda x: regexp_replace(regexp_replace(x, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), lambda x: x <> '')[1:4] AS sl FROM p)
+SELECT id, namespace, uses, confidence, CASE WHEN array_to_string(sl, '-') <> '' THEN array_to_string(sl, '-') ELSE substr(id, 1, 8) END AS slug,
+CASE WHEN length(sent) <= 220 THEN sent ELSE regexp_replace(substr(sent, 1, 220), '\\s+\\S*$', '') END AS trigger_line FROM s""")
+def promote_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.promote_candidates(memory(spark, sf_dir))
+
+
+@query(f"SELECT namespace, count(*) AS n FROM memory WHERE {Q.NEAR_MISS} GROUP BY namespace")
+def namespace_near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory(spark, sf_dir).filter(T.near_miss(F.col("namespace"))).groupBy("namespace").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, namespace, 'user:global' AS new_namespace FROM memory WHERE superseded_at IS NULL AND {Q.NEAR_MISS}")
+def rekey_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.rekey(memory(spark, sf_dir)).select("id", "namespace", "new_namespace")
+
+
+@query("""SELECT m.id, epoch_us(coalesce(superseded_at, b.ts)) AS superseded_at, CASE WHEN superseded_at IS NULL AND b.id IS NOT NULL THEN 'synced' ELSE supersede_reason END AS supersede_reason
+FROM memory m LEFT JOIN (SELECT id, max(arrived_ts) AS ts FROM memory_batch GROUP BY id) b ON m.id = b.id""")
+def supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = t(spark, sf_dir, "memory_batch").groupBy("id").agg(F.max("arrived_ts").alias("superseded_at")).withColumn("reason", F.lit("synced"))
+    return records.supersede(memory(spark, sf_dir), marks, now()).select("id", micros("superseded_at").alias("superseded_at"), "supersede_reason")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (superseded_at IS NULL) AS live, count(*) FILTER (superseded_at IS NOT NULL) AS superseded FROM memory")
+def stats_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.stats(memory(spark, sf_dir))
+
+
+@query("SELECT namespace, count(*) AS n FROM memory WHERE superseded_at IS NULL GROUP BY namespace")
+def stats_by_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.live_counts(memory(spark, sf_dir), "namespace")
+
+
+@query("SELECT signal, count(*) AS n FROM memory WHERE superseded_at IS NULL GROUP BY signal")
+def stats_by_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.live_counts(memory(spark, sf_dir), "signal")
+
+
+@query("""SELECT label, count(*) AS n, count(*) FILTER (embedding IS NOT NULL AND len(embedding) > 0) AS with_vector FROM embeddings GROUP BY label""")
+def embedding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = t(spark, sf_dir, "embeddings")
+    return v.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).alias("with_vector"))
+
+
+@query("""SELECT v.id FROM (SELECT id, CAST('0x' || substr(md5(id), 1, 6) AS BIGINT) % 700 AS vec_id FROM memory WHERE superseded_at IS NULL) v WHERE vec_id NOT IN (SELECT vec_id FROM embeddings)""")
+def reembed_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live rows whose vector is missing from the index."""
+    m = records.live(memory(spark, sf_dir)).select("id", F.pmod(F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("long"), F.lit(700)).alias("vec_id"))
+    return m.join(t(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", "left_anti").select("id")
+
+
+@query(f"SELECT count(DISTINCT namespace) AS n FROM memory WHERE {Q.NEAR_MISS}")
+def stranded_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory(spark, sf_dir).filter(T.near_miss(F.col("namespace"))).agg(F.count_distinct("namespace").alias("n"))
+
+
+@query("""SELECT live, round((live - 3000) / greatest(3000, 1), 6) AS growth, NOT (date_diff('day', DATE '2025-12-28', DATE '2026-01-01') < 7 AND (live - 3000) / greatest(3000, 1) < 0.2) AS due FROM (SELECT count(*) AS live FROM memory WHERE superseded_at IS NULL)""")
+def cadence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.cadence(memory(spark, sf_dir), F.lit("2025-12-28").cast("date"), now(), F.lit(3000))
+
+
+@query("""WITH s AS (SELECT 'batch-' || batch_no AS name, max(arrived_ts) AS mtime FROM memory_batch GROUP BY batch_no), r AS (SELECT name, row_number() OVER (ORDER BY mtime DESC NULLS LAST, name) AS nth FROM s) SELECT name FROM r WHERE nth > 3""")
+def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = t(spark, sf_dir, "memory_batch").groupBy(F.concat(F.lit("batch-"), "batch_no").alias("name")).agg(F.max("arrived_ts").alias("mtime"))
+    return records.retention(s, 3).select("name")
+
+
+@query("""SELECT a.total AS total_a, a.live AS live_a, a.total AS total_b, a.live AS live_b, true AS agrees FROM (SELECT count(*) AS total, count(*) FILTER (superseded_at IS NULL) AS live FROM memory) a""")
+def snapshot_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.agreement(memory(spark, sf_dir), memory(spark, sf_dir).select("id", "superseded_at"))
+
+
+# Text kernels and policy
+
+
+@query(f"SELECT id, md5({Q.norm('content')}) AS norm_md5 FROM memory")
+def content_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.with_norm(memory(spark, sf_dir)).select("id", F.md5(F.encode("content_norm", "UTF-8")).alias("norm_md5"))
+
+
+@query(f"SELECT id, len({Q.lexical('content')}) AS n, md5(array_to_string({Q.lexical('content')}, ' ')) AS toks_md5 FROM memory")
+def lexical_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = memory(spark, sf_dir).select("id", T.lexical_tokens(F.col("content")).alias("toks"))
+    return m.select("id", F.size("toks").cast("long").alias("n"), F.md5(F.encode(F.array_join("toks", " "), "UTF-8")).alias("toks_md5"))
+
+
+@query(f"SELECT id, {Q.negated('content')} AS negated FROM memory")
+def polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory(spark, sf_dir).select("id", T.negated(F.col("content")).alias("negated"))
+
+
+@query(f"SELECT doc_id, {Q.any_match('text', fixed.SECRETS)} AS has_secret, {Q.any_match('text', fixed.INJECTIONS)} AS has_injection FROM documents")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").select("doc_id", policy.has_secret(F.col("text")).alias("has_secret"), policy.has_injection(F.col("text")).alias("has_injection"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, concat('api_key = abcdefgh', doc_id, ' ', coalesce(text, '')) AS text FROM documents) SELECT doc_id, md5({Q.redact('text')}) AS text_md5 FROM d""")
+def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("api_key = abcdefgh"), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("text", F.lit("")))
+    return t(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(policy.redacted(text)[0], "UTF-8")).alias("text_md5"))
+
+
+@query(f"""WITH b AS (SELECT row_id, CASE WHEN row_id % 7 = 0 THEN content || ' token: abcdefghij' ELSE content END AS content, CASE WHEN row_id % 11 = 0 THEN 'password=hunter2hunter2' ELSE source_ref END AS source_ref, CASE WHEN row_id % 5 = 0 THEN tags || ',system prompt' ELSE tags END AS tags FROM memory_batch),
+o AS (SELECT *, CASE WHEN {Q.any_match("coalesce(source_ref, '')", fixed.SECRETS)} THEN 'refused' WHEN {Q.any_match("coalesce(content, '')", fixed.SECRETS)} OR {Q.any_match("coalesce(tags, '')", fixed.SECRETS)} THEN 'redacted' ELSE 'clean' END AS outcome FROM b),
+n AS (SELECT *, CASE WHEN outcome = 'redacted' THEN {Q.redact('content')} ELSE content END AS c2, CASE WHEN outcome = 'redacted' THEN {Q.with_tag(Q.redact('tags'), 'auto-redacted')} ELSE tags END AS t2 FROM o)
+SELECT row_id, outcome, md5(c2) AS content_md5, CASE WHEN {Q.any_match("concat_ws(' ', nullif(c2, ''), nullif(source_ref, ''), nullif(t2, ''))", fixed.INJECTIONS)} THEN {Q.with_tag('t2', 'prompt-injection-risk')} ELSE t2 END AS tags FROM n""")
+def capture_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = t(spark, sf_dir, "memory_batch").select(
+        "row_id", F.when(F.col("row_id") % 7 == 0, F.concat("content", F.lit(" token: abcdefghij"))).otherwise(F.col("content")).alias("content"),
+        F.when(F.col("row_id") % 11 == 0, "password=hunter2hunter2").otherwise(F.col("source_ref")).alias("source_ref"), F.when(F.col("row_id") % 5 == 0, F.concat("tags", F.lit(",system prompt"))).otherwise(F.col("tags")).alias("tags"),
+    )
+    return policy.capture(b, "auto").select("row_id", "outcome", F.md5(F.encode("new_content", "UTF-8")).alias("content_md5"), F.col("new_tags").alias("tags"))
+
+
+@query("""SELECT id, CASE WHEN ingestion_ts IS NULL THEN '' WHEN s < 0 THEN strftime(ingestion_ts AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS age
+FROM (SELECT id, ingestion_ts, 1767225600 - epoch_us(ingestion_ts) // 1000000 AS s FROM memory)""")
+def recency_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory(spark, sf_dir).select("id", T.age_text(F.col("ingestion_ts"), now()).alias("age"))
+
+
+@query("SELECT DISTINCT namespace, CASE WHEN strpos(substr(namespace, strpos(namespace, ':') + 1), '/') >= 0 THEN 'git.example.org/team/' || substr(namespace, strpos(namespace, ':') + 1) END AS remote FROM memory WHERE namespace LIKE 'project:%'")
+def remote_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remotes in ssh and http form, made from the project names, all come to the same key."""
+    name = F.substring_index("namespace", ":", -1)
+    url = F.when(F.length("namespace") % 2 == 0, F.concat(F.lit("git@GIT.example.org:team/"), name, F.lit(".git"))).otherwise(F.concat(F.lit("https://me:pw@git.example.org:8443/team/"), name, F.lit("/")))
+    return memory(spark, sf_dir).filter(F.col("namespace").startswith("project:")).select("namespace").distinct().select("namespace", T.remote_key(url).alias("remote"))
+
+
+# Dedup and consolidation
+
+
+@query(f"SELECT namespace, min(id) AS first_id, count(*) AS n FROM (SELECT namespace, id, {Q.norm('content')} AS norm FROM memory WHERE superseded_at IS NULL) GROUP BY namespace, norm HAVING count(*) > 1")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consolidate.exact_duplicates(memory(spark, sf_dir)).select("namespace", "first_id", "n")
+
+
+@query(f"""SELECT b.row_id, m.id AS dup_of FROM (SELECT row_id, namespace, {Q.norm('content')} AS norm FROM memory_batch) b JOIN (SELECT namespace, {Q.norm('content')} AS norm, min(id) AS id FROM memory WHERE superseded_at IS NULL GROUP BY 1, 2) m ON b.namespace = m.namespace AND b.norm = m.norm""")
+def known_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consolidate.known_duplicates(t(spark, sf_dir, "memory_batch"), memory(spark, sf_dir))
+
+
+@query(f"""WITH r AS (SELECT *, {Q.norm('content')} AS norm, {Q.SIGNAL_RANK} AS rank FROM memory WHERE superseded_at IS NULL AND confidence BETWEEN 0 AND 1)
+SELECT namespace, list(id ORDER BY ingestion_ts NULLS FIRST, id)[1] AS id, max(confidence) AS confidence, list(signal ORDER BY rank DESC, ingestion_ts NULLS FIRST, id)[1] AS signal,
+array_to_string(list_sort(list_distinct(flatten(list({Q.tag_list('tags')})))), ',') AS tags, list(coalesce(retrieval_count, 0) ORDER BY ingestion_ts NULLS FIRST, id)[1] + count(*) - 1 AS retrieval_count, count(*) AS folded FROM r GROUP BY namespace, norm""")
+def merge_on_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sync.with_norm(records.live(memory(spark, sf_dir)).filter("confidence between 0 and 1"))
+    return consolidate.merged_metadata(m, ["namespace", "content_norm"], ["ingestion_ts", "id"]).drop("content_norm")
+
+
+@query("""WITH r AS (SELECT id, row_number() OVER (PARTITION BY namespace ORDER BY coalesce(confidence, 0) * (coalesce(retrieval_count, 0) + coalesce(surfaced_count, 0)) DESC, confidence DESC NULLS LAST, ingestion_ts NULLS FIRST, id) AS place FROM memory WHERE superseded_at IS NULL AND (confidence IS NULL OR NOT isnan(confidence))) SELECT id, place FROM r WHERE place <= 20""")
+def candidate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.candidate_window(memory(spark, sf_dir).filter("not isnan(confidence) or confidence is null"), 20).select("id", "place")
+
+
+@query(f"""WITH s AS (SELECT namespace, id, {Q.lexical('content')} AS toks FROM memory WHERE superseded_at IS NULL), p AS (SELECT x.namespace, x.id AS a, y.id AS b, len(list_intersect(x.toks, y.toks)) AS i, len(x.toks) AS n, len(y.toks) AS m FROM s x JOIN s y ON x.namespace = y.namespace AND x.id < y.id AND len(x.toks) > 0 AND least(len(x.toks), len(y.toks)) >= 0.59 * greatest(len(x.toks), len(y.toks)))
+SELECT namespace, a, b, round(i / (n + m - i), 6) AS sim FROM p WHERE i / (n + m - i) >= 0.6""")
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consolidate.lexical_pairs(records.live(memory(spark, sf_dir))).select("namespace", "a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query(f"""WITH k AS (SELECT namespace, min(id) AS keeper FROM memory WHERE superseded_at IS NULL GROUP BY namespace), j AS (SELECT m.id AS member, c.content AS kc, m.content AS mc FROM memory m JOIN k ON m.namespace = k.namespace JOIN memory c ON c.id = k.keeper WHERE m.superseded_at IS NULL AND m.id <> k.keeper)
+SELECT member, CASE WHEN {Q.norm('mc')} = '' THEN 'empty' WHEN contains({Q.norm('kc')}, {Q.norm('mc')}) THEN 'already-represented' WHEN length(kc) + length(mc) + 20 + length(member) + 6 > 65536 THEN 'size-cap' ELSE 'unique' END AS reason,
+len(list_filter({Q.plain('mc')}, lambda x: NOT list_contains({Q.plain('kc')}, x))) AS n_new FROM j""")
+def absorb_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What folding each live row into the first of its namespace would do."""
+    m = records.live(memory(spark, sf_dir)).select("namespace", "id", "content")
+    keepers = m.groupBy("namespace").agg(F.min_by("content", "id").alias("kc"), F.min("id").alias("keeper"))
+    j = m.join(keepers, "namespace").filter("id <> keeper")
+    return j.select(F.col("id").alias("member"), consolidate.absorb_reason(F.col("kc"), F.col("content"), F.col("id")).alias("reason"), F.size(consolidate.new_tokens(F.col("kc"), F.col("content"))).cast("long").alias("n_new"))
+
+
+@query(None)
+def consolidate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consolidate.clusters(memory(spark, sf_dir))
+
+
+@query(None)
+def consolidate_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = memory(spark, sf_dir)
+    return consolidate.fold(m, consolidate.clusters(m))
+
+
+# Rendering
+
+
+@query(f"""SELECT id, row_number() OVER (ORDER BY confidence DESC, coalesce(retrieval_count, 0) + coalesce(surfaced_count, 0) DESC, ingestion_ts DESC NULLS LAST, id) AS place FROM memory
+WHERE superseded_at IS NULL AND namespace = '{PROJECT}' AND confidence >= 0.6 AND NOT isnan(confidence) ORDER BY place LIMIT 50""")
+def pack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.pack_rows(memory(spark, sf_dir), PROJECT, 50).select("id", "place")
+
+
+@query(f"""WITH r AS (SELECT type, content, row_number() OVER (ORDER BY confidence DESC, coalesce(retrieval_count, 0) + coalesce(surfaced_count, 0) DESC, ingestion_ts DESC NULLS LAST, id) AS place FROM memory WHERE superseded_at IS NULL AND namespace = '{PROJECT}' AND confidence >= 0.6 AND NOT isnan(confidence)),
+l AS (SELECT list({{'b': strlen('- [' || type || '] ' || {Q.one_line('content')}) + 1, 'k': 0, 's': 0}} ORDER BY place) AS xs FROM r WHERE place <= 50),
+f AS (SELECT list_reduce(xs, lambda a, x: CASE WHEN a.b + x.b <= 4000 THEN {{'b': a.b + x.b, 'k': a.k + 1, 's': a.s}} ELSE {{'b': a.b, 'k': a.k, 's': a.s + 1}} END, {{'b': 11::BIGINT, 'k': 0, 's': 0}}) AS z FROM l)
+SELECT z.b AS bytes, z.k AS kept, z.s AS skipped FROM f""")
+def pack_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.render_pack(memory(spark, sf_dir), PROJECT, 50, 4000).select("bytes", "kept", "skipped")
+
+
+@query(f"""WITH s AS (SELECT namespace, id, length(substr({Q.one_line('content')}, 1, 300)) + 1 AS n, ingestion_ts FROM memory WHERE superseded_at IS NULL), c AS (SELECT namespace, id, sum(n) OVER (PARTITION BY namespace ORDER BY ingestion_ts DESC NULLS LAST, id ROWS UNBOUNDED PRECEDING) AS upto FROM s) SELECT namespace, id, upto::BIGINT AS upto FROM c WHERE upto <= 2000""")
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.context_rows(records.live(memory(spark, sf_dir)), [F.col("ingestion_ts").desc_nulls_last(), F.col("id")], "namespace", 2000).select("namespace", "id", "upto")
+
+
+# Sync
+
+
+@query("SELECT id, namespace, type, md5(content) AS content_md5, tags, source_ref, signal FROM memory WHERE superseded_at IS NULL")
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported lines read back."""
+    lines = sync.export_lines(memory(spark, sf_dir)).withColumn("line_no", F.lit(0))
+    return sync.parse_lines(lines).select("id", "namespace", "type", F.md5(F.encode("content", "UTF-8")).alias("content_md5"), "tags", "source_ref", "signal")
+
+
+@query(f"""WITH v AS (SELECT *, CASE WHEN signal IN ('test', 'compile', 'lint', 'reviewer', 'user', 'none') THEN signal ELSE 'none' END AS sig FROM memory_batch)
+SELECT row_id, {Q.REJECT} AS reject, sig AS signal, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN confidence IS NOT NULL AND isfinite(confidence) THEN confidence ELSE CASE sig WHEN 'test' THEN 0.9 WHEN 'compile' THEN 0.9 WHEN 'lint' THEN 0.85 WHEN 'reviewer' THEN 0.6 WHEN 'user' THEN 0.6 ELSE 0.2 END END)), 6) AS confidence,
+CASE WHEN ingestion_ts IS NULL OR epoch_us(ingestion_ts) > 1767225600000000 + 86400000000 THEN 1767225600000000 ELSE epoch_us(ingestion_ts) END AS ts FROM v b""")
+def sync_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.validated(t(spark, sf_dir, "memory_batch"), now()).select("row_id", "reject", "signal", F.round("confidence", 6).alias("confidence"), micros("ingestion_ts").alias("ts"))
+
+
+@query(f"""WITH k AS (SELECT id, superseded_at IS NULL AS live FROM memory), h AS (SELECT DISTINCT namespace, {Q.norm('content')} AS norm FROM memory WHERE superseded_at IS NULL),
+r AS (SELECT row_id, b.id, b.namespace, {Q.norm('content')} AS norm, row(batch_no, line_no) AS ord, {Q.REJECT} AS reject, k.live AS known FROM memory_batch b LEFT JOIN k ON b.id = k.id),
+e AS (SELECT *, reject IS NULL AND known IS NULL AND ord = min(CASE WHEN reject IS NULL AND known IS NULL THEN ord END) OVER (PARTITION BY id) AS entering FROM r),
+f AS (SELECT e.*, h.norm IS NOT NULL AS have, min(CASE WHEN entering THEN ord END) OVER (PARTITION BY e.namespace, e.norm) AS first FROM e LEFT JOIN h ON e.namespace = h.namespace AND e.norm = h.norm)
+SELECT row_id, CASE WHEN reject IS NOT NULL THEN 'malformed' WHEN known IS NOT NULL THEN 'skipped' WHEN have THEN 'deduped' WHEN entering AND ord = first THEN 'added' WHEN first < ord THEN CASE WHEN entering THEN 'deduped' ELSE 'skipped' END ELSE 'skipped' END AS outcome FROM f""")
+def sync_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.outcomes(t(spark, sf_dir, "memory_batch"), memory(spark, sf_dir), now())
+
+
+# Log mining
+
+
+@query("SELECT session_id, tool_name, epoch_us(completed_at) AS completed_at, exit_code FROM tool_usage WHERE coalesce(read_only, 0) = 0 AND (lower(status) = 'error' OR exit_code <> 0)")
+def tool_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.tool_failures(t(spark, sf_dir, "tool_usage")).select("session_id", "tool_name", micros("completed_at").alias("completed_at"), "exit_code")
+
+
+@query("SELECT tool_name, count(*) AS n FROM tool_usage WHERE coalesce(read_only, 0) = 0 AND (lower(status) = 'error' OR exit_code <> 0) GROUP BY tool_name")
+def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.tool_failures(t(spark, sf_dir, "tool_usage")).groupBy("tool_name").agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT * FROM tool_usage WHERE coalesce(read_only, 0) = 0 AND (lower(status) = 'error' OR exit_code <> 0) AND session_id IS NOT NULL),
+r AS (SELECT session_id, tool_name, completed_at, row_number() OVER (PARTITION BY session_id ORDER BY completed_at DESC NULLS LAST, tool_name NULLS LAST, logged_at DESC NULLS LAST, error_message NULLS LAST) AS back, count(*) OVER (PARTITION BY session_id) AS n FROM f) SELECT session_id, tool_name, epoch_us(completed_at) AS completed_at, back, n AS of FROM r WHERE back <= 3""")
+def recent_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = mining.tool_failures(t(spark, sf_dir, "tool_usage")).filter("session_id is not null")
+    order = [F.col("completed_at").desc_nulls_last(), F.col("tool_name").asc_nulls_last(), F.col("logged_at").desc_nulls_last(), F.col("error_message").asc_nulls_last()]
+    return mining.latest_per_session(f, 3, "session_id", order).select("session_id", "tool_name", micros("completed_at").alias("completed_at"), "back", "of")
+
+
+@query(Q.FAILURES + "SELECT session_id, tool_use_id, tool_name, seq, kind, reason, md5(text) AS text_md5 FROM f")
+def transcript_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.failures(t(spark, sf_dir, "message")).select("session_id", "tool_use_id", "tool_name", "seq", "kind", "reason", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+@query(Q.FAILURES + ", r AS (SELECT session_id, tool_use_id, reason, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC NULLS LAST, tool_use_id) AS back FROM f WHERE kind = 'rejection') SELECT session_id, tool_use_id, reason FROM r WHERE back <= 5")
+def rejection_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = mining.failures(t(spark, sf_dir, "message")).filter("kind = 'rejection'")
+    return mining.latest_per_session(f, 5, "session_id", [F.col("seq").desc_nulls_last(), F.col("tool_use_id")]).select("session_id", "tool_use_id", "reason")
+
+
+@query(Q.USER_MESSAGES + "SELECT message_id, md5(text) AS text_md5 FROM u")
+def user_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.user_messages(t(spark, sf_dir, "message")).select("message_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+@query(Q.correction_classes())
+def correction_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = t(spark, sf_dir, "correction_item").withColumn("c", mining.classify_correction(F.col("message")))
+    return m.select("item_id", F.col("c.kind").alias("kind"), F.col("c.patterns").alias("patterns"), F.col("c.confidence").alias("confidence"), F.col("c.sentiment").alias("sentiment"), F.col("c.decay_days").alias("decay_days"))
+
+
+@query(f"""WITH k AS (SELECT item_id, namespace, captured_ts, {Q.collapse_key('message')} AS key FROM correction_item), r AS (SELECT *, row_number() OVER (PARTITION BY namespace, key ORDER BY captured_ts DESC NULLS LAST, item_id) AS nth, count(*) OVER (PARTITION BY namespace, key) AS occurrences FROM k)
+SELECT namespace, item_id, occurrences FROM r WHERE nth = 1""")
+def correction_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = t(spark, sf_dir, "correction_item").withColumn("seq", F.conv(F.substring(F.col("item_id"), -8, 8), 10, 10).cast("long")).select("item_id", "namespace", "message", "captured_ts", "seq")
+    return mining.collapse(items, "namespace", "message", "captured_ts", "seq").select("namespace", "item_id", "occurrences")
+
+
+@query("""SELECT pattern, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(patterns, '\\s+')) AS pattern FROM correction_item) WHERE pattern <> '' GROUP BY pattern""")
+def pattern_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.pattern_histogram(t(spark, sf_dir, "correction_item"))
+
+
+@query(f"SELECT error_type, count(*) AS n FROM (SELECT {Q.error_type('error_message')} AS error_type FROM tool_usage) GROUP BY error_type")
+def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "tool_usage").select(mining.error_type(F.col("error_message")).alias("error_type")).groupBy("error_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH e AS (SELECT tool_name, error_message, completed_at, logged_at, session_id, {Q.error_type('error_message')} AS error_type FROM tool_usage), r AS (SELECT *, row_number() OVER (PARTITION BY error_type, tool_name ORDER BY completed_at NULLS FIRST, logged_at NULLS FIRST, error_message, session_id NULLS FIRST) AS nth FROM e WHERE error_type IS NOT NULL AND tool_name IS NOT NULL)
+SELECT error_type, tool_name, count(*) AS n, array_to_string(list(substr(error_message, 1, 200) ORDER BY nth) FILTER (nth <= 3), ' | ') AS samples, CASE WHEN count(*) >= 5 THEN 0.90 WHEN count(*) >= 3 THEN 0.85 ELSE 0.70 END::DOUBLE AS priority FROM r GROUP BY error_type, tool_name HAVING count(*) >= 2""")
+def error_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = t(spark, sf_dir, "tool_usage").filter("tool_name is not null")
+    return mining.error_patterns(e, "tool_name", ["completed_at", "logged_at", "error_message", "session_id"], "error_message").select("error_type", "tool_name", "n", "samples", "priority")
+
+
+@query(Q.USER_MESSAGES + f", k AS (SELECT *, {Q.collapse_key('text')} AS key FROM u) SELECT project_folder, key, count(*) AS occurrences FROM k GROUP BY project_folder, key")
+def message_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mining.user_messages(t(spark, sf_dir, "message"))
+    return mining.collapse(m, "project_folder", "text", "sent_ts", "message_id").select("project_folder", "key", "occurrences")
+
+
+@query(None)
+def mine_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections and error patterns of all transcripts as new queue items, those the queue has left out."""
+    message = t(spark, sf_dir, "message")
+    said = mining.user_messages(message).withColumn("c", mining.classify_correction(F.col("text"))).filter("c.kind is not null")
+    corrections = mining.collapse(said.select("project_folder", "text", "sent_ts", "message_id", F.col("c.confidence").alias("confidence"), F.col("c.decay_days").alias("decay_days")), "project_folder", "text", "sent_ts", "message_id")
+    folders = message.groupBy("session_id").agg(F.min("project_folder").alias("project_folder"))
+    errors = mining.error_patterns(mining.failures(message).filter("kind = 'failure'").join(folders, "session_id"), "project_folder", ["session_id", "seq", "tool_use_id"])
+    items = mining.queue_items(corrections, errors)
+    queue = t(spark, sf_dir, "correction_item").select(F.sha2(F.concat_ws("|", F.lit("correction"), "namespace", mining.collapse_key(F.col("message"))), 256).alias("dedup_key"))
+    return mining.queue_new(items, queue)
+
+
+@query("""WITH r AS (SELECT item_id, namespace, row_number() OVER (PARTITION BY namespace ORDER BY captured_ts DESC NULLS LAST, item_id) AS place FROM correction_item) SELECT item_id, namespace, place FROM r WHERE place <= 5""")
+def queue_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.queue_capped(t(spark, sf_dir, "correction_item"), 5).select("item_id", "namespace", "place")
+
+
+@query("""SELECT item_id, coalesce(decay_days >= 1 AND (1767225600000000 - epoch_us(captured_ts)) / 86400000000.0 > decay_days, false) AS stale FROM correction_item""")
+def queue_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "correction_item").select("item_id", mining.is_stale(F.col("captured_ts"), F.col("decay_days"), now()).alias("stale"))
+
+
+@query("""SELECT item_id FROM correction_item WHERE NOT (coalesce(decay_days >= 1 AND (1767225600000000 - epoch_us(captured_ts)) / 86400000000.0 > decay_days, false) AND coalesce(confidence < 0.6, false))""")
+def queue_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.queue_clear(t(spark, sf_dir, "correction_item"), now()).select("item_id")
+
+
+# Session state
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = F.coalesce((F.lower("status") == "error") | (F.col("exit_code") != 0), F.lit(False))
+    u = t(spark, sf_dir, "tool_usage").filter("session_id is not null and completed_at is not null")
+    return u.groupBy("session_id", "tool_name", "completed_at").agg(F.bool_or(failed).alias("failed")).select("session_id", "tool_name", "failed", (F.col("tool_name") == "Bash").alias("is_commit"), F.col("completed_at").alias("ts"))
+
+
+@query("""WITH e AS (SELECT session_id, tool_name, completed_at AS ts, bool_or(coalesce(lower(status) = 'error' OR exit_code <> 0, false)) AS failed FROM tool_usage WHERE session_id IS NOT NULL AND completed_at IS NOT NULL GROUP BY 1, 2, 3), n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, tool_name NULLS FIRST) AS at_call FROM e)
+SELECT session_id, 'convention' AS nudge, min(at_call) AS at_call FROM n WHERE at_call >= 10 GROUP BY 1 UNION ALL SELECT session_id, 'commit', min(at_call) FROM n WHERE tool_name = 'Bash' GROUP BY 1 UNION ALL SELECT session_id, 'failure', min(at_call) FROM n WHERE failed GROUP BY 1""")
+def session_nudges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.nudges_batch(_events(spark, sf_dir), [F.col("ts"), F.col("tool_name")])
+
+
+@query("""WITH e AS (SELECT session_id, tool_name, completed_at AS ts FROM tool_usage WHERE session_id IS NOT NULL AND completed_at IS NOT NULL GROUP BY 1, 2, 3)
+SELECT tool_name, epoch_us(ts) // 600000000 * 600000000 AS start, count(*) AS calls FROM e GROUP BY 1, 2""")
+def windowed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.windowed_counts(_events(spark, sf_dir)).select("tool_name", F.unix_micros("window.start").alias("start"), "calls")
+
+
+def queries() -> dict[str, Query]:
+    return {name: fn for name, (fn, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
