@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.words import SKETCH_BITS, WordHasher, exact, halves, prefix_length, signed, sketch, slots, words
+from factloom.llm.words import SKETCH_BITS, WordHasher, exact, halves, index_length, kept_by, membership, prefix_length, signed, sketch, slots, words
 
 #: Bytes that are kept of a word's hash when sets are compared.
 KEPT = 5
@@ -121,35 +121,40 @@ def features(rows: DataFrame, counts: np.ndarray) -> DataFrame:
     return rows.mapInArrow(make, FEATURES)
 
 
-def _matrix(num: int, den: int):  # noqa: ANN202
+def _matrix(num: int, den: int, queries: bool):  # noqa: ANN202
     """The rows by which sets and groups meet: key, group, columns, and size, which holds the smallest and the largest set and
-    what the row is: 1 a query, 2 a target, 3 both.
+    what the row is: 1 a query of a large group, 2 a large group as target, 3 a set of a small group.
 
-    Every set is a query and sends its prefix. The sets of a small group are targets themselves, a larger group is one target
-    that sends its token union and the union of the prefixes.
+    Every set is a query and sends its prefix. The sets of a small group are targets themselves, for queries of their size or
+    more, with the shorter prefix that this allows; a larger group is one target that sends its token union and the prefixes
+    of all its sets.
     """
     weights = (np.uint64(1) << (np.uint64(8) * np.arange(KEPT - 1, -1, -1, dtype=np.uint64))).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, fixed_, counts = [], [], []
+
+            def send(lead: np.ndarray, *cols: int) -> None:
+                keys.append(lead)
+                fixed_.append(cols)
+                counts.append(len(lead))
+
             for g, members in zip(batch.column("g").to_pylist(), batch.column("members").to_pylist()):
                 many, union = len(members) >= UNION_OF, []
                 for m in members:
                     n = m["n"]
-                    lead = np.frombuffer(m["toks"], dtype=np.uint8, count=KEPT * prefix_length(n, num, den)).reshape(-1, KEPT)
-                    union.append(lead)
-                    keys.append(lead)
-                    fixed_.append((g, m["b1"], m["b2"], (n << 34) + (n << 4) + (1 if many else 3)))
-                    counts.append(len(lead))
-                if many:
-                    lead = np.unique(np.concatenate(union), axis=0)
+                    long = queries or many
+                    lead = np.frombuffer(m["toks"], dtype=np.uint8, count=KEPT * (prefix_length if long else index_length)(n, num, den)).reshape(-1, KEPT)
+                    if queries or not many:
+                        send(lead, g, m["b1"], m["b2"], (n << 34) + (n << 4) + (1 if many else 3))
+                    else:
+                        union.append(lead)
+                if union:
                     b1 = b2 = 0
                     for m in members:
                         b1, b2 = b1 | m["b1"], b2 | m["b2"]
-                    keys.append(lead)
-                    fixed_.append((g, b1, b2, (min(m["n"] for m in members) << 34) + (max(m["n"] for m in members) << 4) + 2))
-                    counts.append(len(lead))
+                    send(np.unique(np.concatenate(union), axis=0), g, b1, b2, (min(m["n"] for m in members) << 34) + (max(m["n"] for m in members) << 4) + 2)
             if not keys:
                 continue
             key = (np.concatenate(keys).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -172,7 +177,11 @@ def _similar(num: int, den: int):  # noqa: ANN202
             right = batch.column("others").to_pylist() if "others" in batch.schema.names else [None] * len(left)
             for xs, ys in zip(left, right):
                 xs = [(m["ca"], m["cb"], cut(m["toks"])) for m in xs]
-                pairs = ((x, y) for x in xs for y in ((m["ca"], m["cb"], cut(m["toks"])) for m in ys)) if ys is not None else ((x, y) for k, x in enumerate(xs) for y in xs[:k])
+                if ys is None:
+                    pairs = ((x, y) for k, x in enumerate(xs) for y in xs[:k])
+                else:
+                    ys = [(m["ca"], m["cb"], cut(m["toks"])) for m in ys]
+                    pairs = ((x, y) for x in xs for y in ys)
                 for x, y in pairs:
                     a, b = len(x[2]), len(y[2])
                     if den * min(a, b) < num * max(a, b):
@@ -196,17 +205,19 @@ def class_pairs(feats: DataFrame, threshold: float) -> DataFrame:
         .groupBy("g", "ca", "cb").agg(F.first(F.struct("n", "b1", "b2", "toks")).alias("m"))
         .groupBy("g").agg(F.collect_list(F.struct("ca", "cb", "m.n", "m.b1", "m.b2", "m.toks")).alias("members"))
     ).persist()
-    rows = groups.mapInArrow(_matrix(num, den), "key long, g long, b1 long, b2 long, size long")
-    a, b = rows.alias("a"), rows.alias("b")
+    matrix = "key long, g long, b1 long, b2 long, size long"
+    a, b = (groups.mapInArrow(_matrix(num, den, queries), matrix).alias(s) for s, queries in (("a", True), ("b", False)))
     kind = lambda s: F.col(f"{s}.size").bitwiseAND(F.lit(3))
     lo, hi = (lambda s: F.shiftright(f"{s}.size", 34)), (lambda s: F.shiftright(f"{s}.size", 4).bitwiseAND(F.lit((1 << 30) - 1)))
     lost = lambda s, o: sum(F.bit_count(F.col(f"{s}.{c}").bitwiseAND(F.bitwise_not(f"{o}.{c}"))) for c in ("b1", "b2"))
-    once = F.when(kind("b") == 2, (kind("a") == 3) | ((kind("a") == 1) & (F.col("a.g") < F.col("b.g")))).otherwise((kind("a") == 3) & (kind("b") == 3) & (F.col("a.g") < F.col("b.g")))
+    # Between two sets the larger one is the query, by group on a tie; between a set and a large group, or two large groups, once.
+    order = (F.col("a.size") > F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.g") < F.col("b.g")))
+    once = F.when(kind("b") == 2, (kind("a") == 3) | (F.col("a.g") < F.col("b.g"))).otherwise((kind("a") == 3) & (F.col("a.g") != F.col("b.g")) & order)
     sizes = (den * hi("a") >= num * lo("b")) & (den * hi("b") >= num * lo("a"))
     # Of a query's words those in columns that the target lacks aren't in any of its sets; between two sets it holds both ways.
     bound = (den * (hi("a") - lost("a", "b")) >= num * hi("a")) & ((kind("b") == 2) | ((den * (hi("a") - lost("a", "b")) >= num * (hi("a") + lost("b", "a"))) & (den * (hi("b") - lost("b", "a")) >= num * (hi("b") + lost("a", "b")))))
     meet = (F.col("a.key") == F.col("b.key")) & once & sizes & bound
-    opened = a.join(b.hint("merge"), meet).select(F.col("a.g").alias("g"), F.col("b.g").alias("h")).distinct()
+    opened = a.join(b.hint("merge"), meet).select(F.least("a.g", "b.g").alias("g"), F.greatest("a.g", "b.g").alias("h")).distinct()
     ready = opened.join(groups.select("g", "members"), "g").select("h", "members").join(groups.select(F.col("g").alias("h"), F.col("members").alias("others")), "h").select("members", "others")
     schema = "xa long, xb long, ya long, yb long"
     across = ready.mapInArrow(_similar(num, den), schema)
@@ -223,13 +234,17 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "id", group_col: str = "na
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).alias("ns"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
     feats = features(rows, _statistics(rows.select("ns", "text"))).persist()
     pairs = class_pairs(feats, threshold).persist()
-    member = feats.select("ca", "cb", "sa", "sb", "id")
+    # Classes of several sequences, by aggregates that are combined map-side; then only rows of classes that are in a pair travel.
+    seq = F.struct("sa", "sb")
+    mixed = feats.groupBy("ca", "cb").agg(F.min(seq).alias("lo"), F.max(seq).alias("hi")).filter("lo <> hi").select("ca", "cb").persist()
+    used = pairs.select("xa").unionAll(pairs.select("ya")).unionAll(mixed.select("ca"))
+    member = kept_by(feats.select("ca", "cb", "sa", "sb", "id"), "ca", membership(used, "xa"))
     x, y = (member.select(F.col("ca").alias(f"{s}a"), F.col("cb").alias(f"{s}b"), F.col("id").alias(f"{s}_id")) for s in "xy")
-    across = pairs.join(x, ["xa", "xb"]).select("ya", "yb", "x_id").join(y, ["ya", "yb"]).select("x_id", "y_id")
-    # One class may hold several sequences of the same words: pairs of sequences first, then their rows.
-    seqs = member.groupBy("ca", "cb", "sa", "sb").agg(F.count("*").alias("rows")).select("ca", "cb", F.struct("sa", "sb").alias("s"))
+    across = pairs.join(x.hint("merge"), ["xa", "xb"]).select("ya", "yb", "x_id").join(y.hint("merge"), ["ya", "yb"]).select("x_id", "y_id")
+    # Inside a class of several sequences: pairs of sequences first, then their rows.
+    rows_of = member.join(mixed, ["ca", "cb"], "left_semi").select("ca", "cb", seq.alias("s"), "id")
+    seqs = rows_of.select("ca", "cb", "s").distinct()
     several = seqs.alias("p").join(seqs.alias("q"), ["ca", "cb"]).filter("p.s < q.s").select("ca", "cb", F.col("p.s").alias("ps"), F.col("q.s").alias("qs"))
-    rows_of = member.select("ca", "cb", F.struct("sa", "sb").alias("s"), "id")
     inside = (
         several.join(rows_of.select("ca", "cb", F.col("s").alias("ps"), F.col("id").alias("x_id")), ["ca", "cb", "ps"])
         .join(rows_of.select("ca", "cb", F.col("s").alias("qs"), F.col("id").alias("y_id")), ["ca", "cb", "qs"]).select("x_id", "y_id")

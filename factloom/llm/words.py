@@ -12,6 +12,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -69,6 +70,11 @@ def exact(threshold: float) -> tuple[int, int]:
     return f.numerator, f.denominator
 
 
+def index_length(n: int, num: int, den: int) -> int:
+    """The same for the smaller of two sets: its words that must meet the prefix of any similar set of its size or more."""
+    return n - -(-2 * num * n // (num + den)) + 1
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     """How many of a set's n words, in any order common to all sets, must hold one word of every set similar to it."""
     return n - -(-num * n // den) + 1
@@ -109,3 +115,43 @@ def sketch(rows: DataFrame, of: Callable[[], Callable[[pd.DataFrame], list[np.nd
     for r in some.groupBy("piece").applyInPandas(add, schema).collect():
         out[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["counts"], dtype=np.int64)
     return out[:size]
+
+
+def membership(rows: DataFrame, column: str, bits: int = 23) -> np.ndarray:
+    """A bit map of fixed size, 1 MB, in which the slot of every value of a 64-bit column is set.
+
+    It keeps rows that can't matter out of a shuffle. A value that was seen is always in it; one that wasn't is with a chance that
+    grows with the data, up to a map that holds back nothing, so it never changes a result.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, dtype=bool)
+        for b in batches:
+            seen[slots(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), bits)] = True
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["m"])
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+        for m in pdf["m"]:
+            out |= np.frombuffer(m, dtype=np.uint8)
+        return pd.DataFrame({"m": [out.tobytes()]})
+
+    parts = rows.select(F.col(column).cast("long")).mapInArrow(mark, "m binary").withColumn("part", F.spark_partition_id() % 16)
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for r in parts.groupBy("part").applyInPandas(lambda pdf: join(pdf), "m binary").collect():
+        out |= np.frombuffer(r["m"], dtype=np.uint8)
+    return out
+
+
+def kept_by(rows: DataFrame, column: str, seen: np.ndarray, bits: int = 23) -> DataFrame:
+    """The rows whose value of the column may be in the map."""
+    shared = rows.sparkSession.sparkContext.broadcast(seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            at = slots(b.column(column).to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), bits)
+            yield b.filter(pa.array(flags[at]))
+
+    return rows.mapInArrow(run, rows.schema)
