@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.words import SKETCH_BITS, WordHasher, exact, halves, index_length, kept_by, membership, prefix_length, signed, sketch, slots, words
+from factloom.llm.words import SKETCH_BITS, WordHasher, exact, halves, kept_by, membership, signed, sketch, slots, words
 
 #: Bytes that are kept of a word's hash when sets are compared.
 KEPT = 5
@@ -121,6 +121,30 @@ def features(rows: DataFrame, counts: np.ndarray) -> DataFrame:
     return rows.mapInArrow(make, FEATURES)
 
 
+class _Sets:
+    """The members of a batch of groups as flat arrays: bounds of the groups, then of each set its columns, size and place among
+    the words."""
+
+    def __init__(self, lists: pa.ListArray) -> None:
+        self.bounds = lists.offsets.to_numpy()
+        first, last = int(self.bounds[0]), int(self.bounds[-1])
+        self.bounds = self.bounds - first
+        members = lists.values.slice(first, last - first).flatten()
+        cols = dict(zip((f.name for f in lists.type.value_type), members))
+        self.ca, self.cb, self.b1, self.b2 = (cols[c].to_numpy(zero_copy_only=False) for c in ("ca", "cb", "b1", "b2"))
+        packed_ = b"".join(cols["toks"].to_pylist())
+        weights = np.uint64(1) << (np.uint64(8) * np.arange(KEPT - 1, -1, -1, dtype=np.uint64))
+        self.words = (np.frombuffer(packed_, dtype=np.uint8).reshape(-1, KEPT) * weights).sum(axis=1, dtype=np.uint64)
+        self.n = cols["n"].to_numpy(zero_copy_only=False).astype(np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        self.group = np.repeat(np.arange(len(lists)), np.diff(self.bounds))
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + size[0] - 1, start[1] .., one behind the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def _matrix(num: int, den: int, queries: bool):  # noqa: ANN202
     """The rows by which sets and groups meet: key, group, columns, and size, which holds the smallest and the largest set and
     what the row is: 1 a query of a large group, 2 a large group as target, 3 a set of a small group.
@@ -129,68 +153,65 @@ def _matrix(num: int, den: int, queries: bool):  # noqa: ANN202
     more, with the shorter prefix that this allows; a larger group is one target that sends its token union and the prefixes
     of all its sets.
     """
-    weights = (np.uint64(1) << (np.uint64(8) * np.arange(KEPT - 1, -1, -1, dtype=np.uint64))).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, fixed_, counts = [], [], []
-
-            def send(lead: np.ndarray, *cols: int) -> None:
-                keys.append(lead)
-                fixed_.append(cols)
-                counts.append(len(lead))
-
-            for g, members in zip(batch.column("g").to_pylist(), batch.column("members").to_pylist()):
-                many, union = len(members) >= UNION_OF, []
-                for m in members:
-                    n = m["n"]
-                    long = queries or many
-                    lead = np.frombuffer(m["toks"], dtype=np.uint8, count=KEPT * (prefix_length if long else index_length)(n, num, den)).reshape(-1, KEPT)
-                    if queries or not many:
-                        send(lead, g, m["b1"], m["b2"], (n << 34) + (n << 4) + (1 if many else 3))
-                    else:
-                        union.append(lead)
-                if union:
-                    b1 = b2 = 0
-                    for m in members:
-                        b1, b2 = b1 | m["b1"], b2 | m["b2"]
-                    send(np.unique(np.concatenate(union), axis=0), g, b1, b2, (min(m["n"] for m in members) << 34) + (max(m["n"] for m in members) << 4) + 2)
-            if not keys:
+            if not len(batch):
                 continue
-            key = (np.concatenate(keys).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            cols = [np.repeat(np.array(c, dtype=np.int64), counts) for c in zip(*fixed_)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), *cols)], names=["key", "g", "b1", "b2", "size"])
+            g, sets = batch.column("g").to_numpy(zero_copy_only=False), _Sets(batch.column("members"))
+            many = np.diff(sets.bounds)[sets.group] >= UNION_OF
+            full = sets.n - -(-num * sets.n // den) + 1
+            short = sets.n - -(-2 * num * sets.n // (num + den)) + 1
+            at = np.arange(len(sets.n)) if queries else np.flatnonzero(~many)
+            lead = (full if queries else short)[at]
+            size = (sets.n << 34) + (sets.n << 4) + np.where(many, 1, 3)
+            cols = [[sets.words[_ranges(sets.start[at], lead)]], *([np.repeat(c[at], lead)] for c in (g[sets.group], sets.b1, sets.b2, size))]
+            for k in [] if queries else np.unique(sets.group[many]):
+                own = np.arange(sets.bounds[k], sets.bounds[k + 1])
+                keys, n = np.unique(sets.words[_ranges(sets.start[own], full[own])]), sets.n[own]
+                union = np.bitwise_or.reduce(sets.b1[own]), np.bitwise_or.reduce(sets.b2[own])
+                for c, v in zip(cols, (keys, *(np.full(len(keys), x) for x in (g[k], *union, (n.min() << 34) + (n.max() << 4) + 2)))):
+                    c.append(v)
+            out = [np.concatenate(c) for c in cols]
+            out[0] = (out[0] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            for i in range(0, len(out[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in out], names=["key", "g", "b1", "b2", "size"])
 
     return run
 
 
+#: Pairs of sets that are compared at once.
+AT_ONCE = 50_000
+
+
 def _similar(num: int, den: int):  # noqa: ANN202
     """Compares the sets of the members of opened groups; pairs of classes that are similar come out, the smaller class first."""
 
-    def cut(b: bytes) -> set[bytes]:
-        return {b[i : i + KEPT] for i in range(0, len(b), KEPT)}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            left = batch.column("members").to_pylist()
-            right = batch.column("others").to_pylist() if "others" in batch.schema.names else [None] * len(left)
-            for xs, ys in zip(left, right):
-                xs = [(m["ca"], m["cb"], cut(m["toks"])) for m in xs]
-                if ys is None:
-                    pairs = ((x, y) for k, x in enumerate(xs) for y in xs[:k])
-                else:
-                    ys = [(m["ca"], m["cb"], cut(m["toks"])) for m in ys]
-                    pairs = ((x, y) for x in xs for y in ys)
-                for x, y in pairs:
-                    a, b = len(x[2]), len(y[2])
-                    if den * min(a, b) < num * max(a, b):
-                        continue
-                    both = len(x[2] & y[2])
-                    if den * both >= num * (a + b - both):
-                        out.append((*x[:2], *y[:2]) if x[:2] < y[:2] else (*y[:2], *x[:2]))
-            cols = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["xa", "xb", "ya", "yb"])
+            if not len(batch):
+                continue
+            x = y = _Sets(batch.column("members"))
+            if "others" in batch.schema.names:
+                y = _Sets(batch.column("others"))
+            # Each set of the left meets all sets of the right; inside one group those behind it.
+            last = y.bounds[x.group + 1]
+            first = y.bounds[x.group] if y is not x else np.arange(len(x.n)) + 1
+            i, j = np.repeat(np.arange(len(x.n)), last - first), _ranges(first, last - first)
+            near = den * np.minimum(x.n[i], y.n[j]) >= num * np.maximum(x.n[i], y.n[j])
+            i, j = i[near], j[near]
+            for k in range(0, len(i), AT_ONCE):
+                a, b = i[k : k + AT_ONCE], j[k : k + AT_ONCE]
+                no = np.concatenate([np.repeat(np.arange(len(a)), x.n[a]), np.repeat(np.arange(len(b)), y.n[b])]).astype(np.uint64)
+                found = np.concatenate([x.words[_ranges(x.start[a], x.n[a])], y.words[_ranges(y.start[b], y.n[b])]]) | (no << np.uint64(8 * KEPT))
+                found.sort()
+                both = np.bincount((found[:-1][found[1:] == found[:-1]] >> np.uint64(8 * KEPT)).astype(np.int64), minlength=len(a))
+                hit = den * both >= num * (x.n[a] + y.n[b] - both)
+                a, b = a[hit], b[hit]
+                cols = x.ca[a], x.cb[a], y.ca[b], y.cb[b]
+                swap = (cols[0] > cols[2]) | ((cols[0] == cols[2]) & (cols[1] > cols[3]))
+                out = [np.where(swap, cols[(c + 2) % 4], cols[c]) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["xa", "xb", "ya", "yb"])
 
     return run
 

@@ -70,16 +70,6 @@ def exact(threshold: float) -> tuple[int, int]:
     return f.numerator, f.denominator
 
 
-def index_length(n: int, num: int, den: int) -> int:
-    """The same for the smaller of two sets: its words that must meet the prefix of any similar set of its size or more."""
-    return n - -(-2 * num * n // (num + den)) + 1
-
-
-def prefix_length(n: int, num: int, den: int) -> int:
-    """How many of a set's n words, in any order common to all sets, must hold one word of every set similar to it."""
-    return n - -(-num * n // den) + 1
-
-
 def slots(hashes: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
