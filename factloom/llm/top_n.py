@@ -17,9 +17,9 @@ def top_n(df: DataFrame, group: str, order: list[Column], n: int = 5, salts: int
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    salt, rank = "__salt", "__rank"
+    salt, rank, df = "__salt", "__rank", df.drop(rank_name)
     kept = (
-        df.drop(rank_name).withColumn(salt, F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith(("map", "variant"))]), F.lit(salts)))
+        df.withColumn(salt, F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith(("map", "variant"))]), F.lit(salts)))
         .withColumn(rank, F.row_number().over(Window.partitionBy(group, salt).orderBy(*order))).filter(F.col(rank) <= n).drop(salt, rank)
     )
     return kept.withColumn(rank_name, F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col(rank_name) <= n)
