@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime, timezone
 
 import pandas as pd
 import pytest
@@ -145,7 +146,7 @@ def test_chain_of_rows(spark):
     w = [f"c{i}" for i in range(40)]
     b = pd.DataFrame([(i, 1, i, "n", " ".join(w[i : i + 12]), None, None) for i in range(20)], columns=["row_id", "batch_no", "line_no", "namespace", "content", "source_ref", "ingestion_ts"])
     m = memory(4, 1).iloc[:0]
-    assert rows(known_rows(frame(spark, m, MEMORY), frame(spark, b, BATCH))) == sorted(brute.p4(m, b))
+    assert rows(known_rows(frame(spark, m, MEMORY), frame(spark, b, BATCH))) == sorted(brute.p4(m, b), key=str)
 
 
 MESSAGE = "session_id string, seq int, message_id long, role string, content string, tool_use_id string, is_meta boolean, stored_ts timestamp"
@@ -153,7 +154,7 @@ MESSAGE = "session_id string, seq int, message_id long, role string, content str
 
 def test_conversations_made(spark):
     r = random.Random(7)
-    ts = [pd.Timestamp("2025-01-01", tz="UTC") + pd.Timedelta(hours=i) for i in range(3)] + [None]
+    ts = [datetime(2025, 1, 1, i, tzinfo=timezone.utc) for i in range(3)] + [None]
     out, no = [], 0
     for s in range(150):
         turns = ["user", "assistant"] * r.randint(1, 4)
@@ -163,7 +164,7 @@ def test_conversations_made(spark):
             if r.random() < 0.06:
                 say = r.choice([None, "", " \n", "[]", '[{"type":"text"}]', '[{"type":"text","text":" "}]', "[1, 2]"])
             role = r.choice([role] * 15 + [role.upper(), f" {role}\n", "system", "tool", None])
-            out.append((f"s{s}", None if r.random() < 0.005 else q + (r.random() < 0.01), no, role, say, None, r.choice([None] * 9 + [True, False]), r.choice(ts)))
+            out.append((f"s{s}", None if r.random() < 0.005 else q + int(r.random() < 0.01), no, role, say, None, r.choice([None] * 9 + [True, False]), r.choice(ts)))
             if r.random() < 0.1:
                 out.append((*out[-1][:2], no + 10_000, out[-1][3], r.choice([say, "other"]), None, None, r.choice(ts)))
     for s, order in enumerate(([1, 2, 3, 4], [1, 3, 2, 4], [1, 2, 4, 3])):
@@ -173,7 +174,7 @@ def test_conversations_made(spark):
     m = pd.DataFrame(out, columns=["session_id", "seq", "message_id", "role", "content", "tool_use_id", "is_meta", "stored_ts"]).astype(object).where(lambda d: d.notna(), None)
     want = brute.p5(m)
     assert len(want) > 50
-    assert rows(conversations(frame(spark, m, MESSAGE)).select("session_id", "turn_no", "message_id")) == sorted(want, key=str)
+    assert rows(conversations(spark.createDataFrame(out, MESSAGE)).select("session_id", "turn_no", "message_id")) == sorted(want, key=str)
 
 
 def test_conversation_longer_than_a_block(spark, monkeypatch):
