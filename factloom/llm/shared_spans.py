@@ -10,6 +10,8 @@ result is exact, and no pair of documents is ever formed:
    all documents sends two rows a batch.
 3. The shared anchors return to their texts, which send for each the characters that a run around it can reach. Behind a second
    shuffle by anchor, every run around equal anchors is compared by the hash of its whole content.
+   second shuffle by anchor, every run around equal anchors is compared by the hash of its whole content. An anchor with very
+   many rows is not gathered: its runs are compared one by one, by an aggregate that is combined map-side.
 4. The runs that stand in two texts are united to maximal spans. Whole copies of a text are one text until the end.
 """
 
@@ -28,6 +30,8 @@ from factloom.llm.words import signed
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 #: Characters that are hashed at once, and rows of context that are compared at once.
 CHUNK, ROWS = 1 << 20, 4096
+#: Rows of one anchor that are still compared in one task, 20 MB of text.
+HOT_ROWS = 100_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -230,7 +234,37 @@ def _runs(length: int, k: int):  # noqa: ANN202
     return run
 
 
-def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 120, k: int = 40) -> DataFrame:
+def _windows(length: int, k: int):  # noqa: ANN202
+    """Every run around an anchor as a row of its own: the hash of its content, the text, the anchor's place, and where it starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach, width = length - k, 2 * length - k
+        for b in batches:
+            for i in range(0, len(b), ROWS):
+                rows = b.slice(i, ROWS)
+                p, texts = rows.column("p").to_numpy(zero_copy_only=False), rows.column("ctx").to_pylist()
+                codes = np.zeros((len(texts), width), dtype=np.uint32)
+                lo = reach - np.minimum(p, reach)
+                for r, ctx in enumerate(texts):
+                    codes[r, lo[r] : lo[r] + len(ctx)] = np.frombuffer(ctx.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                hi = lo + np.array([len(x) for x in texts])
+                s = np.arange(reach + 1)
+                row, off = np.nonzero((s >= lo[:, None]) & (s + length <= hi[:, None]))
+                w = gram_hashes(codes, length)[row, off].view(np.int64)
+                t = rows.column("t").to_numpy(zero_copy_only=False)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(t), pa.array((p[row] - reach + off).astype(np.int64))], names=["w", "t", "s"])
+
+    return run
+
+
+def _hot_runs(contexts: DataFrame, length: int, k: int) -> DataFrame:
+    """The same runs for anchors with very many rows: compared by content, combined map-side, with no group in one task."""
+    rows = contexts.mapInArrow(_windows(length, k), "w long, t long, s long")
+    twice = rows.groupBy("w").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("w")
+    return rows.join(twice.hint("merge"), "w", "left_semi").select("t", "s", (F.col("s") + length).alias("e"))
+
+
+def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 120, k: int = 40, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, span_start, span_end of the maximal runs of characters that stand verbatim in another document.
 
     Texts that are null, or shorter than `length`, share nothing. Rows that repeat a doc_id with the same text count once; with
@@ -241,6 +275,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull() & (F.char_length("text") >= length))
     asked = docs.select("text").mapInArrow(_anchor_rows(length, k), "h long, t long, known boolean")
     shared = asked.repartition(F.expr("if(known, t, h)")).sortWithinPartitions("h", "t").mapInArrow(_shared_rows, "h long, t long")
+    shared = shared.persist()
     per_text = shared.groupBy("t").agg(F.collect_set("h").alias("hs"))
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +295,12 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = docs.mapInArrow(identify, f"doc_id {kind}, t long, n long, text string")
     texts = named.filter(F.col("text").isNotNull()).select("t", "text")
     contexts = texts.join(per_text.hint("merge"), "t").select("text", "t", "hs").mapInArrow(_contexts(length, k), "h long, t long, p int, ctx string")
-    runs = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_runs(length, k), "t long, s long, e long")
+    grouped = lambda rows: rows.repartition("h").sortWithinPartitions("h").mapInArrow(_runs(length, k), "t long, s long, e long")
+    hot = shared.groupBy("h").agg(F.count("*").alias("rows")).filter(F.col("rows") > hot_rows).select("h").persist()
+    if hot.isEmpty():
+        runs = grouped(contexts)
+    else:
+        runs = grouped(contexts.join(hot, "h", "left_anti").select("h", "t", "p", "ctx")).unionAll(_hot_runs(contexts.join(hot, "h", "left_semi"), length, k))
     # Gaps and islands: a run starts a new span when it begins behind all that began before it.
     w = Window.partitionBy("t").orderBy("s", "e")
     ahead = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))

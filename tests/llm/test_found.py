@@ -187,14 +187,14 @@ def test_conversation_longer_than_a_block(spark, monkeypatch):
     assert [x[:2] for x in sorted(got, key=lambda x: x[1])] == [("s", i) for i in range(1, 101)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_spans_made(spark, seed):
+@pytest.mark.parametrize("seed, hot", [(1, 10**6), (2, 10**6), (3, 5), (4, 0)])
+def test_spans_made(spark, seed, hot):
     r = random.Random(seed)
     parts = ["".join(r.choices("abcdefgh é漢", k=r.randint(20, 90))) for _ in range(30)]
     docs = [(i, "".join(r.choices(parts, k=r.randint(0, 8)))) for i in range(60)] + [(100, None), (101, "a" * 300), (102, "a" * 500), (103, "x" * 120), (104, "x" * 120), (105, "x" * 119)]
     docs += [(200 + i, docs[5][1] + "tail") for i in range(30)]
     want = brute.p8(pd.DataFrame(docs, columns=["doc_id", "text"]), 60)
-    got = shared_spans(spark.createDataFrame(docs, "doc_id long, text string"), length=60, k=25)
+    got = shared_spans(spark.createDataFrame(docs, "doc_id long, text string"), length=60, k=25, hot_rows=hot)
     assert rows(got) == sorted(want, key=str)
 
 
