@@ -47,20 +47,33 @@ def merged_metadata(rows: DataFrame, group: list[str], order: list[str]) -> Data
 def lexical_pairs(rows: DataFrame, threshold: float = fixed.CLUSTER_JACCARD) -> DataFrame:
     """Pairs (namespace, a, b, sim) of rows of one namespace whose lexical tokens reach a Jaccard similarity, a before b.
 
-    Only rows that have one of their rarest tokens in common meet: for each, the first n - ceil(t * n) + 1 by frequency. The
-    result is exact; rows without tokens are similar to nothing.
+    The result is exact, by three steps. Rows meet only over one of their rarest tokens: the longer of the two sends the first
+    n - ceil(t * n) + 1 by frequency, the shorter the first n - ceil(2t / (1 + t) * n) + 1. What travels is a key, the size and a
+    fingerprint in which each token flips one of 128 bits: sets can't differ in fewer tokens than their fingerprints in bits.
+    Only pairs that pass are compared token by token, once each. Rows without tokens are similar to nothing.
     """
     toks = rows.select("namespace", "id", T.lexical_tokens(F.col("content")).alias("toks")).filter(F.size("toks") > 0)
     each = toks.select("namespace", "id", F.explode("toks").alias("tok"))
     freq = each.groupBy("namespace", "tok").agg(F.count("*").alias("df"))
-    ranked = each.join(freq, ["namespace", "tok"]).groupBy("namespace", "id").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
-    sets = ranked.select("namespace", "id", F.col("o.tok").alias("toks"))
-    lead = sets.select("namespace", "id", "toks", F.explode(F.slice("toks", F.lit(1), (F.size("toks") - F.ceil(F.size("toks") * threshold) + 1).cast("int"))).alias("tok"))
-    a, b = lead.alias("a"), lead.select("namespace", "tok", "id", "toks").alias("b")
-    na, nb = F.size("a.toks"), F.size("b.toks")
-    met = a.join(b, (F.col("a.namespace") == F.col("b.namespace")) & (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") < F.col("b.id")) & (F.least(na, nb) >= threshold * F.greatest(na, nb)))
-    sims = met.select(F.col("a.namespace").alias("namespace"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), T.jaccard(F.col("a.toks"), F.col("b.toks")).alias("sim"))
-    return sims.filter(F.col("sim") >= threshold).distinct()
+    ranked = each.join(freq, ["namespace", "tok"]).groupBy("namespace", "id").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("tok").alias("h")))).alias("o"))
+    flips = lambda half: F.aggregate(F.filter("hs", lambda h: F.pmod(h, F.lit(2)) == half), F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 1), F.lit(64)).cast("int"))))
+    sets = ranked.select("namespace", "id", F.col("o.h").alias("hs")).select("namespace", "id", "hs", F.size("hs").alias("n"), flips(0).alias("f0"), flips(1).alias("f1")).persist()
+
+    def sent(s: str, length: Column) -> DataFrame:
+        """One row for each leading token, all columns named by side."""
+        lead = F.slice("hs", F.lit(1), length.cast("int"))
+        out = sets.select(F.explode(F.transform(lead, lambda h: F.xxhash64("namespace", h))).alias("key"), "id", "n", "f0", "f1")
+        return out.select(*(F.col(c).alias(f"{s}_{c}") for c in out.columns))
+
+    x, y = sent("x", F.col("n") - F.ceil(F.col("n") * threshold) + 1), sent("y", F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1)
+    bits = sum(F.bit_count(F.col(f"x_{f}").bitwiseXOR(F.col(f"y_{f}"))) for f in ("f0", "f1"))
+    first = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") > F.col("y_id")))
+    near = (F.col("y_n") >= threshold * F.col("x_n")) & (bits * (1 + threshold) <= (1 - threshold) * (F.col("x_n") + F.col("y_n")) + 1e-9)
+    met = x.join(y.hint("merge"), (F.col("x_key") == F.col("y_key")) & first & near).select("x_id", "y_id").distinct()
+    left, right = (sets.select(F.col("id").alias(f"{s}_id"), F.col("namespace").alias(f"{s}_ns"), F.col("hs").alias(f"{s}_hs")) for s in "xy")
+    both = met.join(left, "x_id").join(right, "y_id").filter("x_ns = y_ns")
+    sims = both.select(F.col("x_ns").alias("namespace"), F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), T.jaccard(F.col("x_hs"), F.col("y_hs")).alias("sim"))
+    return sims.filter(F.col("sim") >= threshold)
 
 
 def absorb_reason(keeper: Column, other: Column, other_id: Column) -> Column:

@@ -31,10 +31,10 @@ def bm25(rows: DataFrame, query: str, columns: tuple[str, ...] = INDEXED, id_col
     are scored; no postings are shuffled.
     """
     terms = terms_of(query)
-    toks = rows.select(F.col(id_col).alias("id"), tokens(columns).alias("toks"))
-    begins = lambda t: lambda x: x.startswith(t)
-    tf = [F.size(F.filter("toks", begins(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = toks.select("id", F.size("toks").alias("dl"), *tf)
+    # A token with a term as prefix is a place where the term stands without a token character before it.
+    low = F.lower(F.concat_ws(" ", *columns))
+    tf = [F.when(F.col("low").contains(t), F.regexp_count("low", F.lit(f"(?<![a-z0-9]){t}"))).otherwise(0).alias(f"tf{i}") for i, t in enumerate(terms)]
+    counted = rows.select(F.col(id_col).alias("id"), low.alias("low")).select("id", F.regexp_count("low", F.lit("[a-z0-9]+")).alias("dl"), *tf)
     if not terms:
         return counted.select("id", F.lit(0.0).alias("bm25")).limit(0)
     totals = counted.agg(F.count("*").alias("rows_n"), F.avg("dl").alias("avg_dl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
