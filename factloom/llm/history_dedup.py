@@ -12,7 +12,6 @@ small enough to survive that are two or three bits long and match nearly everyth
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.near_duplicates import KEPT, packed, scope_of, scoped
-from factloom.llm.words import SKETCH_BITS, WordHasher, exact, halves, signed, sketch, slots, words
+from factloom.llm.words import SKETCH_BITS, WordHasher, checkpoint_dir, exact, halves, signed, sketch, slots, words
 
 FINGERPRINT = "ca long, cb long, n int, f1 long, f2 long, toks binary, fresh boolean"
 #: The largest set size that the lower 16 bits of f2 tell exactly.
 MOST = 0xFFFF
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the session's checkpoint folder; makes one only where none is named, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-
-
 def bits_of(h: np.ndarray) -> tuple[int, int]:
     """Each hash flips one of 112 bits: 64 in the first half, 48 in the upper part of the second, whose lower part is the size."""
     at = ((h >> np.uint64(20)) % np.uint64(112)).astype(np.uint64)

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.components import components
 from factloom.llm.words import SKETCH_BITS, WordHasher, exact, halves, kept_by, membership, signed, sketch, slots, words
 
 #: Bytes that are kept of a word's hash when sets are compared.
@@ -246,14 +247,34 @@ def class_pairs(feats: DataFrame, threshold: float) -> DataFrame:
     return across.unionAll(inside)
 
 
+def _prepared(df: DataFrame, id_col: str, group_col: str, text_col: str) -> DataFrame:
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).alias("ns"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
+    return features(rows, _statistics(rows.select("ns", "text"))).persist()
+
+
+def near_duplicate_groups(df: DataFrame, id_col: str = "id", group_col: str = "namespace", text_col: str = "content", threshold: float = 0.7) -> DataFrame:
+    """id, group_id and links of every row with words: rows that are linked by similarities, over any number of steps, share the
+    group_id, the smallest id among them; links counts the other sets of words that a row's own is similar to.
+
+    Copies aren't expanded into pairs: components are built on classes. The conventions are those of near_duplicate_pairs.
+    """
+    feats = _prepared(df, id_col, group_col, text_col)
+    node = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    links = class_pairs(feats, threshold).select(node("xa", "xb").alias("x"), node("ya", "yb").alias("y")).persist()
+    degree = links.select("x").unionAll(links.select("y")).groupBy("x").agg(F.count("*").alias("links")).withColumnRenamed("x", "node")
+    labels = components(links, "x", "y").join(degree, "node").select("node", "label", "links")
+    rows = feats.select("id", node("ca", "cb").alias("node")).join(labels.hint("merge"), "node", "left").select("id", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    first = rows.groupBy("label").agg(F.min("id").alias("group_id"))
+    return rows.join(first.hint("merge"), "label").select("id", "group_id", "links")
+
+
 def near_duplicate_pairs(df: DataFrame, id_col: str = "id", group_col: str = "namespace", text_col: str = "content", threshold: float = 0.7) -> DataFrame:
     """Every pair of rows with equal group and a similarity of at least the threshold whose sequences of words differ: id_a < id_b.
 
     Rows without an id, and rows without any word (null, empty, only punctuation), are in no pair; a null group is a group.
     Rows with equal ids are paired with others as often as they occur, never with each other. Other columns play no role.
     """
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).alias("ns"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
-    feats = features(rows, _statistics(rows.select("ns", "text"))).persist()
+    feats = _prepared(df, id_col, group_col, text_col)
     pairs = class_pairs(feats, threshold).persist()
     # Classes of several sequences, by aggregates that are combined map-side; then only rows of classes that are in a pair travel.
     seq = F.struct("sa", "sb")

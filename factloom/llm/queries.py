@@ -11,7 +11,7 @@ from factloom.llm.conversations import conversations
 from factloom.llm.format_copies import format_copies
 from factloom.llm.history_dedup import known_rows
 from factloom.llm.mixing import mix
-from factloom.llm.near_duplicates import near_duplicate_pairs
+from factloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from factloom.llm.packing import containers, unused_space
 from factloom.llm.shared_spans import shared_spans
 from factloom.llm.top_n import top_records
@@ -29,6 +29,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(_live(spark, sf_dir))
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(_live(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_records(_t(spark, sf_dir, "memory"))
 
@@ -70,7 +74,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p3_found, p3_kept, p4_found, p5_found, p6_containers, p6_unused, p7_mix, p7_shares, p8_found]
+    found = [p1_found, p1_groups, p2_found, p3_found, p3_kept, p4_found, p5_found, p6_containers, p6_unused, p7_mix, p7_shares, p8_found]
     return {f.__name__: f for f in found}
 
 

@@ -8,8 +8,7 @@ result is exact, and no pair of documents is ever formed:
 2. Anchors that stand in two texts or more are found by one shuffle of (hash, text) rows. Anchors that a task itself finds in
    two of its texts go on at once, and only two of their rows are compared with the other tasks: a passage quoted in a third of
    all documents sends two rows a batch.
-3. The shared anchors return to their texts, which send for each the characters that a run around it can reach. Behind a second
-   shuffle by anchor, every run around equal anchors is compared by the hash of its whole content.
+3. The shared anchors return to their texts, which send for each the characters that a run around it can reach. Behind a
    second shuffle by anchor, every run around equal anchors is compared by the hash of its whole content. An anchor with very
    many rows is not gathered: its runs are compared one by one, by an aggregate that is combined map-side.
 4. The runs that stand in two texts are united to maximal spans. Whole copies of a text are one text until the end.

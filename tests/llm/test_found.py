@@ -13,7 +13,7 @@ from factloom.llm import queries as Q
 from factloom.llm.conversations import conversations
 from factloom.llm.format_copies import format_copies
 from factloom.llm.history_dedup import FingerprintStore, known_rows
-from factloom.llm.near_duplicates import near_duplicate_pairs
+from factloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from factloom.llm.shared_spans import shared_spans
 from factloom.llm.top_n import top_n, top_records
 from tests.llm import brute
@@ -85,6 +85,39 @@ def test_near_duplicates_hot_copies(spark):
     assert rows(got) == sorted(brute.p1(m))
 
 
+def union(ids, pairs):
+    up = {i: i for i in ids}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    return {i: top(i) for i in ids}
+
+
+def test_groups_made(spark):
+    m = memory(seed=6)
+    sets = {i: (ns, frozenset(brute.seq(c))) for i, ns, c in m[["id", "namespace", "content"]].itertuples(index=False)}
+    sets = {i: s for i, s in sets.items() if s[1]}
+    like = [(i, j) for i, x in sets.items() for j, y in sets.items() if i < j and x[0] == y[0] and brute.similarity(x[1], y[1]) >= 0.7]
+    want = union(sets, like)
+    others = {i: {sets[k] for p in like if i in p for k in p} - {sets[i]} for i in sets}
+    got = near_duplicate_groups(frame(spark, m, MEMORY)).collect()
+    assert {r["id"]: (r["group_id"], r["links"]) for r in got} == {i: (want[i], len(others[i])) for i in sets} and len(got) == len(sets)
+
+
+def test_components_of_a_chain(spark):
+    from factloom.llm.components import components
+
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 201)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()))
+    assert got == union({x for p in links for x in p}, links)
+
+
 def test_null_group_and_ids(spark):
     df = spark.createDataFrame([("1", None, "a b c d"), ("2", None, "b a c d"), (None, None, "a b c d e"), ("3", "x", "d c b a"), ("1", None, "d c b a")], "id string, namespace string, content string")
     assert rows(near_duplicate_pairs(df)) == [("1", "2"), ("1", "2")]
