@@ -13,6 +13,7 @@ from factloom.llm.history_dedup import known_rows
 from factloom.llm.mixing import mix
 from factloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from factloom.llm.packing import containers, unused_space
+from factloom.llm.sessions_by_gap import gap_sessions
 from factloom.llm.shared_spans import shared_spans
 from factloom.llm.top_n import top_records
 
@@ -69,12 +70,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(_t(spark, sf_dir, "message")).select("session_id", "turn_no", "message_id")
 
 
+def p5_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gap_sessions(_t(spark, sf_dir, "message"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(_t(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_groups, p2_found, p3_found, p3_kept, p4_found, p5_found, p6_containers, p6_unused, p7_mix, p7_shares, p8_found]
+    found = [p1_found, p1_groups, p2_found, p3_found, p3_kept, p4_found, p5_found, p5_gap_sessions, p6_containers, p6_unused, p7_mix, p7_shares, p8_found]
     return {f.__name__: f for f in found}
 
 
