@@ -70,9 +70,33 @@ def _sliding(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
 
 
 def anchors(texts: list[str], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts together: the number of the text, the place and the hash of each anchor."""
-    sizes = np.array([len(t) for t in texts])
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    """Of all texts together, in order: the number of the text, the place and the hash of each anchor.
+
+    Texts longer than CHUNK are cut into pieces that overlap by one character less than a run, so each run lies whole in one
+    piece and memory doesn't grow with a text.
+    """
+    out, held, chars = [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - length + 1), CHUNK):
+            held.append((i, at, text[at : at + CHUNK + length - 1]))
+            chars += len(held[-1][2])
+            if chars >= 2 * CHUNK:
+                out.append(_anchors_of(held, length, k))
+                held, chars = [], 0
+    if held:
+        out.append(_anchors_of(held, length, k))
+    no, at, h = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
+    if any(len(t) > CHUNK for t in texts):  # an anchor in an overlap comes twice
+        both = np.unique(np.rec.fromarrays([no, at], names="no,at"), return_index=True)[1]
+        no, at, h = no[both], at[both], h[both]
+    return no, at, h
+
+
+def _anchors_of(pieces: list[tuple[int, int, str]], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(t) for _, _, t in pieces])
+    codes = np.frombuffer("".join(t for _, _, t in pieces).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if not len(codes):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     h = gram_hashes(codes, k) | np.uint64(1)
     w, ends = length - k + 1, np.cumsum(sizes)
     low = _sliding(h, w, np.minimum)
@@ -81,8 +105,8 @@ def anchors(texts: list[str], length: int, k: int) -> tuple[np.ndarray, np.ndarr
     # A place is an anchor when the largest of the minima of the runs that hold it is its own hash.
     back = np.concatenate([np.zeros(w - 1, dtype=np.uint64), low])
     at = np.flatnonzero(_sliding(back, w, np.maximum)[: len(h)] == h)
-    no = np.searchsorted(ends, at, side="right")
-    return no, at - (ends - sizes)[no], h[at]
+    piece = np.searchsorted(ends, at, side="right")
+    return np.array([i for i, _, _ in pieces])[piece], at - (ends - sizes)[piece] + np.array([o for _, o, _ in pieces])[piece], h[at]
 
 
 def text_id(text: str) -> int:

@@ -235,3 +235,32 @@ def test_empty_tables(spark):
     m, b = frame(spark, memory(4).iloc[:0], MEMORY), spark.createDataFrame([], BATCH)
     assert rows(near_duplicate_pairs(m)) == rows(top_records(m)) == rows(format_copies(m)[1]) == rows(known_rows(m, b)) == []
     assert rows(conversations(spark.createDataFrame([], MESSAGE))) == rows(shared_spans(spark.createDataFrame([], "doc_id long, text string"))) == []
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    from factloom.llm import shared_spans as P
+
+    r = random.Random(9)
+    texts = ["".join(r.choices("abcd", k=n)) for n in (5000, 3, 0, 60, 777, 2000)] + ["z" * 900]
+    want = [x.tolist() for x in P.anchors(texts, 60, 25)]
+    monkeypatch.setattr(P, "CHUNK", 128)
+    assert [x.tolist() for x in P.anchors(texts, 60, 25)] == want
+
+
+def test_clashing_columns(spark):
+    """Extra columns named like those that the operators make change nothing."""
+    def more(df):
+        for c in ("g", "ca", "cb", "h", "t", "n", "s", "e", "w", "ns", "text", "ord", "ref", "key", "toks", "item", "kind", "size", "blk", "turn", "keep_id", "row", "fresh", "salt", "rank", "range", "u", "no"):
+            if c not in df.columns:
+                df = df.withColumn(c, F.lit("x"))
+        return df
+
+    m, b = frame(spark, memory(60, 8), MEMORY), frame(spark, batch(memory(40, 9), 9), BATCH)
+    assert rows(near_duplicate_pairs(more(m))) == rows(near_duplicate_pairs(m))
+    assert rows(top_records(more(m))) == rows(top_records(m))
+    assert rows(format_copies(more(m))[1]) == rows(format_copies(m)[1])
+    assert rows(known_rows(more(m), more(b))) == rows(known_rows(m, b))
+    d = spark.createDataFrame([(1, "ab" * 100), (2, "ab" * 90)], "doc_id long, text string")
+    assert rows(shared_spans(more(d.withColumnRenamed("text", "body")), text_col="body")) == rows(shared_spans(d)) != []
+    c = spark.createDataFrame([("s", 1, 1, "user", "q", None, None, None), ("s", 2, 2, "assistant", "a", None, None, None)], MESSAGE)
+    assert rows(conversations(more(c))) == rows(conversations(c)) != []

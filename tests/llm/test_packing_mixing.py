@@ -109,3 +109,11 @@ def test_mix_of_the_test_data(spark, data):
     assert Q.queries()["p7_mix"](spark, data).count() > 0
     shares = Q.queries()["p7_shares"](spark, data).collect()
     assert len(shares) == 14 and abs(sum(r["actual_share"] for r in shares) - 1) < 1e-9
+
+
+def test_clashing_columns(spark):
+    docs, target = made(spark)
+    more = docs.withColumns({c: docs["doc_id"] for c in ("item", "size", "kind", "capacity", "shard", "u", "range", "epochs", "rest", "n_tokens")})
+    assert sorted(map(tuple, mix(more, target)[0].collect())) == sorted(map(tuple, mix(docs, target)[0].collect()))
+    sized = items(spark, 200)
+    assert sorted(map(tuple, pack(sized.withColumns({c: sized["doc_id"] for c in ("item", "size", "kind", "capacity", "shard", "container_kind")}), KINDS).collect())) == sorted(map(tuple, pack(sized, KINDS).collect()))
