@@ -3,7 +3,7 @@
 Every record has a 112-bit fingerprint in which each of its distinct words flips one bit, so two fingerprints differ in at most as
 many bits as their records differ in words: a pair whose bits differ more than the threshold allows can't be similar. Records are
 found by *blocks*: the words of a record from the rarest on, rotated so that each of the first ones leads one row of the block
-table, as many as must hold one word of every similar record. A new record looks up its own blocks, the matches are held against
+table, as many as must hold one word of every similar record (common words lead in twos). A new record looks up its own blocks, the matches are held against
 the bit-difference bound, then word by word, and what is accepted is appended to the tables. The outcome is exact.
 
 Blocks are words and not ranges of bits because records at the threshold of 0.7 may differ in 43 % of their words; blocks of bits
@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.near_duplicates import KEPT, packed, scope_of, scoped
-from factloom.llm.words import SKETCH_BITS, WordHasher, checkpoint_dir, exact, halves, signed, sketch, slots, words
+from factloom.llm.words import COMMON, SKETCH_BITS, WordHasher, checkpoint_dir, exact, halves, signed, sketch, slots, words
 
-FINGERPRINT = "ca long, cb long, n int, f1 long, f2 long, toks binary, fresh boolean"
+FINGERPRINT = "ca long, cb long, n int, r int, f1 long, f2 long, toks binary, fresh boolean"
 #: The largest set size that the lower 16 bits of f2 tell exactly.
 MOST = 0xFFFF
 
@@ -47,7 +47,7 @@ def word_order(rows: DataFrame) -> np.ndarray:
     return sketch(rows.select("text"), of, 1 << SKETCH_BITS)
 
 
-def fingerprints(rows: DataFrame, counts: np.ndarray) -> DataFrame:
+def fingerprints(rows: DataFrame, counts: np.ndarray, common: int = COMMON) -> DataFrame:
     """Adds to rows with ns and text, which they lose, the class of the word set, its size, fingerprint and words, rarest first.
 
     Rows without words have null in all of these. `fresh` marks the first row of a class in its task.
@@ -55,7 +55,7 @@ def fingerprints(rows: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
     kept = [c for c in rows.columns if c not in ("ns", "text")]
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), FINGERPRINT])
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, hasher, seen, scopes = shared.value, WordHasher(), set(), {}
@@ -64,7 +64,7 @@ def fingerprints(rows: DataFrame, counts: np.ndarray) -> DataFrame:
             for ns, text in zip(b.column("ns").to_pylist(), b.column("text").to_pylist()):
                 found = set(words(text))
                 if not found:
-                    out.append((None, None, None, None, None, None, False))
+                    out.append((None, None, None, None, None, None, None, False))
                     continue
                 if (scope := scopes.get(ns)) is None:
                     if len(scopes) > 100_000:
@@ -77,17 +77,26 @@ def fingerprints(rows: DataFrame, counts: np.ndarray) -> DataFrame:
                     seen.clear()
                 fresh = (ca, cb) not in seen
                 seen.add((ca, cb))
-                out.append((ca, cb, len(h), *map(signed, bits_of(h)), packed(h[np.lexsort((h, df[slots(plain)]))]), fresh))
-            cols = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(cols, types))], names=[*kept, "ca", "cb", "n", "f1", "f2", "toks", "fresh"])
+                out.append((ca, cb, len(h), int(np.count_nonzero(df[slots(plain)] <= common)), *map(signed, bits_of(h)), packed(h[np.lexsort((h, df[slots(plain)]))]), fresh))
+            cols = list(zip(*out)) if out else [[]] * 8
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(cols, types))], names=[*kept, "ca", "cb", "n", "r", "f1", "f2", "toks", "fresh"])
 
     return rows.mapInArrow(make, schema)
 
 
 def blocks(prints: DataFrame, num: int, den: int) -> DataFrame:
-    """The block table: one row for each leading word of each class."""
-    lead = F.expr(f"transform(sequence(0, cast(n - ceil({num} * n / {den}) as int)), i -> xxhash64(substring(toks, i * {KEPT} + 1, {KEPT})))")
-    return prints.filter("fresh").select(F.explode(lead).alias("key"), "ca", "f1", "f2")
+    """The block table: a row for each leading word of each class, or for two where words are common.
+
+    The rarest word that two similar records share is among the leading words of both. If it isn't common it is a block by
+    itself. If it is, all shared words are, and the second rarest is among the leading words and the one behind them: the two
+    together are a block. Records so small that one shared word can do have common words as blocks too.
+    """
+    word = f"substring(toks, {{}} * {KEPT} + 1, {KEPT})".format
+    least = f"cast(ceil({num} * n / {den}) as int)"
+    lead, end = f"(n - {least} + 1)", f"least(n, n - {least} + 2)"
+    alone = f"transform(filter(sequence(0, {lead} - 1), i -> i < r or {least} < 2), i -> xxhash64({word('i')}))"
+    pairs = f"flatten(transform(sequence(r, {end} - 1), i -> transform(filter(sequence(r, {end} - 1), j -> j > i), j -> xxhash64({word('i')}, {word('j')}))))"
+    return prints.filter("fresh").select(F.explode(F.expr(f"if(r < {lead}, concat({alone}, {pairs}), {alone})")).alias("key"), "ca", "f1", "f2")
 
 
 def _verify(num: int, den: int):  # noqa: ANN202
@@ -179,7 +188,7 @@ def history_rows(memory: DataFrame) -> DataFrame:
     return memory.select(origin("source_ref", "ingestion_ts").alias("ref"), F.col("namespace").alias("ns"), F.col("content").alias("text"))
 
 
-def known_rows(memory: DataFrame, batch: DataFrame, threshold: float = 0.7) -> DataFrame:
+def known_rows(memory: DataFrame, batch: DataFrame, threshold: float = 0.7, common: int = COMMON) -> DataFrame:
     """row_id of the rows of batch that are there already, in memory or among the rows accepted before them.
 
     Rows are taken by (batch_no, line_no, row_id), nulls first. A row without words (null, empty or punctuation only) is similar
@@ -187,7 +196,7 @@ def known_rows(memory: DataFrame, batch: DataFrame, threshold: float = 0.7) -> D
     """
     old, new = history_rows(memory), batch_rows(batch)
     counts = word_order(old.select("text").unionAll(new.select("text")))
-    return find_cases(fingerprints(old, counts).persist(), fingerprints(new, counts).persist(), threshold)
+    return find_cases(fingerprints(old, counts, common).persist(), fingerprints(new, counts, common).persist(), threshold)
 
 
 class FingerprintStore:
@@ -208,5 +217,5 @@ class FingerprintStore:
         counts = np.frombuffer(self.spark.read.parquet(f"{self.path}/order").first()["counts"], dtype=np.int64)
         new = fingerprints(batch_rows(batch), counts).persist()
         cases = find_cases(self.spark.read.parquet(f"{self.path}/prints"), new, self.threshold).checkpoint()
-        new.join(cases, "row_id", "left_anti").select("ref", "ca", "cb", "n", "f1", "f2", "toks", F.col("n").isNotNull().alias("fresh")).write.mode("append").parquet(f"{self.path}/prints")
+        new.join(cases, "row_id", "left_anti").select("ref", "ca", "cb", "n", "r", "f1", "f2", "toks", F.col("n").isNotNull().alias("fresh")).write.mode("append").parquet(f"{self.path}/prints")
         return cases

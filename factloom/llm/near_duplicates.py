@@ -8,7 +8,7 @@ threshold. The result is exact.
    be large is split by a hash of the class. Of each group the matrix keeps its token union, hashed to 128
    columns, with the smallest and largest set size.
 3. A set, as a query, meets a group only through a word: each sends its rarest words (a prefix that must hold one word of every
-   similar set). Where they meet, the columns bound how many of the query's words any set of the group can have, and only
+   similar set), common ones in pairs so that no key gathers a large part of a namespace. Where they meet, the columns bound how many of the query's words any set of the group can have, and only
    groups whose bound reaches the threshold are opened.
 4. In the opened groups, and inside each group, the sets themselves are compared.
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
-from factloom.llm.words import SKETCH_BITS, WordHasher, exact, halves, kept_by, membership, signed, sketch, slots, words
+from factloom.llm.words import COMMON, SKETCH_BITS, WordHasher, exact, halves, kept_by, membership, signed, sketch, slots, words
 
 #: Bytes that are kept of a word's hash when sets are compared.
 KEPT = 5
@@ -83,11 +83,12 @@ def _statistics(rows: DataFrame) -> np.ndarray:
     return sketch(rows, of, 2 << SKETCH_BITS)
 
 
-FEATURES = "id string, g long, ca long, cb long, sa long, sb long, n int, b1 long, b2 long, toks binary, fresh boolean"
+FEATURES = "id string, g long, ca long, cb long, sa long, sb long, n int, r int, b1 long, b2 long, toks binary, fresh boolean"
 
 
-def features(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """One row per record that has words: its class (ca, cb), its sequence (sa, sb), its group g, and its set, rarest word first."""
+def features(rows: DataFrame, counts: np.ndarray, common: int) -> DataFrame:
+    """One row per record that has words: its class (ca, cb), its sequence (sa, sb), its group g, and its set, rarest word first, of
+    which the first r are not common."""
     shared = rows.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +115,11 @@ def features(rows: DataFrame, counts: np.ndarray) -> DataFrame:
                 fresh = (ca, cb) not in seen
                 seen.add((ca, cb))
                 sa, sb = halves(" ".join(found).encode("utf-8", "surrogatepass"))
-                out.append((i, signed(g), ca, cb, sa, sb, len(h), *map(signed, columns_of(h)), packed(h[order]), fresh))
-            cols = list(zip(*out)) if out else [[]] * 11
-            types = [pa.string(), *[pa.int64()] * 5, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "g", "ca", "cb", "sa", "sb", "n", "b1", "b2", "toks", "fresh"])
+                rare = int(np.count_nonzero(df[slots(plain)] <= common))
+                out.append((i, signed(g), ca, cb, sa, sb, len(h), rare, *map(signed, columns_of(h)), packed(h[order]), fresh))
+            cols = list(zip(*out)) if out else [[]] * 12
+            types = [pa.string(), *[pa.int64()] * 5, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "g", "ca", "cb", "sa", "sb", "n", "r", "b1", "b2", "toks", "fresh"])
 
     return rows.mapInArrow(make, FEATURES)
 
@@ -136,11 +138,35 @@ class _Sets:
         packed_ = b"".join(cols["toks"].to_pylist())
         weights = np.uint64(1) << (np.uint64(8) * np.arange(KEPT - 1, -1, -1, dtype=np.uint64))
         self.words = (np.frombuffer(packed_, dtype=np.uint8).reshape(-1, KEPT) * weights).sum(axis=1, dtype=np.uint64)
-        self.n = cols["n"].to_numpy(zero_copy_only=False).astype(np.int64)
+        self.n, self.r = (cols[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "r"))
         self.start = np.cumsum(self.n) - self.n
         self.group = np.repeat(np.arange(len(lists)), np.diff(self.bounds))
 
 
+    def keys(self, at: np.ndarray, lead: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys over which the sets `at` meet others, and the set of each key, when a prefix of `lead` words must hold one.
+
+        The rarest word that two similar sets share lies in both prefixes. If it isn't common it is a key by itself. If it is,
+        all shared words are, and the second rarest lies in both prefixes longer by one: the two together are a key. Sets so
+        small that one shared word can do send common words by themselves as well.
+        """
+        n, r, start = self.n[at], self.r[at], self.start[at]
+        alone = np.where(-(-num * n // den) < 2, lead, np.minimum(r, lead))
+        owner, key = [np.repeat(at, alone)], [self.words[_ranges(start, alone)] * M1]
+        many = np.where(r < lead, np.minimum(n, lead + 1) - r, 0)
+        for f in np.unique(many[many > 1]):
+            of = np.flatnonzero(many == f)
+            i, j = np.triu_indices(f, 1)
+            first = (start[of] + r[of])[:, None]
+            both = self.words[first + i] * M2 + self.words[first + j]
+            key.append(((both ^ (both >> np.uint64(31))) * M1).ravel())
+            owner.append(np.repeat(at[of], len(i)))
+        return np.concatenate(owner), np.concatenate(key)
+
+
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0] .. start[0] + size[0] - 1, start[1] .., one behind the other."""
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -150,9 +176,9 @@ def _matrix(num: int, den: int, queries: bool):  # noqa: ANN202
     """The rows by which sets and groups meet: key, group, columns, and size, which holds the smallest and the largest set and
     what the row is: 1 a query of a large group, 2 a large group as target, 3 a set of a small group.
 
-    Every set is a query and sends its prefix. The sets of a small group are targets themselves, for queries of their size or
-    more, with the shorter prefix that this allows; a larger group is one target that sends its token union and the prefixes
-    of all its sets.
+    Every set is a query and sends the keys of its prefix. The sets of a small group are targets themselves, for queries of their size or
+    more, with the shorter prefix that this allows; a larger group is one target that sends its token union and the keys of
+    all its sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,17 +190,17 @@ def _matrix(num: int, den: int, queries: bool):  # noqa: ANN202
             full = sets.n - -(-num * sets.n // den) + 1
             short = sets.n - -(-2 * num * sets.n // (num + den)) + 1
             at = np.arange(len(sets.n)) if queries else np.flatnonzero(~many)
-            lead = (full if queries else short)[at]
             size = (sets.n << 34) + (sets.n << 4) + np.where(many, 1, 3)
-            cols = [[sets.words[_ranges(sets.start[at], lead)]], *([np.repeat(c[at], lead)] for c in (g[sets.group], sets.b1, sets.b2, size))]
+            owner, key = sets.keys(at, (full if queries else short)[at], num, den)
+            cols = [[key], *([c[owner]] for c in (g[sets.group], sets.b1, sets.b2, size))]
             for k in [] if queries else np.unique(sets.group[many]):
                 own = np.arange(sets.bounds[k], sets.bounds[k + 1])
-                keys, n = np.unique(sets.words[_ranges(sets.start[own], full[own])]), sets.n[own]
+                keys, n = np.unique(sets.keys(own, full[own], num, den)[1]), sets.n[own]
                 union = np.bitwise_or.reduce(sets.b1[own]), np.bitwise_or.reduce(sets.b2[own])
                 for c, v in zip(cols, (keys, *(np.full(len(keys), x) for x in (g[k], *union, (n.min() << 34) + (n.max() << 4) + 2)))):
                     c.append(v)
             out = [np.concatenate(c) for c in cols]
-            out[0] = (out[0] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            out[0] = out[0].view(np.int64)
             for i in range(0, len(out[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in out], names=["key", "g", "b1", "b2", "size"])
 
@@ -223,9 +249,9 @@ def class_pairs(feats: DataFrame, threshold: float) -> DataFrame:
     # A fixed number of partitions, so that the joins by g below find the stored groups where they are.
     parts = int(feats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = (
-        feats.filter("fresh").select("g", "ca", "cb", "n", "b1", "b2", "toks").repartition(parts, "g")
-        .groupBy("g", "ca", "cb").agg(F.first(F.struct("n", "b1", "b2", "toks")).alias("m"))
-        .groupBy("g").agg(F.collect_list(F.struct("ca", "cb", "m.n", "m.b1", "m.b2", "m.toks")).alias("members"))
+        feats.filter("fresh").select("g", "ca", "cb", "n", "r", "b1", "b2", "toks").repartition(parts, "g")
+        .groupBy("g", "ca", "cb").agg(F.first(F.struct("n", "r", "b1", "b2", "toks")).alias("m"))
+        .groupBy("g").agg(F.collect_list(F.struct("ca", "cb", "m.n", "m.r", "m.b1", "m.b2", "m.toks")).alias("members"))
     ).persist()
     matrix = "key long, g long, b1 long, b2 long, size long"
     a, b = (groups.mapInArrow(_matrix(num, den, queries), matrix).alias(s) for s, queries in (("a", True), ("b", False)))
@@ -247,18 +273,18 @@ def class_pairs(feats: DataFrame, threshold: float) -> DataFrame:
     return across.unionAll(inside)
 
 
-def _prepared(df: DataFrame, id_col: str, group_col: str, text_col: str) -> DataFrame:
+def _prepared(df: DataFrame, id_col: str, group_col: str, text_col: str, common: int) -> DataFrame:
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).alias("ns"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
-    return features(rows, _statistics(rows.select("ns", "text"))).persist()
+    return features(rows, _statistics(rows.select("ns", "text")), common).persist()
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str = "id", group_col: str = "namespace", text_col: str = "content", threshold: float = 0.7) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id_col: str = "id", group_col: str = "namespace", text_col: str = "content", threshold: float = 0.7, common: int = COMMON) -> DataFrame:
     """id, group_id and links of every row with words: rows that are linked by similarities, over any number of steps, share the
     group_id, the smallest id among them; links counts the other sets of words that a row's own is similar to.
 
     Copies aren't expanded into pairs: components are built on classes. The conventions are those of near_duplicate_pairs.
     """
-    feats = _prepared(df, id_col, group_col, text_col)
+    feats = _prepared(df, id_col, group_col, text_col, common)
     node = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
     links = class_pairs(feats, threshold).select(node("xa", "xb").alias("x"), node("ya", "yb").alias("y")).persist()
     degree = links.select("x").unionAll(links.select("y")).groupBy("x").agg(F.count("*").alias("links")).withColumnRenamed("x", "node")
@@ -268,13 +294,13 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "id", group_col: str = "n
     return rows.join(first.hint("merge"), "label").select("id", "group_id", "links")
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str = "id", group_col: str = "namespace", text_col: str = "content", threshold: float = 0.7) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str = "id", group_col: str = "namespace", text_col: str = "content", threshold: float = 0.7, common: int = COMMON) -> DataFrame:
     """Every pair of rows with equal group and a similarity of at least the threshold whose sequences of words differ: id_a < id_b.
 
     Rows without an id, and rows without any word (null, empty, only punctuation), are in no pair; a null group is a group.
     Rows with equal ids are paired with others as often as they occur, never with each other. Other columns play no role.
     """
-    feats = _prepared(df, id_col, group_col, text_col)
+    feats = _prepared(df, id_col, group_col, text_col, common)
     pairs = class_pairs(feats, threshold).persist()
     # Classes of several sequences, by aggregates that are combined map-side; then only rows of classes that are in a pair travel.
     seq = F.struct("sa", "sb")

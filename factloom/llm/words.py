@@ -24,6 +24,8 @@ ASCII_WORD = re.compile(r"[a-z0-9]+")
 
 #: Slots of the word-frequency sketch. Its size is fixed, whatever the corpus: 2**18 counts, 2 MB.
 SKETCH_BITS = 18
+#: A word that the sketch counts in more texts than this is common: records don't meet over one common word, only over two.
+COMMON = 20_000
 
 
 def words(text: str | None) -> list[str]:

@@ -70,10 +70,10 @@ def frame(spark, pdf, schema):
     return spark.createDataFrame(clean, schema)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_made(spark, seed):
+@pytest.mark.parametrize("seed, common", [(1, 20_000), (2, 20_000), (1, 0), (2, 20), (3, 40)])
+def test_near_duplicates_made(spark, seed, common):
     m = memory(seed=seed)
-    assert rows(near_duplicate_pairs(frame(spark, m, MEMORY))) == sorted(brute.p1(m))
+    assert rows(near_duplicate_pairs(frame(spark, m, MEMORY), common=common)) == sorted(brute.p1(m))
 
 
 def test_near_duplicates_hot_copies(spark):
@@ -158,10 +158,10 @@ def batch(m, seed):
     return b[["row_id", "batch_no", "line_no", "namespace", "content", "source_ref", "ingestion_ts"]]
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_known_rows_made(spark, seed):
+@pytest.mark.parametrize("seed, common", [(3, 20_000), (4, 20_000), (3, 0), (4, 30)])
+def test_known_rows_made(spark, seed, common):
     m, b = memory(80, seed), batch(memory(240, seed + 10), seed)
-    assert rows(known_rows(frame(spark, m, MEMORY), frame(spark, b, BATCH))) == sorted(brute.p4(m, b), key=str)
+    assert rows(known_rows(frame(spark, m, MEMORY), frame(spark, b, BATCH), common=common)) == sorted(brute.p4(m, b), key=str)
 
 
 def test_store_batch_by_batch(spark, tmp_path):
