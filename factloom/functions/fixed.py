@@ -12,7 +12,7 @@ HALF_LIFE_DAYS, UNKNOWN_RECENCY, UNKNOWN_CONFIDENCE, POPULARITY_STEP = 90, 0.5,
 RRF_K, BM25_K1, BM25_B, BM25_LEAST_IDF = 60, 1.2, 0.75, 1e-6
 
 # Dedup, consolidation, promotion, packs, sync, queue.
-DEDUP_COSINE, CLUSTER_JACCARD, CLUSTER_ROWS = 0.85, 0.60, 5000
+DEDUP_COSINE, CLUSTER_COSINE, CLUSTER_JACCARD, CLUSTER_ROWS = 0.85, 0.80, 0.60, 5000
 CADENCE_DAYS, CADENCE_GROWTH = 7, 0.20
 PROMOTE_SIGNALS, PROMOTE_CONFIDENCE, PROMOTE_USES = ("test", "compile", "lint"), 0.85, 3
 PRUNE_CONFIDENCE, PRUNE_DAYS = 0.35, 30

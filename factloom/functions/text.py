@@ -96,3 +96,19 @@ def file_key(namespace: Column) -> Column:
     """A reversible file name: letters, digits, dot and dash stay, every other character becomes _XX for each UTF-8 byte."""
     one = lambda c: F.when(c.rlike(r"^[A-Za-z0-9.\-]$"), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "_$1"))
     return F.array_join(F.transform(F.split(namespace, ""), one), "")
+
+
+def scrubbed(text: Column) -> Column:
+    """An error text without addresses and paths."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[A-Za-z][A-Za-z0-9+.-]*://\S+", "<uri>")
+    return F.regexp_replace(t, r"(?:[A-Za-z]:)?(?:[\\/][^\s\\/:'\"]+){2,}", "<path>")
+
+
+def public_url(url: Column) -> Column:
+    """A URL without user and password and without its whole query and fragment."""
+    return F.regexp_replace(F.regexp_replace(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@", "$1"), r"[?#].*$", "")
+
+
+def is_risky(tags: Column) -> Column:
+    """Whether a record carries the tag of text that tries to give instructions."""
+    return F.array_contains(tag_list(tags), "prompt-injection-risk")

@@ -150,3 +150,36 @@ def fold(memory: DataFrame, found: DataFrame) -> DataFrame:
     rows = listed.join(m.select(F.col("id").alias("keeper"), "content"), "keeper")
     done = rows.select("keeper", F.aggregate("ms", start(F.col("content")), step).alias("r"))
     return done.select(F.col("keeper").alias("id"), "r.content", F.col("r.ids").alias("merged_from"))
+
+
+def threshold_for(threshold: float | None, vectors: bool) -> float:
+    """The similarity in force: one that is given holds; else the default of the mode, by cosine or by words."""
+    return threshold if threshold is not None else (fixed.CLUSTER_COSINE if vectors else fixed.CLUSTER_JACCARD)
+
+
+def consolidated(memory: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """The table after the fold: keepers grown and with merged metadata, members dead with the keeper as their reason."""
+    merged = found.filter("not contested").persist()
+    grown = fold(memory, merged).select(F.col("id").alias("k_id"), F.col("content").alias("k_content"), F.col("merged_from").alias("k_from"))
+    m = memory.select("id", "confidence", "signal", "tags", "retrieval_count", "ingestion_ts")
+    all_ = merged.select("keeper", F.col("member").alias("id"), F.lit(1).alias("later")).unionAll(merged.select("keeper", F.col("keeper"), F.lit(0)).distinct())
+    # The keeper is the oldest of its fold: on equal rank its signal stays.
+    meta = all_.join(m, "id").groupBy("keeper").agg(
+        F.max("confidence").alias("k_conf"), F.min_by("signal", F.struct(-signal_rank(F.col("signal")), "later", "id")).alias("k_signal"), F.flatten(F.collect_set(T.tag_list(F.col("tags")))).alias("k_tags"), F.sum("later").alias("k_n"))
+    dead = merged.groupBy(F.col("member").alias("m_id")).agg(F.min("keeper").alias("m_keeper"))
+    out = memory.join(grown, F.col("id") == F.col("k_id"), "left").join(meta, F.col("id") == F.col("keeper"), "left").join(dead, F.col("id") == F.col("m_id"), "left")
+    hit, gone = F.col("k_id").isNotNull(), F.col("m_id").isNotNull()
+    tags = F.array_join(F.array_sort(F.array_distinct("k_tags")), ",")
+    new = {
+        "content": F.when(hit, F.col("k_content")), "merged_from": F.when(hit, F.concat_ws(",", F.when(F.col("merged_from") != "", F.col("merged_from")), "k_from")), "confidence": F.when(hit, F.col("k_conf")), "signal": F.when(hit, F.col("k_signal")),
+        "tags": F.when(hit & (tags != ""), tags), "retrieval_count": F.when(hit, F.coalesce("retrieval_count", F.lit(0)) + F.col("k_n")), "superseded_at": F.when(gone, now), "supersede_reason": F.when(gone, F.concat(F.lit("merged into "), "m_keeper")),
+    }
+    return out.select(*(F.coalesce(new[c], c).alias(c) if c in new else F.col(c) for c in memory.columns))
+
+
+def report(memory: DataFrame, found: DataFrame, per_namespace: int = fixed.CLUSTER_ROWS) -> DataFrame:
+    """One row: rows merged, contested clusters, and by how many eligible rows the windows fell short. A dry run is this alone."""
+    eligible = live(memory).groupBy("namespace").agg(F.count("*").alias("n"))
+    short = eligible.agg(F.coalesce(F.sum(F.greatest(F.col("n") - per_namespace, F.lit(0))), F.lit(0)).alias("truncated")).first()["truncated"]
+    counts = found.agg(F.count_if(~F.col("contested")).alias("merged"), F.count_distinct(F.when(~F.col("contested"), F.col("keeper"))).alias("clusters"), F.count_distinct(F.when(F.col("contested"), F.col("keeper"))).alias("contested"))
+    return counts.withColumn("truncated", F.lit(short)).withColumn("mode", F.lit("lexical"))

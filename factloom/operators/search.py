@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +28,8 @@ def bm25(rows: DataFrame, query: str, columns: tuple[str, ...] = INDEXED, id_col
     """id and bm25 of the rows that hold a token with one of the terms as prefix; higher is better.
 
     Number of rows, mean length and document frequencies are those of all rows, tombstones and other namespaces included. The
-    frequencies of the few terms are counted in the same pass as the lengths, so the table is read twice and only matching rows
-    are scored; no postings are shuffled.
+    frequencies of the few terms are counted in one pass with the lengths and come to the driver as one row; a second pass scores
+    the matching rows. Nothing is shuffled.
     """
     terms = terms_of(query)
     # A token with a term as prefix is a place where the term stands without a token character before it.
@@ -37,17 +38,15 @@ def bm25(rows: DataFrame, query: str, columns: tuple[str, ...] = INDEXED, id_col
     counted = rows.select(F.col(id_col).alias("id"), low.alias("low")).select("id", F.regexp_count("low", F.lit("[a-z0-9]+")).alias("dl"), *tf)
     if not terms:
         return counted.select("id", F.lit(0.0).alias("bm25")).limit(0)
-    totals = counted.agg(F.count("*").alias("rows_n"), F.avg("dl").alias("avg_dl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    hit = F.lit(False)
+    # One row of sums, as an aggregate that is combined map-side.
+    sums = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("dl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
+    hit, score = F.lit(False), F.lit(0.0)
     for i in range(len(terms)):
-        hit = hit | (F.col(f"tf{i}") > 0)
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        n, f = F.col(f"df{i}"), F.col(f"tf{i}").cast("double")
-        idf = F.greatest(F.log((F.col("rows_n") - n + 0.5) / (n + 0.5)), F.lit(fixed.BM25_LEAST_IDF))
-        score = score + idf * f * (fixed.BM25_K1 + 1) / (f + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / F.col("avg_dl")))
-    # totals is one row by construction.
-    return counted.filter(hit).join(F.broadcast(totals)).select("id", score.alias("bm25"))
+        f, df = F.col(f"tf{i}").cast("double"), sums[f"df{i}"]
+        idf = max(math.log((sums["n"] - df + 0.5) / (df + 0.5)), fixed.BM25_LEAST_IDF)
+        hit = hit | (f > 0)
+        score = score + idf * f * (fixed.BM25_K1 + 1) / (f + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / F.lit(float(sums["dl"] or 1.0))))
+    return counted.filter(hit).select("id", score.alias("bm25"))
 
 
 def postings(rows: DataFrame, columns: tuple[str, ...] = INDEXED, id_col: str = "id") -> DataFrame:

@@ -20,6 +20,13 @@ PROJECT = "project:relay-core"
 QUERIES: dict[str, tuple[Query, str | None]] = {}
 
 
+SYNC_OUTCOMES = f"""WITH k AS (SELECT id, superseded_at IS NULL AS live FROM memory), h AS (SELECT DISTINCT namespace, {Q.norm('content')} AS norm FROM memory WHERE superseded_at IS NULL),
+r AS (SELECT row_id, b.id, b.namespace, {Q.norm('content')} AS norm, row(batch_no, line_no) AS ord, {Q.REJECT} AS reject, k.live AS known FROM memory_batch b LEFT JOIN k ON b.id = k.id),
+e AS (SELECT *, reject IS NULL AND known IS NULL AND ord = min(CASE WHEN reject IS NULL AND known IS NULL THEN ord END) OVER (PARTITION BY id) AS entering FROM r),
+f AS (SELECT e.*, h.norm IS NOT NULL AS have, min(CASE WHEN entering THEN ord END) OVER (PARTITION BY e.namespace, e.norm) AS first FROM e LEFT JOIN h ON e.namespace = h.namespace AND e.norm = h.norm)
+SELECT row_id, CASE WHEN reject IS NOT NULL THEN 'malformed' WHEN known IS NOT NULL THEN 'skipped' WHEN have THEN 'deduped' WHEN entering AND ord = first THEN 'added' WHEN first < ord THEN CASE WHEN entering THEN 'deduped' ELSE 'skipped' END ELSE 'skipped' END AS outcome FROM f"""
+
+
 def query(sql: str | None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         QUERIES[fn.__name__] = (fn, sql)
@@ -368,6 +375,18 @@ def consolidate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.clusters(memory(spark, sf_dir))
 
 
+@query(None)
+def consolidate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = memory(spark, sf_dir)
+    return consolidate.report(m, consolidate.clusters(m))
+
+
+@query(f"SELECT id, md5({Q.SCRUBBED}) AS text_md5 FROM (SELECT id, content || ' at https://a.b/' || id || '?q=1 in /srv/' || id || '/x' AS text FROM memory)")
+def error_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat("content", F.lit(" at https://a.b/"), "id", F.lit("?q=1 in /srv/"), "id", F.lit("/x"))
+    return memory(spark, sf_dir).select("id", F.md5(F.encode(T.scrubbed(text), "UTF-8")).alias("text_md5"))
+
+
 @query(None)
 def consolidate_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memory(spark, sf_dir)
@@ -413,15 +432,23 @@ def sync_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.validated(t(spark, sf_dir, "memory_batch"), now()).select("row_id", "reject", "signal", F.round("confidence", 6).alias("confidence"), micros("ingestion_ts").alias("ts"))
 
 
-@query(f"""WITH k AS (SELECT id, superseded_at IS NULL AS live FROM memory), h AS (SELECT DISTINCT namespace, {Q.norm('content')} AS norm FROM memory WHERE superseded_at IS NULL),
-r AS (SELECT row_id, b.id, b.namespace, {Q.norm('content')} AS norm, row(batch_no, line_no) AS ord, {Q.REJECT} AS reject, k.live AS known FROM memory_batch b LEFT JOIN k ON b.id = k.id),
-e AS (SELECT *, reject IS NULL AND known IS NULL AND ord = min(CASE WHEN reject IS NULL AND known IS NULL THEN ord END) OVER (PARTITION BY id) AS entering FROM r),
-f AS (SELECT e.*, h.norm IS NOT NULL AS have, min(CASE WHEN entering THEN ord END) OVER (PARTITION BY e.namespace, e.norm) AS first FROM e LEFT JOIN h ON e.namespace = h.namespace AND e.norm = h.norm)
-SELECT row_id, CASE WHEN reject IS NOT NULL THEN 'malformed' WHEN known IS NOT NULL THEN 'skipped' WHEN have THEN 'deduped' WHEN entering AND ord = first THEN 'added' WHEN first < ord THEN CASE WHEN entering THEN 'deduped' ELSE 'skipped' END ELSE 'skipped' END AS outcome FROM f""")
+@query(SYNC_OUTCOMES)
 def sync_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.outcomes(t(spark, sf_dir, "memory_batch"), memory(spark, sf_dir), now())
 
 
+@query(SYNC_OUTCOMES.replace("SELECT row_id, CASE", ", o AS (SELECT CASE") + """) SELECT count(*) FILTER (outcome = 'added') AS added, count(*) FILTER (outcome = 'tombstoned') AS tombstoned, count(*) FILTER (outcome = 'tombstone_refused') AS tombstones_refused, count(*) FILTER (outcome = 'capture_refused') AS capture_refused,
+count(*) FILTER (outcome = 'deduped') AS deduped, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'malformed') AS malformed FROM o""")
+def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.summary(sync.outcomes(t(spark, sf_dir, "memory_batch"), memory(spark, sf_dir), now()))
+
+
+@query(None)
+def sync_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after all batches were taken in."""
+    return sync.applied(t(spark, sf_dir, "memory_batch"), memory(spark, sf_dir), now()).select("id", "namespace", "confidence", "signal", "tags", "retrieval_count")
+
+
 # Log mining
 
 

@@ -25,6 +25,9 @@ def lexical(x: str) -> str:
     return f"list_filter({plain(x)}, lambda w: length(w) >= 3 AND NOT list_contains([{stop}], w))"
 
 
+SCRUBBED = r"""regexp_replace(regexp_replace(text, '[A-Za-z][A-Za-z0-9+.-]*://\S+', '<uri>', 'g'), '(?:[A-Za-z]:)?(?:[\\/][^\s\\/:''"]+){2,}', '<path>', 'g')"""
+
+
 def any_match(x: str, patterns: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"coalesce(regexp_matches({x}, {quoted(p)}), false)" for p in patterns) + ")"
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as S
 
 from factloom.functions import fixed, policy
 from factloom.functions import text as T
-from factloom.operators.consolidate import default_confidence
+from factloom.operators.consolidate import default_confidence, signal_rank
 from factloom.operators.records import live
 
 EXPORTED = ("id", "namespace", "type", "content", "tags", "source_ref", "confidence", "signal", "valid_from", "ingestion_ts", "superseded_at", "supersede_reason", "merged_from")
@@ -169,5 +169,47 @@ def snapshot(memory: DataFrame, path: str) -> dict[str, int]:
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: total and live rows of two tables and whether they agree."""
-    count = lambda d, s: d.agg(F.count("*").alias(f"total_{s}"), F.count_if(F.col("superseded_at").isNull()).alias(f"live_{s}"))
-    return count(a, "a").join(F.broadcast(count(b, "b"))).withColumn("agrees", (F.col("total_a") == F.col("total_b")) & (F.col("live_a") == F.col("live_b")))
+    side = lambda d, s: d.select(F.lit(s).alias("side"), F.col("superseded_at").isNull().alias("live"))
+    count = lambda s, live_: F.count_if((F.col("side") == s) & (F.col("live") | F.lit(not live_)))
+    both = side(a, "a").unionAll(side(b, "b")).agg(*(count(s, k).alias(f"{n}_{s}") for s in "ab" for n, k in (("total", False), ("live", True))))
+    return both.withColumn("agrees", (F.col("total_a") == F.col("total_b")) & (F.col("live_a") == F.col("live_b")))
+
+
+def applied(batch: DataFrame, memory: DataFrame, now: Column, allow_tombstones: bool = False, mode: str = "manual", source_ref: str | None = None) -> DataFrame:
+    """The table after an ingest: added rows enter, duplicates are folded into their survivor, allowed tombstones take effect.
+
+    The survivor of a content is the live row of the namespace with the smallest id, or the row that entered with it. It gets the
+    largest confidence, the stronger signal (on a tie its own), all tags, and one use for each row folded in. Content that is
+    known is never overwritten.
+    """
+    seen = outcomes(batch, memory, now, allow_tombstones, mode)
+    rows = policy.capture(validated(batch, now), mode).withColumn("content", F.col("new_content")).withColumn("tags", F.col("new_tags")).drop("new_content", "new_tags", "outcome")
+    rows = rows.join(seen, "row_id").withColumn("norm_", T.normalized(F.col("content"))).persist()
+    fields = {f.name: f.dataType for f in MEMORY.fields}
+    fill = {"retrieval_count": F.lit(0), "surfaced_count": F.lit(0), "valid_from": F.coalesce("valid_from", "ingestion_ts") if "valid_from" in batch.columns else F.col("ingestion_ts")}
+    if source_ref is not None:
+        fill["source_ref"] = F.coalesce("source_ref", F.lit(source_ref))
+    make = lambda c: (fill[c] if c in fill else F.col(c) if c in rows.columns else F.lit(None)).cast(fields[c]).alias(c)
+    base = memory.select(*(F.col(c).cast(k).alias(c) for c, k in fields.items())).unionByName(rows.filter("outcome = 'added'").select(*map(make, fields)))
+
+    better = F.struct(signal_rank(F.col("signal")).alias("r"), -F.col("batch_no"), -F.col("line_no"))
+    folds = rows.filter("outcome = 'deduped'").groupBy(F.col("namespace").alias("f_ns"), F.col("norm_").alias("f_norm")).agg(
+        F.max("confidence").alias("f_conf"), F.max_by("signal", better).alias("f_signal"), F.flatten(F.collect_set(T.tag_list(F.col("tags")))).alias("f_tags"), F.count("*").alias("f_n"))
+    tombs = rows.filter("outcome = 'tombstoned'").groupBy(F.col("id").alias("d_id")).agg(F.min("superseded_at" if "superseded_at" in batch.columns else F.lit(None).cast("timestamp")).alias("d_at"), F.first("supersede_reason" if "supersede_reason" in batch.columns else F.lit(None).cast("string")).alias("d_reason"))
+    norm = T.normalized(F.col("content"))
+    keepers = live(base).groupBy(F.col("namespace").alias("f_ns"), norm.alias("f_norm")).agg(F.min("id").alias("k_id"))
+    into = folds.join(keepers, ["f_ns", "f_norm"]).drop("f_ns", "f_norm")
+    out = base.join(into, base["id"] == into["k_id"], "left").join(tombs, F.col("id") == F.col("d_id"), "left")
+    hit = F.col("f_n").isNotNull()
+    tags = F.array_join(F.array_sort(F.array_union(T.tag_list(F.col("tags")), "f_tags")), ",")
+    changed = {
+        "confidence": F.when(hit, F.greatest("confidence", "f_conf")), "signal": F.when(hit & (signal_rank(F.col("f_signal")) > signal_rank(F.col("signal"))), F.col("f_signal")), "tags": F.when(hit & (tags != ""), tags),
+        "retrieval_count": F.when(hit, F.col("retrieval_count") + F.col("f_n")), "superseded_at": F.coalesce("superseded_at", "d_at"), "supersede_reason": F.when(F.col("superseded_at").isNull() & F.col("d_id").isNotNull(), F.col("d_reason")),
+    }
+    return out.select(*(F.coalesce(changed[c], c).cast(k).alias(c) if c in changed else F.col(c) for c, k in fields.items()))
+
+
+def summary(outcome: DataFrame) -> DataFrame:
+    """One row with the seven counters of an ingest."""
+    names = {"added": "added", "tombstoned": "tombstoned", "tombstone_refused": "tombstones_refused", "capture_refused": "capture_refused", "deduped": "deduped", "skipped": "skipped", "malformed": "malformed"}
+    return outcome.agg(*(F.count_if(F.col("outcome") == k).alias(v) for k, v in names.items()))
