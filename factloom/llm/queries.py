@@ -1,4 +1,4 @@
-"""The queries of this subpackage and, where SQL can express them on whole tables, their SQL."""
+"""The queries of this subpackage; `oracle_sql` has the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from factloom.llm.format_copies import format_copies
 from factloom.llm.history_dedup import known_rows
 from factloom.llm.mixing import mix
 from factloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from factloom.llm.oracle import oracle_sql
 from factloom.llm.packing import containers, unused_space
 from factloom.llm.sessions_by_gap import gap_sessions
 from factloom.llm.shared_spans import shared_spans
@@ -83,5 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
