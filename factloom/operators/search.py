@@ -71,42 +71,47 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_i
 QUERY_BLOCK = 4096
 
 
-def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", within: str | None = None) -> DataFrame:
     """query_id, id, sim: for each query vector the k others with the largest dot product, exactly; ties by id.
 
+    within: a column of both; only vectors with the query's value are ranked at all. A null value is equal to none.
+
     Queries are taken in blocks of a fixed size, each answered by one scan: every batch of vectors gives its own k best for each
     query, and the survivors are ranked by query. No vector is shuffled. Null vectors and those of another length are left out.
     """
     import numpy as np
     import pandas as pd
 
+    if within is not None:
+        vectors, queries = (x.filter(F.col(within).isNotNull()) for x in (vectors, queries))
     names = queries.select(id_col).filter(F.col(vector_col).isNotNull()) if vector_col in queries.columns else queries.select(id_col)
     blocks = max(1, -(-names.count() // QUERY_BLOCK))
     kind = vectors.schema[id_col].dataType.simpleString()
+    group = F.lit(0) if within is None else F.col(within)
     out = None
     for b in range(blocks):
-        part = queries.filter(F.col(vector_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)).select(id_col, vector_col).collect()
+        part = queries.filter(F.col(vector_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)).select(id_col, vector_col, group.alias("g")).collect()
         if not part:
             continue
         ids, size = [r[0] for r in part], len(part[0][1])
         rows = [i for i, r in enumerate(part) if len(r[1]) == size]
         matrix = np.array([part[i][1] for i in rows], dtype=np.float64)
 
-        def scan(batches, ids=[ids[i] for i in rows], matrix=matrix, size=size):  # noqa: ANN001, ANN202
+        def scan(batches, ids=[ids[i] for i in rows], groups=[part[i]["g"] for i in rows], matrix=matrix, size=size):  # noqa: ANN001, ANN202
             for pdf in batches:
                 pdf = pdf[[v is not None and len(v) == size for v in pdf["v"]]]
                 if not len(pdf):
                     continue
-                other = pdf["i"].to_numpy()
+                other, of = pdf["i"].to_numpy(), pdf["g"].to_numpy()
                 sims = matrix @ np.stack(pdf["v"].to_numpy()).astype(np.float64).T
-                for q, row in zip(ids, sims):
-                    row = np.where(other == q, -np.inf, row)
+                for q, g, row in zip(ids, groups, sims):
+                    row = np.where((other == q) | (of != g), -np.inf, row)
                     best = np.lexsort((other, -row))[:k]
                     best = best[row[best] > -np.inf]
                     if len(best):
                         yield pd.DataFrame({"query_id": q, "id": other[best], "sim": row[best]})
 
-        found = vectors.select(F.col(id_col).alias("i"), F.col(vector_col).alias("v")).mapInPandas(scan, f"query_id {kind}, id {kind}, sim double")
+        found = vectors.select(F.col(id_col).alias("i"), F.col(vector_col).alias("v"), group.alias("g")).mapInPandas(scan, f"query_id {kind}, id {kind}, sim double")
         out = found if out is None else out.unionAll(found)
     if out is None:
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, sim double")

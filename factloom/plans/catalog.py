@@ -113,7 +113,8 @@ def knn_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM p), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM r WHERE rank <= 5 AND same AND sim >= 0.3)
 SELECT query_id, id AS dup_of, round(sim, 5) AS sim FROM h WHERE nth = 1""")
 def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the five nearest the first with the query's label at or above the threshold."""
+    """Of the five nearest of any label the first with the query's label at or above the threshold: the reference's cut, which
+    its SQL fixes and which loses duplicates at rank 6 and later. semantic_duplicates_by_label has no cut."""
     v = t(spark, sf_dir, "embeddings")
     near = search.nearest_many(v.select("vec_id", "embedding"), v.filter("vec_id % 50 = 0").select("vec_id", "embedding"), 5)
     a, b = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), v.select(F.col("vec_id").alias("id"), F.col("label").alias("vl"))
@@ -121,6 +122,15 @@ def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy("query_id").agg(F.min_by("id", "rank").alias("dup_of"), F.round(F.min_by("sim", "rank"), 5).alias("sim"))
 
 
+@query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS sim FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND q.label = v.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM p) SELECT query_id, id AS dup_of, round(sim, 5) AS sim FROM r WHERE rank = 1 AND sim >= 0.3""")
+def semantic_duplicates_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of all vectors with the query's label, at or above the threshold: filtered before they are ranked."""
+    v = t(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    near = search.nearest_many(v, v.filter("vec_id % 50 = 0"), 1, within="label").filter("sim >= 0.3")
+    return near.select("query_id", F.col("id").alias("dup_of"), F.round("sim", 5).alias("sim"))
+
+
 @query("""WITH d AS (SELECT vec_id, list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS a, list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)) AS b FROM embeddings),
 l AS (SELECT vec_id, rank FROM (SELECT vec_id, row_number() OVER (ORDER BY a DESC, vec_id) AS rank FROM d) WHERE rank <= 50 UNION ALL SELECT vec_id, rank FROM (SELECT vec_id, row_number() OVER (ORDER BY b DESC, vec_id) AS rank FROM d) WHERE rank <= 50)
 SELECT vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf FROM l GROUP BY vec_id""")

@@ -115,6 +115,14 @@ def test_vectors(spark):
     assert search.nearest_many(v, v.limit(0), 2).count() == 0
 
 
+def test_nearest_within_a_group(spark):
+    """The only other vector of the query's group comes after six nearer ones of another group."""
+    near = [(i, [1.0, i / 100], "y") for i in range(1, 7)]
+    v = spark.createDataFrame([(0, [1.0, 0.0], "x"), *near, (7, [0.5, 0.5], "x"), (8, [1.0, 0.0], None), (9, [1.0, 0.0], None), (10, None, "x")], "vec_id long, embedding array<float>, label string").repartition(3)
+    assert 7 not in [r["id"] for r in search.nearest_many(v, v.filter("vec_id = 0"), 5).collect()]
+    assert values(search.nearest_many(v, v.filter("vec_id in (0, 8)"), 5, within="label").select("query_id", "id", "rank", "sim")) == [(0, 7, 1, 0.5)]
+
+
 def test_clusters_and_fold(spark):
     w = "alpha beta gamma delta epsilon zeta"
     m = rows(spark, [
