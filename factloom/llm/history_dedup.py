@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.near_duplicates import KEPT, packed, scope_of, scoped
-from factloom.llm.words import COMMON, SKETCH_BITS, WordHasher, checkpoint_dir, exact, halves, signed, sketch, slots, words
+from factloom.llm.words import COMMON, SKETCH_BITS, WordHasher, exact, halves, signed, sketch, slots, words
+from factloom.session import checkpoint_dir
 
 FINGERPRINT = "ca long, cb long, n int, r int, f1 long, f2 long, toks binary, fresh boolean"
 #: The largest set size that the lower 16 bits of f2 tell exactly.

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import fixed
 from factloom.functions import text as T
-from factloom.operators.records import candidate_window, live, uses
+from factloom.operators.components import components
+from factloom.operators.records import best_first, candidate_window, live, uses
 
 
 def signal_rank(signal: Column) -> Column:
@@ -91,17 +92,23 @@ def new_tokens(keeper: Column, other: Column) -> Column:
 CLUSTERS = "namespace string, keeper string, member string, contested boolean"
 
 
+#: Links that are handed to one call of the greedy step, unless one component alone has more.
+LINKS_AT_ONCE = 50_000
+
+
 def greedy(edges: pd.DataFrame, merge_contested: bool = False) -> pd.DataFrame:
-    """Seeded star clusters of one namespace, in order of place.
+    """Seeded star clusters of whole components, in order of place.
 
     A seed takes all free neighbours. A cluster whose members state opposite things is contested: it is reported, and its
     members are parked, so that they can't seed but may still be taken by a later seed that is neither taken nor parked.
+    A node may stand for several rows: then it has a link to itself, and na or nb is 2 if they state opposite things.
     """
-    near, negated, place = defaultdict(set), {}, {}
-    for a, b, pa, pb, na, nb in zip(edges["a"], edges["b"], edges["pa"], edges["pb"], edges["na"], edges["nb"]):
+    near, negated, place, space = defaultdict(set), {}, {}, {}
+    for ns, a, b, pa, pb, na, nb in zip(edges["namespace"], edges["a"], edges["b"], edges["pa"], edges["pb"], edges["na"], edges["nb"]):
         near[a].add(b)
         near[b].add(a)
-        place[a], place[b], negated[a], negated[b] = pa, pb, na, nb
+        place[a], place[b], negated[a], negated[b], space[a] = pa, pb, na, nb, ns
+        space[b] = ns
     taken, parked, out = set(), set(), []
     for seed in sorted(near, key=place.get):
         if seed in taken or seed in parked:
@@ -109,25 +116,39 @@ def greedy(edges: pd.DataFrame, merge_contested: bool = False) -> pd.DataFrame:
         members = sorted((m for m in near[seed] if m not in taken), key=place.get)
         if not members:
             continue
-        contested = not merge_contested and len({negated[m] for m in [seed, *members]}) > 1
-        out += [(seed, m, contested) for m in members]
+        kinds = {negated[m] for m in [seed, *members]}
+        contested = not merge_contested and (len(kinds) > 1 or 2 in kinds)
+        out += [(space[seed], seed, m, contested) for m in members]
         (parked if contested else taken).update(members if not contested else [seed, *members])
         if not contested:
             taken.add(seed)
-    return pd.DataFrame({"namespace": edges["namespace"].iloc[0] if len(edges) else None, "keeper": [x[0] for x in out], "member": [x[1] for x in out], "contested": [x[2] for x in out]})
+    return pd.DataFrame({name: [x[i] for x in out] for i, name in enumerate(("namespace", "keeper", "member", "contested"))})
 
 
-def clusters(memory: DataFrame, threshold: float = fixed.CLUSTER_JACCARD, per_namespace: int = fixed.CLUSTER_ROWS, merge_contested: bool = False) -> DataFrame:
-    """namespace, keeper, member, contested: the clusters of the candidate window, by lexical similarity.
+def clusters(memory: DataFrame, threshold: float = fixed.CLUSTER_JACCARD, per_namespace: int | None = None, merge_contested: bool = False) -> DataFrame:
+    """namespace, keeper, member, contested: the clusters of all live rows, by lexical similarity.
 
-    The order-dependent part runs for each namespace on its edges alone, of at most `per_namespace` rows (the window's cap is
-    part of the operator's definition).
+    per_namespace, if given, is the reference's cap: only so many of the best rows of each namespace take part.
+    Rows of one namespace with the same tokens have the same neighbours, so they are one node, named by its best row: copies
+    are never paired with each other. The order-dependent part runs on whole connected components, which can't affect each
+    other, on their links alone. Above a threshold of 1 not even copies are similar.
     """
-    window = candidate_window(memory, per_namespace).select("namespace", "id", "content", "place", T.negated(F.col("content")).alias("neg")).persist()
-    info = window.select("id", "place", "neg")
-    pairs = lexical_pairs(window, threshold)
-    edges = pairs.join(info.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("neg").alias("na")), "a").join(info.select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("neg").alias("nb")), "b")
-    return edges.groupBy("namespace").applyInPandas(lambda pdf: greedy(pdf, merge_contested), CLUSTERS)
+    window = live(memory) if per_namespace is None else candidate_window(memory, per_namespace)
+    toks = T.lexical_tokens(F.col("content"))
+    rows = window.filter((F.size(toks) > 0) & F.col("namespace").isNotNull() & F.lit(threshold <= 1)).select(
+        "namespace", "id", F.sha2(F.array_join(F.array_sort(toks), " "), 256).alias("tokens"), T.negated(F.col("content")).cast("int").alias("neg"), best_first().alias("ord")).persist()
+    grouped = rows.groupBy("namespace", "tokens").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), F.min("neg").alias("least"), F.max("neg").alias("most"))
+    nodes = grouped.select("namespace", "tokens", F.col("ord.id").alias("node"), "ord", "n", F.when(F.col("least") == F.col("most"), F.col("most")).otherwise(2).alias("neg")).persist()
+    pairs = lexical_pairs(window.join(nodes.select(F.col("node").alias("id")), "id", "left_semi"), threshold).select("a", "b")
+    links = pairs.unionAll(nodes.filter("n > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))).persist()
+    labels = components(links, "a", "b")
+    info = nodes.join(labels, "node").select("namespace", "node", "label", "neg", F.row_number().over(Window.partitionBy("label").orderBy("ord")).alias("place"))
+    a = info.select("namespace", "label", F.col("node").alias("a"), F.col("place").alias("pa"), F.col("neg").alias("na"))
+    edges = links.join(a, "a").join(info.select(F.col("node").alias("b"), F.col("place").alias("pb"), F.col("neg").alias("nb")), "b")
+    bins = max(1, -(-links.count() // LINKS_AT_ONCE))
+    found = edges.groupBy(F.pmod(F.xxhash64("label"), F.lit(bins))).applyInPandas(lambda pdf: greedy(pdf, merge_contested), CLUSTERS)
+    of = rows.join(nodes.select("namespace", "tokens", "node"), ["namespace", "tokens"]).select("node", "id")
+    return found.join(of, F.col("member") == F.col("node")).filter("keeper <> id").select("namespace", "keeper", F.col("id").alias("member"), "contested")
 
 
 def fold(memory: DataFrame, found: DataFrame) -> DataFrame:
@@ -177,9 +198,11 @@ def consolidated(memory: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     return out.select(*(F.coalesce(new[c], c).alias(c) if c in new else F.col(c) for c in memory.columns))
 
 
-def report(memory: DataFrame, found: DataFrame, per_namespace: int = fixed.CLUSTER_ROWS) -> DataFrame:
-    """One row: rows merged, contested clusters, and by how many eligible rows the windows fell short. A dry run is this alone."""
-    eligible = live(memory).groupBy("namespace").agg(F.count("*").alias("n"))
-    short = eligible.agg(F.coalesce(F.sum(F.greatest(F.col("n") - per_namespace, F.lit(0))), F.lit(0)).alias("truncated")).first()["truncated"]
+def report(memory: DataFrame, found: DataFrame, per_namespace: int | None = None) -> DataFrame:
+    """One row: rows merged, contested clusters, and by how many eligible rows the windows fell short (0 without a cap). A dry run is this alone."""
+    short = 0
+    if per_namespace is not None:
+        eligible = live(memory).groupBy("namespace").agg(F.count("*").alias("n"))
+        short = eligible.agg(F.coalesce(F.sum(F.greatest(F.col("n") - per_namespace, F.lit(0))), F.lit(0)).alias("truncated")).first()["truncated"]
     counts = found.agg(F.count_if(~F.col("contested")).alias("merged"), F.count_distinct(F.when(~F.col("contested"), F.col("keeper"))).alias("clusters"), F.count_distinct(F.when(F.col("contested"), F.col("keeper"))).alias("contested"))
-    return counts.withColumn("truncated", F.lit(short)).withColumn("mode", F.lit("lexical"))
+    return counts.withColumn("truncated", F.lit(short).cast("long")).withColumn("mode", F.lit("lexical"))

@@ -112,12 +112,18 @@ def cadence(memory: DataFrame, last_run: Column, now: Column, last_live: Column)
 
 
 def candidate_window(memory: DataFrame, per_namespace: int = fixed.CLUSTER_ROWS) -> DataFrame:
-    """The live rows that consolidation examines, the best of each namespace, with their place."""
-    order = [(F.coalesce("confidence", F.lit(0.0)) * uses()).desc(), F.col("confidence").desc_nulls_last(), F.col("ingestion_ts").asc_nulls_first(), F.col("id").asc()]
-    ranked = live(memory).withColumn("place", F.row_number().over(Window.partitionBy("namespace").orderBy(*order)))
+    """The best live rows of each namespace by the reference's order of consolidation, with their place. A cap, for callers that ask for one."""
+    ranked = live(memory).withColumn("place", F.row_number().over(Window.partitionBy("namespace").orderBy(best_first())))
     return ranked.filter(F.col("place") <= per_namespace)
 
 
+def best_first() -> Column:
+    """The order in which consolidation takes rows, smallest first: much used and sure, then old, then by id."""
+    weight, sure = F.coalesce("confidence", F.lit(0.0)) * uses(), F.col("confidence")
+    # As in a descending order, NaN comes before all numbers and null after them.
+    return F.struct((~F.isnan(weight)).alias("wn"), (-weight).alias("w"), sure.isNull().alias("c0"), (~F.isnan(sure)).alias("cn"), (-sure).alias("c"), "ingestion_ts", "id")
+
+
 def bump(memory: DataFrame, events: DataFrame) -> DataFrame:
     """The table with usage counted in: events are (id, kind, ts), kind explicit or passive, aggregated by id first."""
     explicit, passive = F.col("kind") == "explicit", F.col("kind") == "passive"

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import fixed, policy
@@ -138,6 +140,30 @@ def test_clusters_and_fold(spark):
     assert consolidate.clusters(m.limit(0)).count() == 0
 
 
+def test_clusters_take_all_rows(spark):
+    """Copies beyond the reference's 5,000 rows are clustered too."""
+    n = fixed.CLUSTER_ROWS
+    m = rows(spark, [{"id": f"a{i:05d}", "content": f"alpha{i} beta{i} gamma{i}"} for i in range(n)] + [{"id": f"z{i}", "content": "delta epsilon zeta"} for i in range(2)])
+    found = consolidate.clusters(m).persist()
+    assert values(found) == [("n", "z0", "z1", False)]
+    assert consolidate.report(m, found).first()["truncated"] == 0
+    assert consolidate.report(m, found, n).first()["truncated"] == 2
+
+
+def test_clusters_are_those_of_all_pairs(spark):
+    """Copies as one node and components apart give what the greedy step gives on all pairs of rows."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    m = rows(spark, [{"id": f"{i:03d}", "namespace": r.choice("no"), "content": " ".join(["never"] * (r.random() < 0.15) + r.sample(words, r.choice((4, 5)))), "retrieval_count": r.randrange(4), "confidence": r.choice((None, float("nan"), 0.5, 0.9))} for i in range(100)])
+    m = m.unionByName(m.withColumn("id", F.concat("id", F.lit("x"))).filter("id < '040'")).persist()
+    order = [(F.coalesce("confidence", F.lit(0.0)) * records.uses()).desc(), F.col("confidence").desc_nulls_last(), F.col("ingestion_ts").asc_nulls_first(), F.col("id").asc()]
+    place = m.select("namespace", "id", F.row_number().over(Window.partitionBy("namespace").orderBy(*order)).alias("p"), T.negated(F.col("content")).alias("n"))
+    pairs = consolidate.lexical_pairs(m).join(place.select(F.col("id").alias("a"), F.col("p").alias("pa"), F.col("n").alias("na")), "a").join(place.select(F.col("id").alias("b"), F.col("p").alias("pb"), F.col("n").alias("nb")), "b").toPandas()
+    for merge in (False, True):
+        want = sorted(t for _, g in pairs.groupby("namespace") for t in consolidate.greedy(g, merge).itertuples(index=False, name=None))
+        assert len(want) > 20 and values(consolidate.clusters(m, merge_contested=merge)) == want
+
+
 def test_greedy_parks_contested():
     e = pd.DataFrame([("n", "a", "b", 1, 2, True, False), ("n", "b", "c", 2, 3, False, False)], columns=["namespace", "a", "b", "pa", "pb", "na", "nb"])
     got = consolidate.greedy(e)
