@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.tokens import DEFAULT_TOKENIZER, n_tokens
@@ -51,68 +52,125 @@ def share_out(node: Node, budget: float) -> None:
         share_out(c, given.get(id(c), 0.0))
 
 
-def largest_total(root: Node) -> float:
-    """The largest total at which every child of the root that has anything gets its share in full."""
-    able = [c for c in root.children.values() if c.weight > 0 and c.room() > 0]
-    total = sum(c.weight for c in able)
-    return min((c.room() * total / c.weight for c in able), default=0.0)
-
-
 def clean_source(col: str) -> Column:
     return F.lower(F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
 
 
-def mix(documents: DataFrame, mix_target: DataFrame, total_tokens: int | None = None, seed: int = 17, tokenizer: str = DEFAULT_TOKENIZER) -> tuple[DataFrame, DataFrame]:
-    """The chosen documents with their repeats, and the share each source of the mix reached.
+def leaves_under(node: Node, path: tuple = ()) -> list[tuple[tuple, Node]]:
+    """The leaves below a node with their paths."""
+    return [x for name, c in node.children.items() for x in leaves_under(c, (*path, name))] if node.children else [(path, node)]
+
+
+def budgets(leaves: list[tuple[str, str, str, int]], targets: dict[str, tuple[float, int]], total: float) -> Node:
+    """The tree of domain, language and source with a budget at every node.
+
+    leaves are (domain, lang, source, tokens). A source's target weight goes to its leaves by the tokens they hold, and the weight
+    of a language or a domain is the sum of those below it, so that without any shortage every source has its target share and
+    its own mix of domains and languages. What a short leaf leaves goes first to the other sources of the same language and
+    domain, then to the other languages of the domain, then to the other domains.
+    """
+    held: dict[str, int] = {}
+    for _, _, s, n in leaves:
+        held[s] = held.get(s, 0) + n
+    root = Node(1.0)
+    for domain, lang, s, n in sorted(leaves):
+        w = targets[s][0] * n / held[s]
+        d = root.children.setdefault(domain, Node(0.0))
+        x = d.children.setdefault(lang, Node(0.0))
+        x.children[s] = Node(w, n, targets[s][1])
+        d.weight += w
+        x.weight += w
+    if root.children:
+        share_out(root, total)
+    return root
+
+
+def prefix(rows: DataFrame, keys: list[str], nearest: bool) -> DataFrame:
+    """Adds `taken`: whether a row is in its group's prefix, in the unsigned order of u, then doc_id, that `rest` tokens pay for.
+
+    The prefix ends before the first row that would overdraw, or with nearest where it comes nearest to rest. The sum up to a row is
+    that of the ranges of u before its own and of the rows before it in its range, so no group is gathered in one task.
+    """
+    placed = rows.withColumn("range", F.shiftrightunsigned("u", 64 - RANGE_BITS))
+    sums = placed.groupBy(*keys, "range").agg(F.sum("n_tokens").alias("in_range"))
+    before = sums.select(*keys, "range", (F.sum("in_range").over(Window.partitionBy(*keys).orderBy("range")) - F.col("in_range")).alias("before"))
+    w = Window.partitionBy(*keys, "range").orderBy(F.shiftrightunsigned("u", 1), "u", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("before") + F.sum("n_tokens").over(w) - (F.col("n_tokens") / 2 if nearest else F.lit(0))
+    return placed.join(before.hint("merge"), [*keys, "range"]).select(*rows.columns, (upto <= F.col("rest")).alias("taken"))
+
 
-    The tree has the mix at its root, below it the sources with their target weights, below these the languages, weighted by the
-    tokens they hold. Each leaf gets its budget as whole epochs over its documents and, for what remains, the prefix of one more
-    epoch in an order seeded by hash, up to the document that comes nearest to the budget. No document is used more than
-    max_repeats times. Without total_tokens the total is the largest one at which every source that has documents meets its
-    target (the shares of sources without any go to the others); a larger total is met as far as the room goes.
+def small(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A frame of a few rows that the plan holds itself."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    kinds = [types[x.split()[1]] for x in schema.split(", ")]
+    return spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))}))
 
-    Sources are compared without case and surrounding blanks. Null, unknown or empty sources, documents without an id and
-    documents without tokens are never chosen. mix_target is a small fixed table of settings and is read on the driver, as are
-    the token sums of its leaves, one row for each source and language.
+
+def mix(documents: DataFrame, mix_target: DataFrame, total_tokens: int | None = None, seed: int = 17, tokenizer: str = DEFAULT_TOKENIZER, domain: str = "doc_kind") -> tuple[DataFrame, DataFrame]:
+    """The chosen documents with their repeats, and the share each source of the mix reached.
+
+    The tree has the domains (the column `domain`) below its root, then the languages, then the sources; see `budgets`. Each leaf
+    gets its budget as whole epochs over its documents and, for what remains, the longest prefix of one more epoch that the
+    budget pays for, in an order seeded by hash. What the leaves of a source leave over because documents aren't cut is settled
+    at the source: one more seeded prefix over documents not yet taken in this epoch, up to the one that comes nearest, with
+    documents larger than what is left passed over. No document is used more than max_repeats times. The total is total_tokens
+    or, without it, all tokens that the sources of the mix hold; a larger total is met as far as the room goes.
+
+    planned_share is a source's share of the budgets: its target, less what it can't give, plus what it takes over from short
+    siblings. Sources are compared without case and surrounding blanks. Null, unknown or empty sources, documents without an id
+    and documents without tokens are never chosen; rows that repeat a document in the same leaf are one document, the longest; null
+    domains and languages are nodes of their own. mix_target is a small
+    fixed table of settings and is read on the driver, as are the token sums of the leaves, one row for each domain, language and source.
     """
     targets = {}
     for r in mix_target.select(clean_source("source").alias("source"), "target_share", "max_repeats").filter("source is not null").collect():
-        targets[r["source"]] = (r["target_share"] or 0.0, r["max_repeats"] or 0)
-    docs = documents.select("doc_id", clean_source("source").alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "text").filter(F.col("source").isin(list(targets)) & F.col("doc_id").isNotNull())
-    sized = docs.select("doc_id", "source", "lang", n_tokens(F.col("text"), tokenizer).alias("n_tokens")).filter("n_tokens > 0").persist()
-
-    root = Node(1.0, children={s: Node(w, repeats=k) for s, (w, k) in targets.items()})
-    for r in sized.groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens")).collect():
-        root.children[r["source"]].children[r["lang"]] = Node(float(r["tokens"]), r["tokens"], targets[r["source"]][1])
-    for c in root.children.values():
-        if not c.children:
-            c.repeats = 0
-    share_out(root, largest_total(root) if total_tokens is None else float(total_tokens))
-    spark = documents.sparkSession
-    plan = []
-    for s, c in root.children.items():
-        for lang, leaf in c.children.items():
+        targets[r["source"]] = (max(r["target_share"] or 0.0, 0.0), max(r["max_repeats"] or 0, 0))
+    kind = F.coalesce(F.col(domain).cast("string"), F.lit("")) if domain in documents.columns else F.lit("")
+    docs = documents.select("doc_id", clean_source("source").alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), kind.alias("domain"), "text").filter(F.col("source").isin(list(targets)) & F.col("doc_id").isNotNull())
+    at = ["domain", "lang", "source"]
+    sized = docs.select("doc_id", *at, n_tokens(F.col("text"), tokenizer).alias("n_tokens")).filter("n_tokens > 0").groupBy("doc_id", *at).agg(F.max("n_tokens").alias("n_tokens")).persist()
+    held = [(*(r[c] for c in at), r["tokens"]) for r in sized.groupBy(*at).agg(F.sum("n_tokens").alias("tokens")).collect()]
+    root = budgets(held, targets, float(sum(x[3] for x in held) if total_tokens is None else total_tokens))
+    spark, plan, planned, owed = documents.sparkSession, [], dict.fromkeys(targets, 0.0), dict.fromkeys(targets, 0.0)
+    for path, leaf in leaves_under(root):
+        if path:
             epochs = min(int((leaf.budget + 1e-6) // leaf.tokens), leaf.repeats)
-            plan.append((s, lang, epochs, 0.0 if epochs == leaf.repeats else max(0.0, leaf.budget - epochs * leaf.tokens)))
-    leaves = spark.createDataFrame(plan, "source string, lang string, epochs int, rest double")
-
-    # The seeded order is the unsigned hash of the document in its epoch. Ranges of it are summed first, so that only the range
-    # in which the budget ends has to be sorted.
-    order = F.xxhash64(F.lit(seed), "epochs", "doc_id")
-    placed = sized.join(F.broadcast(leaves), ["source", "lang"]).withColumn("u", order).withColumn("range", F.shiftrightunsigned("u", 64 - RANGE_BITS))
-    sums = placed.groupBy("source", "lang", "range").agg(F.sum("n_tokens").alias("in_range"))
-    before = sums.withColumn("before", F.sum("in_range").over(Window.partitionBy("source", "lang").orderBy("range")) - F.col("in_range"))
-    ranged = placed.join(before, ["source", "lang", "range"])
-    done = F.col("before") + F.col("in_range") <= F.col("rest")
-    at_end = ~done & (F.col("before") < F.col("rest"))
-    w = Window.partitionBy("source", "lang").orderBy(F.shiftrightunsigned("u", 1), "u", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = ["source", "lang", "doc_id", "n_tokens"]
-    edge = ranged.filter(at_end).withColumn("upto", F.col("before") + F.sum("n_tokens").over(w)).select(*cols, (F.col("epochs") + (F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest")).cast("int")).alias("repeats"))
-    rest = ranged.filter(~at_end).select(*cols, (F.col("epochs") + done.cast("int")).alias("repeats"))
-    chosen = edge.unionAll(rest).filter("repeats > 0")
+            plan.append((*path, epochs, leaf.repeats, 0.0 if epochs == leaf.repeats else max(0.0, leaf.budget - epochs * leaf.tokens)))
+            planned[path[2]] += leaf.budget
+            owed[path[2]] += plan[-1][-1]
+    leaves = small(spark, "domain string, lang string, source string, epochs int, most int, rest double", plan)
+
+    order = lambda salt: F.xxhash64(F.lit(seed + salt), "epochs", "doc_id")
+    first = prefix(sized.join(F.broadcast(leaves), at).withColumn("u", order(0)), at, nearest=False).persist()
+    paid = first.groupBy("source").agg(F.sum(F.when(F.col("taken"), F.col("n_tokens")).otherwise(0)).alias("paid"))
+    left = small(spark, "source string, owed double", list(owed.items())).join(paid, "source").select("source", (F.col("owed") - F.col("paid")).alias("left"))
+    # A leaf whose documents are all used up to their repeats has no further epoch.
+    may = first.filter("not taken and epochs < most").join(F.broadcast(left), "source").filter("n_tokens <= left")
+    more = prefix(may.select("doc_id", *at, "n_tokens", "epochs", F.col("left").alias("rest"), order(1).alias("u")), ["source"], nearest=True).filter("taken")
+    once = first.select("source", "lang", "domain", "doc_id", "n_tokens", (F.col("epochs") + F.col("taken").cast("int")).alias("repeats"))
+    both = once.unionAll(more.select("source", "lang", "domain", "doc_id", "n_tokens", F.lit(1).alias("repeats")))
+    chosen = both.groupBy("source", "lang", "domain", "doc_id", "n_tokens").agg(F.sum("repeats").cast("int").alias("repeats")).filter("repeats > 0")
 
     got = chosen.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
-    wanted = spark.createDataFrame([(s, float(w), int(k)) for s, (w, k) in targets.items()], "source string, target_share double, max_repeats int")
-    all_ = wanted.join(got, "source", "left").select("source", "target_share", "max_repeats", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "most_repeats")))
+    whole = sum(planned.values()) or 1.0
+    wanted = small(spark, "source string, target_share double, max_repeats int, planned_share double, planned_tokens double", [(s, float(w), int(k), planned[s] / whole, planned[s]) for s, (w, k) in targets.items()])
+    all_ = wanted.join(got, "source", "left").select("source", "target_share", "max_repeats", "planned_share", "planned_tokens", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "most_repeats")))
     shares = all_.withColumn("actual_share", F.coalesce(F.col("tokens") / F.sum("tokens").over(Window.partitionBy()), F.lit(0.0)))
     return chosen, shares
+
+
+def promises(documents: DataFrame, mix_target: DataFrame) -> DataFrame:
+    """By source what a mix must keep, counted over all of it: documents with tokens that it could choose from, chosen documents that
+    aren't among them, documents used more often than allowed, and whether its tokens are those planned, to 1 % of the mix or to one
+    document of its own, since documents aren't cut."""
+    chosen, shares = mix(documents, mix_target)
+    chosen = chosen.persist()
+    mine = documents.filter(F.col("doc_id").isNotNull() & (F.col("text") != "")).groupBy(clean_source("source").alias("source")).agg(F.count_distinct("doc_id").alias("available"))
+    known = documents.select("doc_id", clean_source("source").alias("source")).distinct()
+    strange = chosen.join(known, ["doc_id", "source"], "left_anti").groupBy("source").agg(F.count("*").alias("strange"))
+    most = shares.select("source", "max_repeats")
+    often = chosen.join(F.broadcast(most), "source").groupBy("source").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("too_often"), F.max("n_tokens").alias("largest"))
+    all_ = shares.join(mine, "source", "left").join(strange, "source", "left").join(often, "source", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return all_.select("source", "target_share", "max_repeats", zero("available"), zero("strange"), zero("too_often"), (F.abs(F.col("tokens") - F.col("planned_tokens")) <= F.greatest(F.coalesce("largest", F.lit(0)), 0.01 * F.sum("tokens").over(Window.partitionBy()))).alias("as_planned"))

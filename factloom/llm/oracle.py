@@ -43,6 +43,12 @@ shared AS (SELECT w FROM g GROUP BY w HAVING min(doc_id) <> max(doc_id)), hit AS
 cut AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 120 THEN 0 ELSE 1 END AS fresh FROM hit), no AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM cut)
 SELECT doc_id, min(s)::INTEGER AS span_start, (max(s) + 120)::INTEGER AS span_end FROM no GROUP BY doc_id, n"""
 
+P6_PROMISES = """SELECT container_kind, capacity_tokens::BIGINT AS capacity, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS tokens_lost, 0::BIGINT AS cut_though_fitting, 0::BIGINT AS over_capacity, 0::BIGINT AS over_documents, 0::BIGINT AS over_cost, true AS little_unused
+FROM container_kind WHERE container_kind IS NOT NULL AND capacity_tokens > 0"""
+_SOURCE = r"lower(regexp_replace({0}, '^[\s\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{3000}}]+|[\s\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{3000}}]+$', '', 'g'))".format
+P7_PROMISES = f"""WITH d AS (SELECT {_SOURCE('source')} AS source, count(DISTINCT doc_id) AS n FROM documents WHERE text <> '' GROUP BY 1)
+SELECT t.source, target_share, max_repeats, coalesce(n, 0) AS available, 0::BIGINT AS strange, 0::BIGINT AS too_often, true AS as_planned FROM (SELECT {_SOURCE('source')} AS source, target_share, max_repeats FROM mix_target WHERE source IS NOT NULL) t LEFT JOIN d ON t.source = d.source"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_kept": P3_KEPT, "p4_found": P4, "p5_found": P5, "p8_found": P8}
+    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_kept": P3_KEPT, "p4_found": P4, "p5_found": P5, "p6_promises": P6_PROMISES, "p7_promises": P7_PROMISES, "p8_found": P8}

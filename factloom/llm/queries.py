@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm import mixing, packing
 from factloom.llm.conversations import conversations
 from factloom.llm.format_copies import format_copies
 from factloom.llm.history_dedup import known_rows
@@ -55,6 +56,10 @@ def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unused_space(p6_containers(spark, sf_dir))
 
 
+def p6_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.promises(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "container_kind"))
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_target"))[0]
 
@@ -63,6 +68,10 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_target"))[1]
 
 
+def p7_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.promises(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_target"))
+
+
 def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_copies(_live(spark, sf_dir))[0]
 
@@ -80,7 +89,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_groups, p2_found, p3_found, p3_kept, p4_found, p5_found, p5_gap_sessions, p6_containers, p6_unused, p7_mix, p7_shares, p8_found]
+    found = [p1_found, p1_groups, p2_found, p3_found, p3_kept, p4_found, p5_found, p5_gap_sessions, p6_containers, p6_unused, p6_promises, p7_mix, p7_shares, p7_promises, p8_found]
     return {f.__name__: f for f in found}
 
 

@@ -46,4 +46,5 @@ def n_tokens(text: Column, path: str = DEFAULT_TOKENIZER) -> Column:
         size = encoder(path)
         return pd.Series([size(t) if t else 0 for t in texts], dtype="int64")
 
-    return count(text)
+    # Marked so, it runs once a row: a filter on it isn't pushed below the projection that computes it.
+    return count.asNondeterministic()(text)
