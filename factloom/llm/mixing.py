@@ -130,7 +130,10 @@ def mix(documents: DataFrame, mix_target: DataFrame, total_tokens: int | None =
     docs = documents.select("doc_id", clean_source("source").alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), kind.alias("domain"), "text").filter(F.col("source").isin(list(targets)) & F.col("doc_id").isNotNull())
     at = ["domain", "lang", "source"]
     sized = docs.select("doc_id", *at, n_tokens(F.col("text"), tokenizer).alias("n_tokens")).filter("n_tokens > 0").groupBy("doc_id", *at).agg(F.max("n_tokens").alias("n_tokens")).persist()
-    held = [(*(r[c] for c in at), r["tokens"]) for r in sized.groupBy(*at).agg(F.sum("n_tokens").alias("tokens")).collect()]
+    sums, largest = sized.groupBy(*at).agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest")).collect(), dict.fromkeys(targets, 0)
+    held = [(*(r[c] for c in at), r["tokens"]) for r in sums]
+    for r in sums:
+        largest[r["source"]] = max(largest[r["source"]], r["largest"])
     root = budgets(held, targets, float(sum(x[3] for x in held) if total_tokens is None else total_tokens))
     spark, plan, planned, owed = documents.sparkSession, [], dict.fromkeys(targets, 0.0), dict.fromkeys(targets, 0.0)
     for path, leaf in leaves_under(root):
@@ -154,8 +157,8 @@ def mix(documents: DataFrame, mix_target: DataFrame, total_tokens: int | None =
 
     got = chosen.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
     whole = sum(planned.values()) or 1.0
-    wanted = small(spark, "source string, target_share double, max_repeats int, planned_share double, planned_tokens double", [(s, float(w), int(k), planned[s] / whole, planned[s]) for s, (w, k) in targets.items()])
-    all_ = wanted.join(got, "source", "left").select("source", "target_share", "max_repeats", "planned_share", "planned_tokens", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "most_repeats")))
+    wanted = small(spark, "source string, target_share double, max_repeats int, planned_share double, planned_tokens double, largest_document double", [(s, float(w), int(k), planned[s] / whole, planned[s], float(largest[s])) for s, (w, k) in targets.items()])
+    all_ = wanted.join(got, "source", "left").select("source", "target_share", "max_repeats", "planned_share", "planned_tokens", "largest_document", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "most_repeats")))
     shares = all_.withColumn("actual_share", F.coalesce(F.col("tokens") / F.sum("tokens").over(Window.partitionBy()), F.lit(0.0)))
     return chosen, shares
 
@@ -170,7 +173,7 @@ def promises(documents: DataFrame, mix_target: DataFrame) -> DataFrame:
     known = documents.select("doc_id", clean_source("source").alias("source")).distinct()
     strange = chosen.join(known, ["doc_id", "source"], "left_anti").groupBy("source").agg(F.count("*").alias("strange"))
     most = shares.select("source", "max_repeats")
-    often = chosen.join(F.broadcast(most), "source").groupBy("source").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("too_often"), F.max("n_tokens").alias("largest"))
+    often = chosen.join(F.broadcast(most), "source").groupBy("source").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("too_often"))
     all_ = shares.join(mine, "source", "left").join(strange, "source", "left").join(often, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return all_.select("source", "target_share", "max_repeats", zero("available"), zero("strange"), zero("too_often"), (F.abs(F.col("tokens") - F.col("planned_tokens")) <= F.greatest(F.coalesce("largest", F.lit(0)), 0.01 * F.sum("tokens").over(Window.partitionBy()))).alias("as_planned"))
+    return all_.select("source", "target_share", "max_repeats", zero("available"), zero("strange"), zero("too_often"), (F.abs(F.col("tokens") - F.col("planned_tokens")) <= F.greatest("largest_document", 0.01 * F.sum("tokens").over(Window.partitionBy()))).alias("as_planned"))
