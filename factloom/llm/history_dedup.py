@@ -3,16 +3,20 @@
 Every record has a 112-bit fingerprint in which each of its distinct words flips one bit, so two fingerprints differ in at most as
 many bits as their records differ in words: a pair whose bits differ more than the threshold allows can't be similar. Records are
 found by *blocks*: the words of a record from the rarest on, rotated so that each of the first ones leads one row of the block
-table, as many as must hold one word of every similar record (common words lead in twos). A new record looks up its own blocks, the matches are held against
-the bit-difference bound, then word by word, and what is accepted is appended to the tables. The outcome is exact.
-
-Blocks are words and not ranges of bits because records at the threshold of 0.7 may differ in 43 % of their words; blocks of bits
-small enough to survive that are two or three bits long and match nearly everything.
+table, as many as must hold one word of every similar record (common words lead in twos). `FingerprintStore` keeps both tables in
+a folder, the blocks by ranges of their key and the fingerprints by ranges of their class. A batch reads the ranges of its own
+blocks, matches are held against the bit-difference bound, then their words are read and compared, and what is accepted is
+appended. The history is fingerprinted once, when the store is made.
+
+Blocks are words and not ranges of bits because records at the threshold of 0.7 may differ in 35 % of their words; blocks of bits
+that are small enough to survive that match nearly everything (figures in the README). Sets are compared by the first 40 bits of
+their words' hashes, taken within the namespace: two words of a pair of records of 50 words agree by chance once in 10**9 pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.near_duplicates import KEPT, packed, scope_of, scoped
-from factloom.llm.words import COMMON, SKETCH_BITS, WordHasher, exact, halves, signed, sketch, slots, words
+from factloom.llm.words import COMMON, SKETCH_BITS, WordHasher, exact, halves, kept_by, membership, signed, sketch, slots, words
 from factloom.session import checkpoint_dir
 
 FINGERPRINT = "ca long, cb long, n int, r int, f1 long, f2 long, toks binary, fresh boolean"
@@ -115,19 +119,21 @@ def _verify(num: int, den: int):  # noqa: ANN202
     return run
 
 
-def similar_classes(new: DataFrame, old: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a class of `new` (xa, xb) and another of `old` (ya, yb) that are similar, by block, bit difference and words."""
+def similar_classes(new: DataFrame, num: int, den: int, old_blocks: DataFrame, old_words: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs of a class of `new` (xa, xb) and a stored one (ya, yb) that are similar, by block, bit difference and words.
+
+    old_words gives, for a frame of the classes that were met (ya), their words as (ya, yb, ty).
+    """
     # The table carries half of a class's hash; classes that share it are told apart when their words are compared.
     x = blocks(new, num, den).select(F.col("key"), F.col("ca").alias("xa"), F.col("f1").alias("x1"), F.col("f2").alias("x2"))
-    y = blocks(old, num, den).select(F.col("key").alias("k"), F.col("ca").alias("ya"), F.col("f1").alias("y1"), F.col("f2").alias("y2"))
+    y = old_blocks.select(F.col("key").alias("k"), F.col("ca").alias("ya"), F.col("f1").alias("y1"), F.col("f2").alias("y2"))
     xn, yn = F.col("x2").bitwiseAND(F.lit(MOST)), F.col("y2").bitwiseAND(F.lit(MOST))
     bits = F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) + F.bit_count(F.shiftrightunsigned(F.col("x2").bitwiseXOR(F.col("y2")), 16))
     near = (den * xn >= num * yn) & (den * yn >= num * xn) & (bits * (num + den) <= (den - num) * (xn + yn))
     huge = (xn == MOST) | (yn == MOST)
-    met = x.join(y.hint("merge"), (F.col("key") == F.col("k")) & (near | huge) & (F.col("xa") != F.col("ya"))).select("xa", "ya").distinct()
+    met = x.join(y.hint("merge"), (F.col("key") == F.col("k")) & (near | huge) & (F.col("xa") != F.col("ya"))).select("xa", "ya").distinct().persist()
     tx = new.filter("fresh").select(F.col("ca").alias("xa"), F.col("cb").alias("xb"), F.col("toks").alias("tx"))
-    ty = old.filter("fresh").select(F.col("ca").alias("ya"), F.col("cb").alias("yb"), F.col("toks").alias("ty"))
-    ready = met.join(tx, "xa").join(ty.hint("merge"), "ya")
+    ready = met.join(tx, "xa").join(old_words(met).hint("merge"), "ya")
     return ready.select("xa", "xb", "ya", "yb", "tx", "ty").mapInArrow(_verify(num, den), "xa long, xb long, ya long, yb long").distinct()
 
 
@@ -136,6 +142,14 @@ def origin(ref: str, ts: str) -> F.Column:
     return F.when(F.col(ref).rlike(r"(?U)[^\s\x1c-\x1f]") & F.col(ts).isNotNull(), F.struct(F.col(ref).alias("r"), F.col(ts).alias("t")))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder; they are kept while that is done, because writing takes a second pass."""
+    held = df.persist()
+    out = held.checkpoint()
+    held.unpersist()
+    return out
+
+
 def decide(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """row_id of the rows that an earlier accepted row makes a case. rows: row_id, ord, ca, cb, ref; edges: both ways.
 
@@ -164,22 +178,6 @@ def decide(rows: DataFrame, edges: DataFrame) -> DataFrame:
             return cases
 
 
-def find_cases(history: DataFrame, batch: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """row_id of the cases of a batch of rows. Both frames have fingerprints and `ref`; batch has row_id and ord too."""
-    checkpoint_dir(batch.sparkSession)
-    num, den = exact(threshold)
-    new = batch.filter("n is not null")
-    old_classes = history.filter("fresh").select("ca", "cb").distinct()
-    against = similar_classes(new, history.filter("n is not null"), num, den).select(F.col("xa").alias("ca"), F.col("xb").alias("cb"))
-    known = against.unionAll(new.select("ca", "cb").distinct().join(old_classes, ["ca", "cb"], "left_semi")).distinct().withColumn("k", F.lit(True))
-    refs = history.filter("ref is not null").select("ref").distinct().withColumn("s", F.lit(True))
-    marked = batch.select("row_id", "ord", "ca", "cb", "ref").join(known, ["ca", "cb"], "left").join(refs, "ref", "left")
-    marked = marked.select("row_id", "ord", "ca", "cb", "ref", (F.col("k").isNotNull() | F.col("s").isNotNull()).alias("case")).checkpoint()
-    edges = similar_classes(new, new, num, den)
-    left = marked.filter("not case").drop("case")
-    return marked.filter("case").select("row_id").unionAll(decide(left, edges))
-
-
 def batch_rows(batch: DataFrame) -> DataFrame:
     order = F.struct("batch_no", "line_no", "row_id")
     return batch.filter(F.col("row_id").isNotNull()).select("row_id", order.alias("ord"), origin("source_ref", "ingestion_ts").alias("ref"), F.col("namespace").alias("ns"), F.col("content").alias("text"))
@@ -189,34 +187,120 @@ def history_rows(memory: DataFrame) -> DataFrame:
     return memory.select(origin("source_ref", "ingestion_ts").alias("ref"), F.col("namespace").alias("ns"), F.col("content").alias("text"))
 
 
-def known_rows(memory: DataFrame, batch: DataFrame, threshold: float = 0.7, common: int = COMMON) -> DataFrame:
-    """row_id of the rows of batch that are there already, in memory or among the rows accepted before them.
+#: Rows of a block table that one range of keys holds, and the most ranges there are.
+RANGE_ROWS, MOST_BITS = 1 << 20, 12
 
-    Rows are taken by (batch_no, line_no, row_id), nulls first. A row without words (null, empty or punctuation only) is similar
-    to nothing and is judged by source and time alone. A null namespace is a namespace. Rows without a row_id are left out.
-    """
-    old, new = history_rows(memory), batch_rows(batch)
-    counts = word_order(old.select("text").unionAll(new.select("text")))
-    return find_cases(fingerprints(old, counts, common).persist(), fingerprints(new, counts, common).persist(), threshold)
+
+def ranged(rows: DataFrame, column: str, bits: int) -> DataFrame:
+    """Adds `part`, the range of the column's values a row lies in: its upper bits."""
+    return rows.withColumn("part", F.shiftrightunsigned(F.col(column), 64 - bits).cast("int") if bits else F.lit(0))
 
 
 class FingerprintStore:
-    """Block tables kept in a folder: made once from the history, then looked up and appended to batch by batch."""
+    """Fingerprints and rotated block tables kept in a folder: made once from the history, then looked up and appended to.
+
+    prints (class, fingerprint, words) lie by ranges of the class, blocks by ranges of their key, so many that a range has about
+    RANGE_ROWS rows when the store is made; refs are the sources with their times. A batch reads only the ranges that its blocks,
+    and then the classes they meet, fall into: for a small batch some files, whatever the length of the history. Each check writes
+    files of its own under its number, so a check that is run again replaces what it wrote and a lost executor costs a repeated task.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, threshold: float = 0.7) -> None:
-        self.spark, self.path, self.threshold = spark, path, threshold
+    def __init__(self, spark: SparkSession, path: str, threshold: float = 0.7, common: int = COMMON) -> None:
+        self.spark, self.path, self.common = spark, path.rstrip("/"), common
+        self.num, self.den = exact(threshold)
 
     def create(self, memory: DataFrame) -> None:
-        """Fixes the order of words, which every later batch shares, and stores the fingerprints of the history."""
+        """Fixes the order of words, which every later batch shares, and stores the history: one pass for the order, one for the prints."""
         rows = history_rows(memory)
         counts = word_order(rows)
-        self.spark.createDataFrame(pd.DataFrame({"counts": [counts.astype(np.int64).tobytes()]})).write.mode("overwrite").parquet(f"{self.path}/order")
-        fingerprints(rows, counts).write.mode("overwrite").parquet(f"{self.path}/prints")
-
-    def check(self, batch: DataFrame) -> DataFrame:
-        """row_id of the cases; the fingerprints of all other rows are appended."""
-        counts = np.frombuffer(self.spark.read.parquet(f"{self.path}/order").first()["counts"], dtype=np.int64)
-        new = fingerprints(batch_rows(batch), counts).persist()
-        cases = find_cases(self.spark.read.parquet(f"{self.path}/prints"), new, self.threshold).checkpoint()
-        new.join(cases, "row_id", "left_anti").select("ref", "ca", "cb", "n", "r", "f1", "f2", "toks", F.col("n").isNotNull().alias("fresh")).write.mode("append").parquet(f"{self.path}/prints")
+        prints = fingerprints(rows, counts, self.common).persist()
+        size = prints.filter("fresh").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest(F.col("n") / 3, F.lit(1.0))), F.lit(0.0)).alias("blocks")).first()
+        bits = [min(MOST_BITS, max(0, (int(n) // RANGE_ROWS).bit_length())) for n in (size["n"], size["blocks"])]
+        order = pd.DataFrame({"counts": [counts.astype(np.int64).tobytes()], "print_bits": [bits[0]], "block_bits": [bits[1]]})
+        self.spark.createDataFrame(order).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/order")
+        self._append(prints, 0, *bits)
+        prints.unpersist()
+
+    def _append(self, prints: DataFrame, number: int, print_bits: int, block_bits: int) -> None:
+        fresh = prints.filter("fresh").select("ca", "cb", "n", "r", "f1", "f2", "toks")
+        ranged(fresh, "ca", print_bits).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/prints/batch={number}")
+        table = blocks(fresh.withColumn("fresh", F.lit(True)), self.num, self.den)
+        ranged(table, "key", block_bits).repartition("part", F.pmod("key", F.lit(8))).sortWithinPartitions("part", "key").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/blocks/batch={number}")
+        prints.filter("ref is not null").select("ref").distinct().write.mode("overwrite").parquet(f"{self.path}/refs/batch={number}")
+
+    def _table(self, name: str, schema: str, parts: list[int] | None = None) -> DataFrame:
+        found = self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
+        return found if parts is None else found.filter(F.col("part").isin(parts))
+
+    def _parts(self, rows: DataFrame, column: str, bits: int) -> list[int]:
+        """The ranges that a column's values fall into, at most 2**MOST_BITS numbers."""
+        return [r["part"] for r in ranged(rows.select(column), column, bits).select("part").distinct().collect()]
+
+    def check(self, batch: DataFrame, number: int = 1) -> DataFrame:
+        """row_id of the cases among some rows, taken by (batch_no, line_no, row_id); all other rows are appended under `number`, from 1.
+
+        A row is a case when it is similar to one accepted before, in the store or in these rows, or has its source and time.
+        """
+        checkpoint_dir(self.spark)
+        num, den = self.num, self.den
+        order = self.spark.read.parquet(f"{self.path}/order").first()
+        print_bits, block_bits = order["print_bits"], order["block_bits"]
+        rows = fingerprints(batch_rows(batch), np.frombuffer(order["counts"], dtype=np.int64), self.common).persist()
+        new = rows.filter("n is not null")
+        mine = blocks(new, num, den).select("key").persist()
+        stored = "key long, ca long, f1 long, f2 long, batch int, part int"
+        old = self._table("blocks", stored, self._parts(mine, "key", block_bits)).filter(F.col("batch") < number)
+        near = kept_by(old.select("key", "ca", "f1", "f2"), "key", membership(mine, "key"))
+        words = "ca long, cb long, n int, r int, f1 long, f2 long, toks binary, batch int, part int"
+
+        def stored_words(met: DataFrame) -> DataFrame:
+            prints = self._table("prints", words, self._parts(met.select(F.col("ya").alias("ca")), "ca", print_bits)).filter(F.col("batch") < number)
+            return kept_by(prints.select("ca", "cb", "toks"), "ca", membership(met, "ya")).select(F.col("ca").alias("ya"), F.col("cb").alias("yb"), F.col("toks").alias("ty")).distinct()
+
+        against = similar_classes(new, num, den, near, stored_words).select(F.col("xa").alias("ca"), F.col("xb").alias("cb"))
+        classes = new.select("ca", "cb").distinct().persist()
+        same = self._table("prints", words, self._parts(classes, "ca", print_bits)).filter(F.col("batch") < number).select("ca", "cb")
+        known = against.unionAll(classes.join(kept_by(same, "ca", membership(classes, "ca")).hint("merge"), ["ca", "cb"], "left_semi")).distinct().withColumn("k", F.lit(True))
+        refs = self._table("refs", "ref struct<r:string,t:timestamp>, batch int").filter(F.col("batch") < number)
+        wanted = rows.filter("ref is not null").select(F.xxhash64("ref").alias("h"), "ref")
+        had = kept_by(refs.select(F.xxhash64("ref").alias("h"), "ref"), "h", membership(wanted, "h")).select("ref").distinct().withColumn("s", F.lit(True))
+        marked = rows.select("row_id", "ord", "ca", "cb", "ref").join(known, ["ca", "cb"], "left").join(had.hint("merge"), "ref", "left")
+        marked = cut(marked.select("row_id", "ord", "ca", "cb", "ref", (F.col("k").isNotNull() | F.col("s").isNotNull()).alias("case")))
+        # Among themselves the rows meet over their own blocks. Cases of the history can't make others cases.
+        left = marked.filter("not case").drop("case")
+        own = lambda met: new.filter("fresh").select(F.col("ca").alias("ya"), F.col("cb").alias("yb"), F.col("toks").alias("ty"))  # noqa: E731, ARG005
+        edges = similar_classes(new, num, den, blocks(new, num, den), own)
+        cases = cut(marked.filter("case").select("row_id").unionAll(decide(left, edges)))
+        # Of the rows that are no cases one of each class is stored.
+        accepted = rows.join(cases.hint("merge"), "row_id", "left_anti").withColumn("fresh", F.col("n").isNotNull())
+        self._append(accepted, number, print_bits, block_bits)
+        rows.unpersist()
         return cases
+
+    def drop(self) -> None:
+        """Deletes the folder."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stored_cases(memory: DataFrame, batch: DataFrame, threshold: float = 0.7, common: int = COMMON, last_apart: bool = False) -> DataFrame:
+    """row_id of the rows of batch that are there already, in memory or among the rows accepted before them.
+
+    A FingerprintStore is made from memory in the folder spark.checkpoint.dir names and the waiting rows are checked against it, all in
+    one call, or with last_apart the last batch in a call of its own, of which alone the cases come out. Rows are taken by
+    (batch_no, line_no, row_id), nulls first. A row without words (null, empty or punctuation only) is similar to nothing and is
+    judged by source and time alone. A null namespace is a namespace. Rows without a row_id are left out.
+    """
+    spark = batch.sparkSession
+    checkpoint_dir(spark)
+    store = FingerprintStore(spark, f"{spark.sparkContext.getCheckpointDir()}/fingerprints-{uuid.uuid4().hex}", threshold, common)
+    store.create(memory)
+    if last_apart:
+        last = batch.agg(F.max("batch_no")).first()[0]
+        is_last = F.col("batch_no").eqNullSafe(F.lit(last))
+        store.check(batch.filter(~is_last), 1)
+        cases = store.check(batch.filter(is_last), 2)
+    else:
+        cases = store.check(batch)
+    store.drop()
+    return cases

@@ -1,19 +1,21 @@
 """Near-duplicate records with small edits, by a token-group matrix.
 
 Two records of one group are *similar* when the number of distinct words in both, divided by the number in either, reaches the
-threshold. The result is exact.
+threshold.
 
 1. Records with the same set of words fall into one class, so copies are compared once.
-2. Classes are partitioned into small groups of similar sets: six min-hashes agree, and a group that the count sketch shows to
-   be large is split by a hash of the class. Of each group the matrix keeps its token union, hashed to 128
-   columns, with the smallest and largest set size.
+2. Classes are partitioned into groups of similar sets: those whose smallest min-hash agrees, or where the count sketch shows that
+   to be many, those of which two, four or eight agree, and at last hash parts of these. Of each group the matrix keeps its
+   token union, hashed to 128 columns, with the smallest and largest set size. A group of one has its set as its union.
 3. A set, as a query, meets a group only through a word: each sends its rarest words (a prefix that must hold one word of every
-   similar set), common ones in pairs so that no key gathers a large part of a namespace. Where they meet, the columns bound how many of the query's words any set of the group can have, and only
-   groups whose bound reaches the threshold are opened.
+   similar set), common ones in pairs so that no key gathers a large part of a namespace. Where they meet, the columns bound how
+   many of the query's words any set of the group can have, and only groups whose bound reaches the threshold are opened.
 4. In the opened groups, and inside each group, the sets themselves are compared.
 
 No step compares all pairs of a namespace, and what is broadcast is a sketch of fixed size. A namespace with a third of all
-rows is spread by word, a group of copies by its map-side reduction to one row a task.
+rows is spread by word, a group of copies by its map-side reduction to one row a task. Every bound is exact; sets are compared
+by the first 40 bits of their words' hashes, taken within the namespace: two words of a pair of records of 50 words agree by
+chance once in 10**9 pairs.
 """
 
 from __future__ import annotations
@@ -32,13 +34,13 @@ from factloom.llm.words import COMMON, SKETCH_BITS, WordHasher, exact, halves, k
 
 #: Bytes that are kept of a word's hash when sets are compared.
 KEPT = 5
-#: From so many sets on a group is one target.
-UNION_OF = 4
-#: A group is split when the sketch counts more rows in it than this.
+#: From so many sets on a group's union stands for several sets.
+UNION_OF = 2
+#: A group is made finer when the sketch counts more rows in it than this.
 GROUP_ROWS = 48
-#: Min-hashes that must agree for two sets to share a group. Sets that share a tenth of their words do so once in 10**6 pairs, so
-#: a group holds look-alikes and its union stays narrow in large namespaces too.
-ODD = np.array([0x9E3779B97F4A7C15 + 2 * k * 0x165667B19E3779F9 & 0xFFFFFFFFFFFFFFFF for k in range(6)], dtype=np.uint64)
+#: Min-hashes that must agree for two sets to share a group, from the coarsest partition to the finest, and their number.
+LEVELS = (1, 2, 4, 8)
+ODD = np.array([0x9E3779B97F4A7C15 + 2 * k * 0x165667B19E3779F9 & 0xFFFFFFFFFFFFFFFF for k in range(LEVELS[-1])], dtype=np.uint64)
 
 
 def scoped(hashes: np.ndarray, scope: int) -> np.ndarray:
@@ -47,9 +49,15 @@ def scoped(hashes: np.ndarray, scope: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def group_of(h: np.ndarray) -> int:
-    """The min-hashes of a set, hashed together."""
-    return xxhash.xxh3_64_intdigest((h * ODD[:, None]).min(axis=1).tobytes())
+def groups_of(h: np.ndarray) -> list[int]:
+    """Of each partition the group a set falls into: its first min-hashes, hashed together."""
+    low = (h * ODD[:, None]).min(axis=1).tobytes()
+    return [xxhash.xxh3_64_intdigest(low[: 8 * k], seed=k) for k in LEVELS]
+
+
+def group_slot(level: int, g: int) -> int:
+    """The slot of the sketch that counts a group; the words' slots come first."""
+    return ((1 + level) << SKETCH_BITS) + (g >> (64 - SKETCH_BITS))
 
 
 def columns_of(h: np.ndarray) -> tuple[int, int]:
@@ -75,12 +83,12 @@ def _statistics(rows: DataFrame) -> np.ndarray:
             for ns, text in zip(pdf["ns"], pdf["text"]):
                 if found := set(words(text)):
                     h = hasher(found)
-                    out += [slots(h), np.array([(1 << SKETCH_BITS) + (group_of(scoped(h, scope_of(ns))) >> (64 - SKETCH_BITS))])]
+                    out += [slots(h), np.array([group_slot(k, g) for k, g in enumerate(groups_of(scoped(h, scope_of(ns))))])]
             return out
 
         return fn
 
-    return sketch(rows, of, 2 << SKETCH_BITS)
+    return sketch(rows, of, (1 + len(LEVELS)) << SKETCH_BITS)
 
 
 FEATURES = "id string, g long, ca long, cb long, sa long, sb long, n int, r int, b1 long, b2 long, toks binary, fresh boolean"
@@ -107,8 +115,10 @@ def features(rows: DataFrame, counts: np.ndarray, common: int) -> DataFrame:
                 h = scoped(plain, scope)
                 order = np.lexsort((h, df[slots(plain)]))
                 ca, cb = halves(np.sort(h).tobytes())
-                g = group_of(h)
-                if (many := int(df[(1 << SKETCH_BITS) + (g >> (64 - SKETCH_BITS))])) > GROUP_ROWS:
+                for level, g in enumerate(groups_of(h)):
+                    if (many := int(df[group_slot(level, g)])) <= GROUP_ROWS:
+                        break
+                else:
                     g = xxhash.xxh3_64_intdigest(f"{g} {cb % (many // (GROUP_ROWS // 2))}".encode())
                 if len(seen) > 300_000:
                     seen.clear()
@@ -174,11 +184,10 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _matrix(num: int, den: int, queries: bool):  # noqa: ANN202
     """The rows by which sets and groups meet: key, group, columns, and size, which holds the smallest and the largest set and
-    what the row is: 1 a query of a large group, 2 a large group as target, 3 a set of a small group.
+    what the row is: 1 a query of a group of several sets, 2 a group of several sets as target, 3 a group of one.
 
-    Every set is a query and sends the keys of its prefix. The sets of a small group are targets themselves, for queries of their size or
-    more, with the shorter prefix that this allows; a larger group is one target that sends its token union and the keys of
-    all its sets.
+    Every set is a query and sends the keys of its prefix. A group of several sets is one target that sends its token union and the
+    keys of all its sets; a group of one is a target for queries of its size or more, with the shorter prefix that this allows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +216,8 @@ def _matrix(num: int, den: int, queries: bool):  # noqa: ANN202
     return run
 
 
+#: How much finer than the session's the partitions are in which sets and groups meet: theirs are the most rows.
+FINER = 4
 #: Pairs of sets that are compared at once.
 AT_ONCE = 50_000
 
@@ -243,16 +254,19 @@ def _similar(num: int, den: int):  # noqa: ANN202
     return run
 
 
-def class_pairs(feats: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different classes (xa, xb), (ya, yb) whose similarity reaches the threshold, each once."""
-    num, den = exact(threshold)
+def _groups(feats: DataFrame) -> DataFrame:
+    """The groups with their members, one row each."""
     # A fixed number of partitions, so that the joins by g below find the stored groups where they are.
     parts = int(feats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = (
+    return (
         feats.filter("fresh").select("g", "ca", "cb", "n", "r", "b1", "b2", "toks").repartition(parts, "g")
         .groupBy("g", "ca", "cb").agg(F.first(F.struct("n", "r", "b1", "b2", "toks")).alias("m"))
         .groupBy("g").agg(F.collect_list(F.struct("ca", "cb", "m.n", "m.r", "m.b1", "m.b2", "m.toks")).alias("members"))
     ).persist()
+
+
+def _met(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """g, h and opened: where a query of one group meets another group over a key, and whether the bound then opens it."""
     matrix = "key long, g long, b1 long, b2 long, size long"
     a, b = (groups.mapInArrow(_matrix(num, den, queries), matrix).alias(s) for s, queries in (("a", True), ("b", False)))
     kind = lambda s: F.col(f"{s}.size").bitwiseAND(F.lit(3))
@@ -264,8 +278,17 @@ def class_pairs(feats: DataFrame, threshold: float) -> DataFrame:
     sizes = (den * hi("a") >= num * lo("b")) & (den * hi("b") >= num * lo("a"))
     # Of a query's words those in columns that the target lacks aren't in any of its sets; between two sets it holds both ways.
     bound = (den * (hi("a") - lost("a", "b")) >= num * hi("a")) & ((kind("b") == 2) | ((den * (hi("a") - lost("a", "b")) >= num * (hi("a") + lost("b", "a"))) & (den * (hi("b") - lost("b", "a")) >= num * (hi("b") + lost("a", "b")))))
-    meet = (F.col("a.key") == F.col("b.key")) & once & sizes & bound
-    opened = a.join(b.hint("merge"), meet).select(F.least("a.g", "b.g").alias("g"), F.greatest("a.g", "b.g").alias("h")).distinct()
+    finer = FINER * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (x.repartition(finer, "key").alias(s) for x, s in ((a, "a"), (b, "b")))
+    met = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & once)
+    return met.select(F.least("a.g", "b.g").alias("g"), F.greatest("a.g", "b.g").alias("h"), (sizes & bound).alias("opened"), (kind("b") == 2).alias("union"))
+
+
+def class_pairs(feats: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different classes (xa, xb), (ya, yb) whose similarity reaches the threshold, each once."""
+    num, den = exact(threshold)
+    groups = _groups(feats)
+    opened = _met(groups, num, den).filter("opened").select("g", "h").distinct()
     ready = opened.join(groups.select("g", "members"), "g").select("h", "members").join(groups.select(F.col("g").alias("h"), F.col("members").alias("others")), "h").select("members", "others")
     schema = "xa long, xb long, ya long, yb long"
     across = ready.mapInArrow(_similar(num, den), schema)
@@ -278,6 +301,24 @@ def _prepared(df: DataFrame, id_col: str, group_col: str, text_col: str, common:
     return features(rows, _statistics(rows.select("ns", "text")), common).persist()
 
 
+def matrix_report(df: DataFrame, id_col: str = "id", group_col: str = "namespace", text_col: str = "content", threshold: float = 0.7, common: int = COMMON) -> DataFrame:
+    """figure and n, what the matrix does: classes, groups, classes in groups of several; pairs of groups that met over a word, those
+    that the bound opened and held back, those opened over a union of several sets; similar pairs of classes inside groups and across."""
+    feats, (num, den) = _prepared(df, id_col, group_col, text_col, common), exact(threshold)
+    groups = _groups(feats)
+    met = _met(groups, num, den).groupBy("g", "h").agg(F.bool_or("opened").alias("opened"), F.bool_or(F.col("opened") & F.col("union")).alias("union"))
+    size = F.size("members")
+    one = groups.agg(F.sum(size).alias("classes"), F.count("*").alias("groups"), F.sum(F.when(size > 1, size)).alias("classes_in_groups_of_several"))
+    two = met.agg(F.count("*").alias("groups_met"), F.count_if("opened").alias("groups_opened"), F.count_if(~F.col("opened")).alias("groups_held_back"), F.count_if("union").alias("groups_opened_by_union"))
+    inside = groups.filter(size > 1).select("members").mapInArrow(_similar(num, den), "xa long, xb long, ya long, yb long").agg(F.count("*").alias("similar_inside"))
+    all_ = class_pairs(feats, threshold).agg(F.count("*").alias("similar"))
+    out = None
+    for f in (one, two, inside, all_):
+        long = f.select(F.explode(F.array(*(F.struct(F.lit(c).alias("figure"), F.coalesce(c, F.lit(0)).cast("long").alias("n")) for c in f.columns))).alias("x")).select("x.*")
+        out = long if out is None else out.unionAll(long)
+    return out
+
+
 def near_duplicate_groups(df: DataFrame, id_col: str = "id", group_col: str = "namespace", text_col: str = "content", threshold: float = 0.7, common: int = COMMON) -> DataFrame:
     """id, group_id and links of every row with words: rows that are linked by similarities, over any number of steps, share the
     group_id, the smallest id among them; links counts the other sets of words that a row's own is similar to.

@@ -51,4 +51,4 @@ SELECT t.source, target_share, max_repeats, coalesce(n, 0) AS available, 0::BIGI
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_kept": P3_KEPT, "p4_found": P4, "p5_found": P5, "p6_promises": P6_PROMISES, "p7_promises": P7_PROMISES, "p8_found": P8}
+    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_kept": P3_KEPT, "p4_found": P4, "p4_last_batch": P4 + " AND row_id IN (SELECT row_id FROM memory_batch WHERE batch_no = (SELECT max(batch_no) FROM memory_batch))", "p5_found": P5, "p6_promises": P6_PROMISES, "p7_promises": P7_PROMISES, "p8_found": P8}

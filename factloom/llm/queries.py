@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from factloom.llm import mixing, packing
 from factloom.llm.conversations import conversations
 from factloom.llm.format_copies import format_copies
-from factloom.llm.history_dedup import known_rows
+from factloom.llm.history_dedup import stored_cases
 from factloom.llm.mixing import mix
-from factloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from factloom.llm.near_duplicates import matrix_report, near_duplicate_groups, near_duplicate_pairs
 from factloom.llm.oracle import oracle_sql
+from factloom.llm.paragraph_bands import paragraph_clusters
 from factloom.llm.packing import containers, unused_space
 from factloom.llm.sessions_by_gap import gap_sessions
 from factloom.llm.shared_spans import shared_spans
@@ -36,6 +37,10 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(_live(spark, sf_dir))
 
 
+def p1_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix_report(_live(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_records(_t(spark, sf_dir, "memory"))
 
@@ -45,7 +50,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return known_rows(_live(spark, sf_dir), _t(spark, sf_dir, "memory_batch"))
+    return stored_cases(_live(spark, sf_dir), _t(spark, sf_dir, "memory_batch"))
+
+
+def p4_last_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases of the last batch, checked in a call of its own against a store to which all batches before were appended."""
+    return stored_cases(_live(spark, sf_dir), _t(spark, sf_dir, "memory_batch"), last_apart=True)
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +98,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(_t(spark, sf_dir, "documents"))
 
 
+def p8_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_clusters(_t(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_groups, p2_found, p3_found, p3_kept, p4_found, p5_found, p5_gap_sessions, p6_containers, p6_unused, p6_promises, p7_mix, p7_shares, p7_promises, p8_found]
+    found = [p1_found, p1_groups, p1_matrix, p2_found, p3_found, p3_kept, p4_found, p4_last_batch, p5_found, p5_gap_sessions, p6_containers, p6_unused, p6_promises, p7_mix, p7_shares, p7_promises, p8_found, p8_paragraphs]
     return {f.__name__: f for f in found}
 
 

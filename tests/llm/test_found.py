@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factloom.llm import queries as Q
 from factloom.llm.conversations import conversations
 from factloom.llm.format_copies import format_copies
-from factloom.llm.history_dedup import FingerprintStore, known_rows
+from factloom.llm.history_dedup import FingerprintStore, stored_cases
 from factloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from factloom.llm.shared_spans import shared_spans
 from factloom.llm.top_n import top_n, top_records
@@ -159,9 +159,9 @@ def batch(m, seed):
 
 
 @pytest.mark.parametrize("seed, common", [(3, 20_000), (4, 20_000), (3, 0), (4, 30)])
-def test_known_rows_made(spark, seed, common):
+def test_stored_cases_made(spark, seed, common):
     m, b = memory(80, seed), batch(memory(240, seed + 10), seed)
-    assert rows(known_rows(frame(spark, m, MEMORY), frame(spark, b, BATCH), common=common)) == sorted(brute.p4(m, b), key=str)
+    assert rows(stored_cases(frame(spark, m, MEMORY), frame(spark, b, BATCH), common=common)) == sorted(brute.p4(m, b), key=str)
 
 
 def test_store_batch_by_batch(spark, tmp_path):
@@ -170,8 +170,30 @@ def test_store_batch_by_batch(spark, tmp_path):
     store.create(frame(spark, m, MEMORY))
     got = []
     for no in sorted(b["batch_no"].unique()):
-        got += rows(store.check(frame(spark, b[b.batch_no == no], BATCH)))
+        part = frame(spark, b[b.batch_no == no], BATCH)
+        got += rows(store.check(part, no + 1))
+        assert rows(store.check(part, no + 1)) == [x for x in got if x in set(b[b.batch_no == no]["row_id"])]  # a check that is run again
     assert sorted(got) == sorted(brute.p4(m, b))
+    store.drop()
+    assert not (tmp_path / "store").exists()
+
+
+def test_a_batch_reads_its_own_ranges(spark, tmp_path, monkeypatch):
+    """What a small batch reads of the block table doesn't grow with the history."""
+    from factloom.llm import history_dedup as H
+
+    monkeypatch.setattr(H, "RANGE_ROWS", 64)
+    read = []
+    whole = H.FingerprintStore._table
+    monkeypatch.setattr(H.FingerprintStore, "_table", lambda self, name, schema, parts=None: read.append((name, len(parts or []))) or whole(self, name, schema, parts))
+    for n in (300, 2400):
+        m = pd.DataFrame([(f"{i:05d}", "n", " ".join(f"t{i * 7 + k}" for k in range(9)), None, None, None, None, None, None) for i in range(n)], columns=memory(4).columns)
+        b = pd.DataFrame([(1, 1, 1, "n", " ".join(f"t{7 + k}" for k in range(9)), None, None), (2, 1, 2, "n", "quite new words here", None, None)], columns=["row_id", "batch_no", "line_no", "namespace", "content", "source_ref", "ingestion_ts"])
+        store = FingerprintStore(spark, str(tmp_path / f"s{n}"))
+        store.create(frame(spark, m, MEMORY))
+        assert rows(store.check(frame(spark, b, BATCH))) == [1]
+    found = [n for name, n in read if name == "blocks"]
+    assert max(found) <= 12 and len(list((tmp_path / "s2400" / "blocks" / "batch=0").glob("part=*"))) > 60
 
 
 def test_chain_of_rows(spark):
@@ -179,7 +201,7 @@ def test_chain_of_rows(spark):
     w = [f"c{i}" for i in range(40)]
     b = pd.DataFrame([(i, 1, i, "n", " ".join(w[i : i + 12]), None, None) for i in range(20)], columns=["row_id", "batch_no", "line_no", "namespace", "content", "source_ref", "ingestion_ts"])
     m = memory(4, 1).iloc[:0]
-    assert rows(known_rows(frame(spark, m, MEMORY), frame(spark, b, BATCH))) == sorted(brute.p4(m, b), key=str)
+    assert rows(stored_cases(frame(spark, m, MEMORY), frame(spark, b, BATCH))) == sorted(brute.p4(m, b), key=str)
 
 
 MESSAGE = "session_id string, seq int, message_id long, role string, content string, tool_use_id string, is_meta boolean, stored_ts timestamp"
@@ -233,7 +255,7 @@ def test_spans_made(spark, seed, hot):
 
 def test_empty_tables(spark):
     m, b = frame(spark, memory(4).iloc[:0], MEMORY), spark.createDataFrame([], BATCH)
-    assert rows(near_duplicate_pairs(m)) == rows(top_records(m)) == rows(format_copies(m)[1]) == rows(known_rows(m, b)) == []
+    assert rows(near_duplicate_pairs(m)) == rows(top_records(m)) == rows(format_copies(m)[1]) == rows(stored_cases(m, b)) == []
     assert rows(conversations(spark.createDataFrame([], MESSAGE))) == rows(shared_spans(spark.createDataFrame([], "doc_id long, text string"))) == []
 
 
@@ -259,7 +281,7 @@ def test_clashing_columns(spark):
     assert rows(near_duplicate_pairs(more(m))) == rows(near_duplicate_pairs(m))
     assert rows(top_records(more(m))) == rows(top_records(m))
     assert rows(format_copies(more(m))[1]) == rows(format_copies(m)[1])
-    assert rows(known_rows(more(m), more(b))) == rows(known_rows(m, b))
+    assert rows(stored_cases(more(m), more(b))) == rows(stored_cases(m, b))
     d = spark.createDataFrame([(1, "ab" * 100), (2, "ab" * 90)], "doc_id long, text string")
     assert rows(shared_spans(more(d.withColumnRenamed("text", "body")), text_col="body")) == rows(shared_spans(d)) != []
     c = spark.createDataFrame([("s", 1, 1, "user", "q", None, None, None), ("s", 2, 2, "assistant", "a", None, None, None)], MESSAGE)
