@@ -21,11 +21,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.near_duplicates import KEPT, packed, scope_of, scoped
-from factloom.llm.words import COMMON, SKETCH_BITS, WordHasher, exact, halves, kept_by, membership, signed, sketch, slots, words
+from factloom.llm.words import COMMON, KEPT, SKETCH_BITS, WordHasher, WordSets, cut, exact, kept_by, membership, packed, release, sketch, slots
 from factloom.session import checkpoint_dir
 
 FINGERPRINT = "ca long, cb long, n int, r int, f1 long, f2 long, toks binary, fresh boolean"
@@ -33,13 +33,12 @@ FINGERPRINT = "ca long, cb long, n int, r int, f1 long, f2 long, toks binary, fr
 MOST = 0xFFFF
 
 
-def bits_of(h: np.ndarray) -> tuple[int, int]:
+def bits_of(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each hash flips one of 112 bits: 64 in the first half, 48 in the upper part of the second, whose lower part is the size."""
-    at = ((h >> np.uint64(20)) % np.uint64(112)).astype(np.uint64)
-    low = at < 64
-    f1 = int(np.bitwise_xor.reduce(np.uint64(1) << at[low])) if low.any() else 0
-    f2 = int(np.bitwise_xor.reduce(np.uint64(1) << (at[~low] - np.uint64(48)))) if not low.all() else 0
-    return f1, f2 | min(len(h), MOST)
+    at = (h >> np.uint64(20)) % np.uint64(112)
+    bit = np.uint64(1) << np.where(at < 64, at, at - np.uint64(48))
+    f1, f2 = (np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), start) for half in (at < 64, at >= 64))
+    return f1, f2 | np.minimum(n, MOST).astype(np.uint64)
 
 
 def word_order(rows: DataFrame) -> np.ndarray:
@@ -47,7 +46,7 @@ def word_order(rows: DataFrame) -> np.ndarray:
 
     def of():  # noqa: ANN202
         hasher = WordHasher()
-        return lambda pdf: [slots(hasher(set(words(t)))) for t in pdf["text"] if t]
+        return lambda pdf: [slots(WordSets([None] * len(pdf), pdf["text"].tolist(), hasher).plain)]
 
     return sketch(rows.select("text"), of, 1 << SKETCH_BITS)
 
@@ -61,30 +60,29 @@ def fingerprints(rows: DataFrame, counts: np.ndarray, common: int = COMMON) -> D
     kept = [c for c in rows.columns if c not in ("ns", "text")]
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), FINGERPRINT])
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+    names = [x.split()[0] for x in FINGERPRINT.split(", ")]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, hasher, seen, scopes = shared.value, WordHasher(), set(), {}
+        df, hasher, seen = shared.value, WordHasher(), set()
         for b in batches:
-            out: list[tuple] = []
-            for ns, text in zip(b.column("ns").to_pylist(), b.column("text").to_pylist()):
-                found = set(words(text))
-                if not found:
-                    out.append((None, None, None, None, None, None, None, False))
-                    continue
-                if (scope := scopes.get(ns)) is None:
-                    if len(scopes) > 100_000:
-                        scopes.clear()
-                    scope = scopes[ns] = scope_of(ns)
-                plain = hasher(found)
-                h = scoped(plain, scope)
-                ca, cb = halves(np.sort(h).tobytes())
+            sets, made = WordSets(b.column("ns").to_pylist(), b.column("text").to_pylist(), hasher), [[]] * len(names)
+            if sets.rows:
+                h, d = sets.by_rarity(df)
                 if len(seen) > 300_000:
                     seen.clear()
-                fresh = (ca, cb) not in seen
-                seen.add((ca, cb))
-                out.append((ca, cb, len(h), int(np.count_nonzero(df[slots(plain)] <= common)), *map(signed, bits_of(h)), packed(h[np.lexsort((h, df[slots(plain)]))]), fresh))
-            cols = list(zip(*out)) if out else [[]] * 8
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(cols, types))], names=[*kept, "ca", "cb", "n", "r", "f1", "f2", "toks", "fresh"])
+                classes, fresh = sets.classes(), []
+                for c in classes:
+                    fresh.append(c not in seen)
+                    seen.add(c)
+                rare = np.add.reduceat((d <= common).astype(np.int32), sets.start)
+                f1, f2 = (x.view(np.int64) for x in bits_of(h, sets.start, sets.n))
+                made = [*zip(*classes), sets.n, rare, f1, f2, packed(h, sets.start, sets.n), fresh]
+            at = np.full(len(b), -1)
+            at[sets.rows] = np.arange(len(sets.rows))
+            at = pa.array(at, mask=at < 0)  # rows without words have null
+            cols = [pa.array(list(c) if isinstance(c, tuple) else c, t).take(at) for c, t in zip(made, types)]
+            cols[-1] = pc.fill_null(cols[-1], False)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *cols], names=[*kept, *names])
 
     return rows.mapInArrow(make, schema)
 
@@ -142,14 +140,6 @@ def origin(ref: str, ts: str) -> F.Column:
     return F.when(F.col(ref).rlike(r"(?U)[^\s\x1c-\x1f]") & F.col(ts).isNotNull(), F.struct(F.col(ref).alias("r"), F.col(ts).alias("t")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the checkpoint folder; they are kept while that is done, because writing takes a second pass."""
-    held = df.persist()
-    out = held.checkpoint()
-    held.unpersist()
-    return out
-
-
 def decide(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """row_id of the rows that an earlier accepted row makes a case. rows: row_id, ord, ca, cb, ref; edges: both ways.
 
@@ -164,13 +154,13 @@ def decide(rows: DataFrame, edges: DataFrame) -> DataFrame:
         lead = mine.unionAll(around).groupBy("ca", "cb").agg(F.min("lead").alias("lead"))
         by_ref = open_.filter("ref is not null").groupBy("ref").agg(F.min("ord").alias("ref_lead"))
         first = (F.coalesce(F.col("ord") == F.col("lead"), F.lit(True))) & (F.coalesce(F.col("ord") == F.col("ref_lead"), F.lit(True)))
-        marked = open_.join(lead, ["ca", "cb"], "left").join(by_ref, "ref", "left").select("row_id", "ord", "ca", "cb", "ref", first.alias("ok")).checkpoint()
+        marked = cut(open_.join(lead, ["ca", "cb"], "left").join(by_ref, "ref", "left").select("row_id", "ord", "ca", "cb", "ref", first.alias("ok")))
         done = marked.filter("ok")
         # An accepted row was the first around it, so all that is undecided there comes later.
         hit = done.filter("ca is not null").select("ca", "cb").distinct()
         reached = links.join(hit, (F.col("ya") == F.col("ca")) & (F.col("yb") == F.col("cb"))).select(F.col("xa").alias("ca"), F.col("xb").alias("cb")).unionAll(hit).distinct().withColumn("c", F.lit(True))
         refs = done.filter("ref is not null").select("ref").distinct().withColumn("s", F.lit(True))
-        rest = marked.filter("not ok").join(reached, ["ca", "cb"], "left").join(refs, "ref", "left").select("row_id", "ord", "ca", "cb", "ref", (F.col("c").isNotNull() | F.col("s").isNotNull()).alias("case")).checkpoint()
+        rest = cut(marked.filter("not ok").join(reached, ["ca", "cb"], "left").join(refs, "ref", "left").select("row_id", "ord", "ca", "cb", "ref", (F.col("c").isNotNull() | F.col("s").isNotNull()).alias("case")))
         found = rest.filter("case").select("row_id")
         cases = found if cases is None else cases.unionAll(found)
         open_, no = rest.filter("not case").drop("case"), no + 1
@@ -220,12 +210,14 @@ class FingerprintStore:
         self.spark.createDataFrame(order).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/order")
         self._append(prints, 0, *bits)
         prints.unpersist()
+        del prints
+        release(self.spark)
 
     def _append(self, prints: DataFrame, number: int, print_bits: int, block_bits: int) -> None:
         fresh = prints.filter("fresh").select("ca", "cb", "n", "r", "f1", "f2", "toks")
-        ranged(fresh, "ca", print_bits).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/prints/batch={number}")
+        ranged(fresh, "ca", print_bits).repartition("part").write.option("parquet.enable.dictionary", "false").mode("overwrite").partitionBy("part").parquet(f"{self.path}/prints/batch={number}")
         table = blocks(fresh.withColumn("fresh", F.lit(True)), self.num, self.den)
-        ranged(table, "key", block_bits).repartition("part", F.pmod("key", F.lit(8))).sortWithinPartitions("part", "key").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/blocks/batch={number}")
+        ranged(table, "key", block_bits).repartition("part", F.pmod("key", F.lit(8))).sortWithinPartitions("part", "key").write.option("parquet.enable.dictionary", "false").mode("overwrite").partitionBy("part").parquet(f"{self.path}/blocks/batch={number}")
         prints.filter("ref is not null").select("ref").distinct().write.mode("overwrite").parquet(f"{self.path}/refs/batch={number}")
 
     def _table(self, name: str, schema: str, parts: list[int] | None = None) -> DataFrame:
@@ -265,7 +257,7 @@ class FingerprintStore:
         wanted = rows.filter("ref is not null").select(F.xxhash64("ref").alias("h"), "ref")
         had = kept_by(refs.select(F.xxhash64("ref").alias("h"), "ref"), "h", membership(wanted, "h")).select("ref").distinct().withColumn("s", F.lit(True))
         marked = rows.select("row_id", "ord", "ca", "cb", "ref").join(known, ["ca", "cb"], "left").join(had.hint("merge"), "ref", "left")
-        marked = cut(marked.select("row_id", "ord", "ca", "cb", "ref", (F.col("k").isNotNull() | F.col("s").isNotNull()).alias("case")))
+        marked = cut(marked.select("row_id", "ord", "ca", "cb", "ref", (F.col("k").isNotNull() | F.col("s").isNotNull()).alias("case")), free=True)
         # Among themselves the rows meet over their own blocks. Cases of the history can't make others cases.
         left = marked.filter("not case").drop("case")
         own = lambda met: new.filter("fresh").select(F.col("ca").alias("ya"), F.col("cb").alias("yb"), F.col("toks").alias("ty"))  # noqa: E731, ARG005

@@ -4,9 +4,9 @@ Two records of one group are *similar* when the number of distinct words in both
 threshold.
 
 1. Records with the same set of words fall into one class, so copies are compared once.
-2. Classes are partitioned into groups of similar sets: those whose smallest min-hash agrees, or where the count sketch shows that
-   to be many, those of which two, four or eight agree, and at last hash parts of these. Of each group the matrix keeps its
-   token union, hashed to 128 columns, with the smallest and largest set size. A group of one has its set as its union.
+2. Classes are partitioned into groups of similar sets: six min-hashes agree, and a group that the count sketch shows to be large
+   is split by a hash of the class. Of each group the matrix keeps its token union, hashed to 128 columns, with the smallest and
+   largest set size. A group of one has its set as its union.
 3. A set, as a query, meets a group only through a word: each sends its rarest words (a prefix that must hold one word of every
    similar set), common ones in pairs so that no key gathers a large part of a namespace. Where they meet, the columns bound how
    many of the query's words any set of the group can have, and only groups whose bound reaches the threshold are opened.
@@ -30,48 +30,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
-from factloom.llm.words import COMMON, SKETCH_BITS, WordHasher, exact, halves, kept_by, membership, signed, sketch, slots, words
+from factloom.llm.words import COMMON, KEPT, SKETCH_BITS, WordHasher, WordSets, cut, exact, halves, kept_by, membership, packed, sketch, slots
 
-#: Bytes that are kept of a word's hash when sets are compared.
-KEPT = 5
 #: From so many sets on a group's union stands for several sets.
 UNION_OF = 2
-#: A group is made finer when the sketch counts more rows in it than this.
+#: A group is split when the sketch counts more rows in it than this.
 GROUP_ROWS = 48
-#: Min-hashes that must agree for two sets to share a group, from the coarsest partition to the finest, and their number.
-LEVELS = (1, 2, 4, 8)
-ODD = np.array([0x9E3779B97F4A7C15 + 2 * k * 0x165667B19E3779F9 & 0xFFFFFFFFFFFFFFFF for k in range(LEVELS[-1])], dtype=np.uint64)
+#: Min-hashes that must agree for two sets to share a group. With fewer the unions grow so wide that the bound opens nearly every
+#: group that is met (figures in the README).
+ODD = np.array([0x9E3779B97F4A7C15 + 2 * k * 0x165667B19E3779F9 & 0xFFFFFFFFFFFFFFFF for k in range(6)], dtype=np.uint64)
 
 
-def scoped(hashes: np.ndarray, scope: int) -> np.ndarray:
-    """Word hashes that differ between namespaces."""
-    h = (hashes ^ np.uint64(scope)) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+def groups_of(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The group of each set of some flat arrays: its min-hashes, hashed together."""
+    low = np.minimum.reduceat(h * ODD[:, None], start, axis=1).T.tobytes()
+    size = 8 * len(ODD)
+    return np.array([xxhash.xxh3_64_intdigest(low[i : i + size]) for i in range(0, len(low), size)], dtype=np.uint64)
 
 
-def groups_of(h: np.ndarray) -> list[int]:
-    """Of each partition the group a set falls into: its first min-hashes, hashed together."""
-    low = (h * ODD[:, None]).min(axis=1).tobytes()
-    return [xxhash.xxh3_64_intdigest(low[: 8 * k], seed=k) for k in LEVELS]
+def group_slots(g: np.ndarray) -> np.ndarray:
+    """The slots of the sketch that count groups; the words' slots come first."""
+    return (1 << SKETCH_BITS) + slots(g)
 
 
-def group_slot(level: int, g: int) -> int:
-    """The slot of the sketch that counts a group; the words' slots come first."""
-    return ((1 + level) << SKETCH_BITS) + (g >> (64 - SKETCH_BITS))
-
-
-def columns_of(h: np.ndarray) -> tuple[int, int]:
-    """The 128 columns of the matrix that a set fills, in two halves."""
+def columns_of(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128 columns of the matrix that each set fills, in two halves."""
     bit, upper = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(1) == 1
-    return int(np.bitwise_or.reduce(bit[~upper])) if not upper.all() else 0, int(np.bitwise_or.reduce(bit[upper])) if upper.any() else 0
-
-
-def packed(h: np.ndarray) -> bytes:
-    return h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
-
-
-def scope_of(namespace: object) -> int:
-    return xxhash.xxh3_64_intdigest(b"\0" if namespace is None else b"\1" + str(namespace).encode("utf-8", "surrogatepass"))
+    return tuple(np.bitwise_or.reduceat(np.where(upper == half, bit, np.uint64(0)), start) for half in (False, True))
 
 
 def _statistics(rows: DataFrame) -> np.ndarray:
@@ -79,16 +64,12 @@ def _statistics(rows: DataFrame) -> np.ndarray:
         hasher = WordHasher()
 
         def fn(pdf: pd.DataFrame) -> list[np.ndarray]:
-            out = []
-            for ns, text in zip(pdf["ns"], pdf["text"]):
-                if found := set(words(text)):
-                    h = hasher(found)
-                    out += [slots(h), np.array([group_slot(k, g) for k, g in enumerate(groups_of(scoped(h, scope_of(ns))))])]
-            return out
+            sets = WordSets(pdf["ns"].tolist(), pdf["text"].tolist(), hasher)
+            return [slots(sets.plain), group_slots(groups_of(sets.h, sets.start))] if sets.rows else []
 
         return fn
 
-    return sketch(rows, of, (1 + len(LEVELS)) << SKETCH_BITS)
+    return sketch(rows, of, 2 << SKETCH_BITS)
 
 
 FEATURES = "id string, g long, ca long, cb long, sa long, sb long, n int, r int, b1 long, b2 long, toks binary, fresh boolean"
@@ -100,36 +81,29 @@ def features(rows: DataFrame, counts: np.ndarray, common: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, hasher, seen, scopes = shared.value, WordHasher(), set(), {}
+        df, hasher, seen = shared.value, WordHasher(), set()
+        names = [x.split()[0] for x in FEATURES.split(", ")]
         for batch in batches:
-            out: list[tuple] = []
-            for i, ns, text in zip(*(batch.column(k).to_pylist() for k in ("id", "ns", "text"))):
-                found = words(text)
-                if not found:
-                    continue
-                if (scope := scopes.get(ns)) is None:
-                    if len(scopes) > 100_000:
-                        scopes.clear()
-                    scope = scopes[ns] = scope_of(ns)
-                plain = hasher(set(found))
-                h = scoped(plain, scope)
-                order = np.lexsort((h, df[slots(plain)]))
-                ca, cb = halves(np.sort(h).tobytes())
-                for level, g in enumerate(groups_of(h)):
-                    if (many := int(df[group_slot(level, g)])) <= GROUP_ROWS:
-                        break
-                else:
-                    g = xxhash.xxh3_64_intdigest(f"{g} {cb % (many // (GROUP_ROWS // 2))}".encode())
-                if len(seen) > 300_000:
-                    seen.clear()
-                fresh = (ca, cb) not in seen
-                seen.add((ca, cb))
-                sa, sb = halves(" ".join(found).encode("utf-8", "surrogatepass"))
-                rare = int(np.count_nonzero(df[slots(plain)] <= common))
-                out.append((i, signed(g), ca, cb, sa, sb, len(h), rare, *map(signed, columns_of(h)), packed(h[order]), fresh))
-            cols = list(zip(*out)) if out else [[]] * 12
+            sets = WordSets(batch.column("ns").to_pylist(), batch.column("text").to_pylist(), hasher)
+            if not sets.rows:
+                continue
+            h, d = sets.by_rarity(df)
+            g, classes, fresh = groups_of(h, sets.start), sets.classes(), []
+            many = df[group_slots(g)]
+            for i in np.flatnonzero(many > GROUP_ROWS):
+                g[i] = xxhash.xxh3_64_intdigest(f"{g[i]} {classes[i][1] % (int(many[i]) // (GROUP_ROWS // 2))}".encode())
+            if len(seen) > 300_000:
+                seen.clear()
+            for c in classes:
+                fresh.append(c not in seen)
+                seen.add(c)
+            ca, cb = zip(*classes)
+            sa, sb = zip(*(halves(" ".join(x).encode("utf-8", "surrogatepass")) for x in sets.seqs))
+            rare = np.add.reduceat((d <= common).astype(np.int32), sets.start)
+            b1, b2 = (x.view(np.int64) for x in columns_of(h, sets.start))
+            cols = [batch.column("id").take(pa.array(sets.rows)), g.view(np.int64), ca, cb, sa, sb, sets.n.astype(np.int32), rare.astype(np.int32), b1, b2, packed(h, sets.start, sets.n), fresh]
             types = [pa.string(), *[pa.int64()] * 5, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "g", "ca", "cb", "sa", "sb", "n", "r", "b1", "b2", "toks", "fresh"])
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     return rows.mapInArrow(make, FEATURES)
 
@@ -288,7 +262,8 @@ def class_pairs(feats: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different classes (xa, xb), (ya, yb) whose similarity reaches the threshold, each once."""
     num, den = exact(threshold)
     groups = _groups(feats)
-    opened = _met(groups, num, den).filter("opened").select("g", "h").distinct()
+    # The rows by which sets and groups meet are the most by far; their shuffle files go before the members travel.
+    opened = cut(_met(groups, num, den).filter("opened").select("g", "h").distinct(), free=True)
     ready = opened.join(groups.select("g", "members"), "g").select("h", "members").join(groups.select(F.col("g").alias("h"), F.col("members").alias("others")), "h").select("members", "others")
     schema = "xa long, xb long, ya long, yb long"
     across = ready.mapInArrow(_similar(num, den), schema)

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
-from factloom.llm.near_duplicates import class_pairs, columns_of, groups_of, packed
-from factloom.llm.words import WordHasher, exact, halves, signed, words
+from factloom.llm.near_duplicates import class_pairs, columns_of, groups_of
+from factloom.llm.words import KEPT, WordHasher, exact, halves, packed, signed, words
 
 PARAGRAPH = re.compile(r"[^\r\n]+")
 SHINGLE = 5
@@ -60,6 +60,7 @@ CLASSES = "doc_id {0}, no int, s int, e int, ca long, cb long, g long, n int, r
 
 
 def _classes(bands: int, rows: int, kind: str):  # noqa: ANN202
+    at = np.array([0])
     odd = (M1 + np.arange(bands * rows, dtype=np.uint64) * np.uint64(2) * M3) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +86,8 @@ def _classes(bands: int, rows: int, kind: str):  # noqa: ANN202
                     for i in range(0, len(h), 4096):  # memory doesn't grow with a paragraph
                         low = np.minimum(low, ((h[i : i + 4096] * odd[:, None]) ^ odd[:, None] >> np.uint64(7)).min(axis=1))
                     keys = [signed(xxhash.xxh3_64_intdigest(low[k * rows : (k + 1) * rows].tobytes(), seed=k)) for k in range(bands)]
-                    g = signed(groups_of(h[:4096])[-1])
-                    out.append((*row, g, len(h), len(h), *map(signed, columns_of(h)), packed(h), keys, True))
+                    g = signed(int(groups_of(h[:4096], at)[0]))
+                    out.append((*row, g, len(h), len(h), *(signed(int(x[0])) for x in columns_of(h, at)), packed(h, at, np.array([len(h)]))[0], keys, True))
             cols = list(zip(*out)) if out else [[]] * len(names)
             types = [batch.schema.field("doc_id").type, *[pa.int32()] * 3, *[pa.int64()] * 3, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
@@ -95,8 +96,6 @@ def _classes(bands: int, rows: int, kind: str):  # noqa: ANN202
 
 
 def _alike(num: int, den: int):  # noqa: ANN202
-    from factloom.llm.near_duplicates import KEPT
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []

@@ -6,6 +6,7 @@ no words. Words are hashed with 64-bit XXH3, sequences and sets of words with th
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 from fractions import Fraction
@@ -15,9 +16,11 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.session import checkpoint_dir
+
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 ASCII_WORD = re.compile(r"[a-z0-9]+")
 
@@ -42,19 +45,103 @@ class WordHasher:
     def __init__(self, limit: int = 400_000) -> None:
         self.limit, self.known = limit, {}
 
-    def __call__(self, found: Iterable[str]) -> np.ndarray:
+    def extend(self, out: list[int], found: Iterable[str]) -> None:
+        """Adds the hashes of some words to a list."""
         known = self.known
         if len(known) > self.limit:
             known.clear()
-        out = []
         for w in found:
             h = known.get(w)
             if h is None:
                 h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
             out.append(h)
+
+    def __call__(self, found: Iterable[str]) -> np.ndarray:
+        out: list[int] = []
+        self.extend(out, found)
         return np.array(out, dtype=np.uint64)
 
 
+class WordSets:
+    """The sets of words of some texts, those without words left out, one behind the other in flat arrays.
+
+    rows and seqs are the numbers and the word sequences of the texts; n and start the sizes and places of their sets, plain the
+    hashes of the words, h the same within the text's namespace, owner the number of the set of each word.
+    """
+
+    def __init__(self, namespaces: list[str | None], texts: list[str | None], hasher: WordHasher) -> None:
+        self.rows, self.seqs, flat, sizes, scopes = [], [], [], [], []
+        known: dict[str | None, int] = {}
+        for i, (ns, text) in enumerate(zip(namespaces, texts)):
+            found = words(text)
+            if not found:
+                continue
+            if (scope := known.get(ns)) is None:
+                scope = known[ns] = scope_of(ns)
+            before = len(flat)
+            hasher.extend(flat, set(found))
+            self.rows.append(i)
+            self.seqs.append(found)
+            sizes.append(len(flat) - before)
+            scopes.append(scope)
+        self.plain, self.n = np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        self.owner = np.repeat(np.arange(len(sizes)), self.n)
+        self.h = scoped(self.plain, np.array(scopes, dtype=np.uint64)[self.owner]) if sizes else self.plain
+
+    def classes(self) -> list[tuple[int, int]]:
+        """The 128-bit hash of each set."""
+        data, of = self.h[np.lexsort((self.h, self.owner))].tobytes(), 8 * self.start
+        return [halves(data[a : a + 8 * n]) for a, n in zip(of.tolist(), self.n.tolist())]
+
+    def by_rarity(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of each set with the rarest words first, and the counts of these."""
+        d = counts[slots(self.plain)]
+        order = np.lexsort((self.h, d, self.owner))
+        return self.h[order], d[order]
+
+
+def scope_of(namespace: object) -> int:
+    return xxhash.xxh3_64_intdigest(b"\0" if namespace is None else b"\1" + str(namespace).encode("utf-8", "surrogatepass"))
+
+
+def scoped(hashes: np.ndarray, scope: np.ndarray) -> np.ndarray:
+    """Word hashes that differ between namespaces."""
+    h = (hashes ^ scope) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+#: Bytes that are kept of a word's hash when sets are compared.
+KEPT = 5
+
+
+def packed(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The kept bytes of the hashes of each set."""
+    data = h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+    return [data[a : a + k] for a, k in zip((KEPT * start).tolist(), (KEPT * n).tolist())]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished work now: it does so when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """The rows written to the checkpoint folder; they are kept while that is done, because writing takes a second pass.
+
+    free: the shuffle files behind them are released.
+    """
+    checkpoint_dir(df.sparkSession)
+    held = df.persist()
+    out = held.checkpoint()
+    held.unpersist()
+    if free:
+        del held, df
+        release(out.sparkSession)
+    return out
+
+
 def signed(x: int) -> int:
     """A 64-bit unsigned number as the signed one of the same bits."""
     return x - (1 << 64) if x >= 1 << 63 else x
