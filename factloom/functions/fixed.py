@@ -14,11 +14,12 @@ RRF_K, BM25_K1, BM25_B, BM25_LEAST_IDF = 60, 1.2, 0.75, 1e-6
 # Dedup, consolidation, promotion, packs, sync, queue.
 DEDUP_COSINE, CLUSTER_COSINE, CLUSTER_JACCARD, CLUSTER_ROWS = 0.85, 0.80, 0.60, 5000
 CADENCE_DAYS, CADENCE_GROWTH = 7, 0.20
+BACKUP_DAYS, TIER0_LINES, TIER0_BYTES = 1, 200, 16 * 1024
 PROMOTE_SIGNALS, PROMOTE_CONFIDENCE, PROMOTE_USES = ("test", "compile", "lint"), 0.85, 3
 PRUNE_CONFIDENCE, PRUNE_DAYS = 0.35, 30
 PACK_PROJECT, PACK_GLOBAL, PACK_CONFIDENCE, PACK_BYTES = 50, 15, 0.6, 32768
 CONTENT_CHARS, LINE_CHARS, FUTURE_SECONDS, QUEUE_ROWS = 65536, 1048576, 86400, 100
-GLOBAL_NAMESPACE = "user:global"
+GLOBAL_NAMESPACE, FORGE = "user:global", "github.com"
 NEAR_MISS_STEMS = ("global", "globals", "userglobal", "globaluser", "usersglobal", "globalsusers", "usersusersglobal", "userglobals", "globalsuser")
 
 # Words that lexical similarity leaves out.

@@ -40,14 +40,14 @@ def with_tag(tags: Column, tag: str) -> Column:
 def capture(rows: DataFrame, mode: str = "manual") -> DataFrame:
     """Adds outcome, and content and tags as they would be stored.
 
-    auto refuses a secret in source_ref and redacts content and tags; manual and reviewed only warn. Text that tries to give
+    auto refuses a secret in source_ref, or one that can't be replaced, and redacts content and tags; manual and reviewed only warn. Text that tries to give
     instructions is tagged in every mode. outcome: refused, redacted, warned or clean.
     """
     auto = F.lit(mode == "auto")
     secret = has_secret(F.col("content"), F.col("source_ref"), F.col("tags"))
-    content, _ = redacted(F.col("content"))
-    tags, _ = redacted(F.col("tags"))
-    outcome = F.when(auto & has_secret(F.col("source_ref")), "refused").when(auto & secret, "redacted").when(secret, "warned").otherwise("clean")
+    content, n_content = redacted(F.col("content"))
+    tags, n_tags = redacted(F.col("tags"))
+    outcome = F.when(auto & (has_secret(F.col("source_ref")) | (secret & (n_content + n_tags == 0))), "refused").when(auto & secret, "redacted").when(secret, "warned").otherwise("clean")
     out = rows.withColumn("outcome", outcome)
     hit = F.col("outcome") == "redacted"
     out = out.withColumn("new_content", F.when(hit, content).otherwise(F.col("content"))).withColumn("new_tags", F.when(hit, with_tag(tags, "auto-redacted")).otherwise(F.col("tags")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,12 +86,21 @@ def near_miss(namespace: Column) -> Column:
     return stem_of(namespace).isin(*fixed.NEAR_MISS_STEMS) & (namespace != fixed.GLOBAL_NAMESPACE)
 
 
-def remote_key(url: Column) -> Column:
-    """host/org/repo of a git remote in ssh or http form, lower-case host, without user, port and .git; null otherwise."""
+def remote_key(url: Column, forge: str | None = None) -> Column:
+    """host/org/repo of a git remote in ssh or http form, lower-case host, without user, port and .git; null otherwise.
+
+    A remote behind a proxy of this machine, whose path is git/org/repo, gets the host that the proxy stands for: `forge`, or without
+    one the public default. A forge that is empty or no host name switches that off.
+    """
     u = F.regexp_replace(F.trim(url), r"(\.git)?/*$", "")
     parts = r"^(?:[a-z+]+://)?(?:[^@/]+@)?([^:/]+)(?::\d+)?[:/]+(.+)$"
-    host, path = F.regexp_extract(u, parts, 1), F.regexp_extract(u, parts, 2)
-    return F.when((host != "") & path.contains("/"), F.concat(F.lower(host), F.lit("/"), path))
+    host, path = F.lower(F.regexp_extract(u, parts, 1)), F.regexp_extract(u, parts, 2)
+    key = F.when((host != "") & path.contains("/"), F.concat(host, F.lit("/"), path))
+    to = fixed.FORGE if forge is None else forge.strip().lower()
+    if not re.match(r"[a-z0-9](?:[a-z0-9.\-]*[a-z0-9])?(?::\d+)?\Z", to):
+        return key
+    behind = host.rlike(r"^(localhost|127\.\d+\.\d+\.\d+)$") & path.rlike(r"^(?i)git/[^/]+/[^/]+$")
+    return F.when(behind, F.concat(F.lit(to + "/"), F.substring(path, F.lit(5), F.length(path)))).otherwise(key)
 
 
 def file_key(namespace: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from factloom.functions import fixed
 from factloom.functions import text as T
 from factloom.operators.components import components
-from factloom.operators.records import best_first, candidate_window, live, uses
+from factloom.operators.records import best_first, candidate_window, live, usable
+from factloom.operators.semantic import cosine_pairs
 
 
 def signal_rank(signal: Column) -> Column:
@@ -39,7 +40,7 @@ def merged_metadata(rows: DataFrame, group: list[str], order: list[str]) -> Data
     tags sorted, and one use more for every row folded in. Everything is an aggregate, combined map-side."""
     first, kept = F.struct(*order), F.coalesce("retrieval_count", F.lit(0))
     return rows.groupBy(*group).agg(
-        F.min_by("id", first).alias("id"), F.max("confidence").alias("confidence"), F.min_by("signal", F.struct((-signal_rank(F.col("signal"))).alias("rank"), *order)).alias("signal"),
+        F.min_by("id", first).alias("id"), F.max(usable()).alias("confidence"), F.min_by("signal", F.struct((-signal_rank(F.col("signal"))).alias("rank"), *order)).alias("signal"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(T.tag_list(F.col("tags")))))), ",").alias("tags"),
         (F.min_by(kept, first) + F.count("*") - 1).alias("retrieval_count"), F.count("*").alias("folded"),
     )
@@ -125,21 +126,28 @@ def greedy(edges: pd.DataFrame, merge_contested: bool = False) -> pd.DataFrame:
     return pd.DataFrame({name: [x[i] for x in out] for i, name in enumerate(("namespace", "keeper", "member", "contested"))})
 
 
-def clusters(memory: DataFrame, threshold: float = fixed.CLUSTER_JACCARD, per_namespace: int | None = None, merge_contested: bool = False) -> DataFrame:
-    """namespace, keeper, member, contested: the clusters of all live rows, by lexical similarity.
+def clusters(memory: DataFrame, threshold: float | None = None, per_namespace: int | None = None, merge_contested: bool = False, vectors: DataFrame | None = None) -> DataFrame:
+    """namespace, keeper, member, contested: the clusters of all live rows, by lexical similarity, or by cosine where vectors
+    (id, embedding) are given: then rows without a vector are in no cluster.
 
     per_namespace, if given, is the reference's cap: only so many of the best rows of each namespace take part.
     Rows of one namespace with the same tokens have the same neighbours, so they are one node, named by its best row: copies
     are never paired with each other. The order-dependent part runs on whole connected components, which can't affect each
     other, on their links alone. Above a threshold of 1 not even copies are similar.
     """
+    threshold = threshold_for(threshold, vectors is not None)
     window = live(memory) if per_namespace is None else candidate_window(memory, per_namespace)
     toks = T.lexical_tokens(F.col("content"))
-    rows = window.filter((F.size(toks) > 0) & F.col("namespace").isNotNull() & F.lit(threshold <= 1)).select(
-        "namespace", "id", F.sha2(F.array_join(F.array_sort(toks), " "), 256).alias("tokens"), T.negated(F.col("content")).cast("int").alias("neg"), best_first().alias("ord")).persist()
+    if vectors is not None:
+        window = window.join(vectors.filter(F.size("embedding") > 0).select("id", "embedding"), "id")
+    same = F.sha2(F.array_join(F.array_sort(toks), " "), 256) if vectors is None else F.sha2(F.col("embedding").cast("string"), 256)
+    used = F.size(toks) > 0 if vectors is None else F.lit(True)
+    rows = window.filter(used & F.col("namespace").isNotNull() & F.lit(threshold <= 1)).select(
+        "namespace", "id", same.alias("tokens"), T.negated(F.col("content")).cast("int").alias("neg"), best_first().alias("ord")).persist()
     grouped = rows.groupBy("namespace", "tokens").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), F.min("neg").alias("least"), F.max("neg").alias("most"))
     nodes = grouped.select("namespace", "tokens", F.col("ord.id").alias("node"), "ord", "n", F.when(F.col("least") == F.col("most"), F.col("most")).otherwise(2).alias("neg")).persist()
-    pairs = lexical_pairs(window.join(nodes.select(F.col("node").alias("id")), "id", "left_semi"), threshold).select("a", "b")
+    one = window.join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
+    pairs = (lexical_pairs(one, threshold) if vectors is None else cosine_pairs(one, threshold)).select("a", "b")
     links = pairs.unionAll(nodes.filter("n > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))).persist()
     labels = components(links, "a", "b")
     info = nodes.join(labels, "node").select("namespace", "node", "label", "neg", F.row_number().over(Window.partitionBy("label").orderBy("ord")).alias("place"))
@@ -157,9 +165,9 @@ def fold(memory: DataFrame, found: DataFrame) -> DataFrame:
     A member is appended to the keeper as grown so far, with a mark of where it came from, unless the keeper has it already or
     would grow beyond the size cap, in which case its id alone is recorded as truncated.
     """
-    m = live(memory).select("id", "content", (F.coalesce("confidence", F.lit(0.0)) * uses()).alias("w"), "confidence", "ingestion_ts")
-    members = found.filter("not contested").join(m.select(F.col("id").alias("member"), F.col("content").alias("text"), "w", "confidence", "ingestion_ts"), "member")
-    listed = members.groupBy("keeper").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), (-F.coalesce("confidence", F.lit(-1.0))).alias("c"), "ingestion_ts", "member", "text"))).alias("ms"))
+    m = live(memory).select("id", "content", best_first().alias("ord"))
+    members = found.filter("not contested").join(m.select(F.col("id").alias("member"), F.col("content").alias("text"), "ord"), "member")
+    listed = members.groupBy("keeper").agg(F.array_sort(F.collect_list(F.struct("ord", "member", "text"))).alias("ms"))
     start = lambda c: F.struct(c.alias("content"), F.lit("").alias("ids"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -182,7 +190,7 @@ def consolidated(memory: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     """The table after the fold: keepers grown and with merged metadata, members dead with the keeper as their reason."""
     merged = found.filter("not contested").persist()
     grown = fold(memory, merged).select(F.col("id").alias("k_id"), F.col("content").alias("k_content"), F.col("merged_from").alias("k_from"))
-    m = memory.select("id", "confidence", "signal", "tags", "retrieval_count", "ingestion_ts")
+    m = memory.select("id", usable().alias("confidence"), "signal", "tags", "retrieval_count", "ingestion_ts")
     all_ = merged.select("keeper", F.col("member").alias("id"), F.lit(1).alias("later")).unionAll(merged.select("keeper", F.col("keeper"), F.lit(0)).distinct())
     # The keeper is the oldest of its fold: on equal rank its signal stays.
     meta = all_.join(m, "id").groupBy("keeper").agg(
@@ -198,11 +206,23 @@ def consolidated(memory: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     return out.select(*(F.coalesce(new[c], c).alias(c) if c in new else F.col(c) for c in memory.columns))
 
 
-def report(memory: DataFrame, found: DataFrame, per_namespace: int | None = None) -> DataFrame:
-    """One row: rows merged, contested clusters, and by how many eligible rows the windows fell short (0 without a cap). A dry run is this alone."""
+def report(memory: DataFrame, found: DataFrame, per_namespace: int | None = None, pruned: Column | None = None, vectors: bool = False) -> DataFrame:
+    """One row: mode, rows merged, clusters, contested clusters with their members (contested_clusters, an array), rows pruned, and by
+    how many eligible rows the windows fell short (0 without a cap; knn_truncated is always 0, since no list of neighbours is cut).
+
+    absorbed, truncated_content and empty say what the fold does with the members: how many are appended or there already, how
+    many would make their keeper too long, how many have no text. Nothing is written, so a dry run is this alone.
+    """
     short = 0
     if per_namespace is not None:
         eligible = live(memory).groupBy("namespace").agg(F.count("*").alias("n"))
         short = eligible.agg(F.coalesce(F.sum(F.greatest(F.col("n") - per_namespace, F.lit(0))), F.lit(0)).alias("truncated")).first()["truncated"]
     counts = found.agg(F.count_if(~F.col("contested")).alias("merged"), F.count_distinct(F.when(~F.col("contested"), F.col("keeper"))).alias("clusters"), F.count_distinct(F.when(F.col("contested"), F.col("keeper"))).alias("contested"))
-    return counts.withColumn("truncated", F.lit(short).cast("long")).withColumn("mode", F.lit("lexical"))
+    groups = found.filter("contested").groupBy("namespace", "keeper").agg(F.array_sort(F.collect_list("member")).alias("members"))
+    listed = groups.agg(F.array_sort(F.collect_list(F.struct("namespace", "keeper", "members"))).alias("contested_clusters"))
+    folded = fold(memory, found)
+    each = folded.select(F.explode(F.split("merged_from", ",")).alias("m"))
+    sizes = each.agg(F.count_if(~F.col("m").endswith(":truncated")).alias("absorbed"), F.count_if(F.col("m").endswith(":truncated")).alias("truncated_content"))
+    one = F.lit(1).alias("__one")
+    out = counts.withColumn("__one", F.lit(1)).join(listed.select("*", one), "__one").join(sizes.select("*", one), "__one").drop("__one")
+    return out.withColumn("pruned", F.lit(0).cast("long") if pruned is None else pruned.cast("long")).withColumn("truncated", F.lit(short).cast("long")).withColumn("knn_truncated", F.lit(0).cast("long")).withColumn("mode", F.lit("cosine" if vectors else "lexical"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions import fixed
+from factloom.functions import fixed, policy
 
 BLOCKS = "array<struct<type:string,text:string,id:string,name:string,tool_use_id:string,content:string,is_error:boolean>>"
 
@@ -146,7 +146,7 @@ def guideline(kind: Column) -> Column:
 def error_patterns(errors: DataFrame, group: str, order: list[str], text: str = "text", min_count: int = 2) -> DataFrame:
     """Errors by type and group with at least min_count rows: count, priority, guideline and the first three samples.
 
-    The samples are the first by order; a group sends three from each of its parts, ranked in two stages, so no list grows.
+    The samples are the first by order; a group limit before the shuffle keeps three from each of its parts, so no list grows.
     """
     typed = errors.withColumn("error_type", error_type(F.col(text))).filter("error_type is not null")
     keys = ["error_type", group]
@@ -194,7 +194,69 @@ def pattern_histogram(items: DataFrame) -> DataFrame:
     return items.select(F.explode(F.split("patterns", r"\s+")).alias("pattern")).filter("pattern <> ''").groupBy("pattern").agg(F.count("*").alias("n"))
 
 
+def unmatched_sample(items: DataFrame, n: int, text: str = "message", order: str = "item_id") -> DataFrame:
+    """The first n items that match no pattern."""
+    if n < 0:
+        raise ValueError("a limit must not be negative")
+    return items.filter(F.trim(F.coalesce("patterns", F.lit(""))) == "").orderBy(F.col(order)).limit(n).select(order, text)
+
+
 def folder_candidates(path: Column) -> Column:
-    """Names under which a project's transcripts may lie: separators as dashes, the same with underscores as dashes too."""
-    dashed = F.regexp_replace(path, r"[/\\:.]", "-")
-    return F.array_distinct(F.array(dashed, F.translate(dashed, "_", "-"), F.regexp_replace(dashed, "^-", "")))
+    """Names under which a project's transcripts may lie: separators as dashes behind a leading one; the same with the dashes of the
+    last part as underscores; and for a path with a drive the form without leading dash and colon."""
+    dashed = F.concat(F.lit("-"), F.regexp_replace(F.translate(path, "/\\", "--"), "^-", ""))
+    base = F.regexp_extract(path, r"([^/\\]+)$", 1)
+    swapped = F.when(base.contains("-") & dashed.endswith(base), F.concat(F.substring(dashed, F.lit(1), F.length(dashed) - F.length(base)), F.translate(base, "-", "_")))
+    drive = F.when(dashed.contains(":"), F.translate(F.substring(dashed, F.lit(2), F.length(dashed)), ":", "-"))
+    return F.array_distinct(F.filter(F.array(dashed, swapped, drive), lambda x: x.isNotNull()))
+
+
+DETAILS = {"tool_name": "string", "error_message": "string", "error_type": "string", "retry_count": "int", "destructive": "int", "completed_at": "timestamp"}
+
+
+def failures_from_db(tool_usage: DataFrame, session: str, limit: int = 50) -> DataFrame:
+    """tool, error, error_type, retry_count, destructive and n of a session's latest failed calls; n counts all of them.
+
+    Columns that the table lacks come out empty, with '?' for the tool.
+    """
+    rows = tool_usage
+    for c, kind in DETAILS.items():
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    failed = tool_failures(rows.filter(F.col("session_id") == session))
+    counted = failed.withColumn("n", F.count("*").over(Window.partitionBy("session_id")))
+    order = [F.col("completed_at").desc_nulls_last(), F.col("tool_name").asc_nulls_last(), F.col("error_message").asc_nulls_last()]
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    shown = F.substring(F.regexp_replace(empty("error_message"), r"[\r\n]+", " "), 1, 200)
+    return counted.orderBy(*order).limit(limit).select(F.coalesce("tool_name", F.lit("?")).alias("tool"), shown.alias("error"), empty("error_type").alias("error_type"), F.coalesce("retry_count", F.lit(0)).alias("retry_count"), (F.coalesce("destructive", F.lit(0)) != 0).alias("destructive"), "n")
+
+
+def session_failures(session: str, message: DataFrame | None = None, tool_usage: DataFrame | None = None) -> DataFrame:
+    """tool, error, kind and reason of a session's failed calls, the latest first: from its transcript where there is one, else from
+    the log of tool calls, which knows no rejections. Neither is an error."""
+    if message is not None:
+        rows = failures(message.filter(F.col("session_id") == session))
+        return rows.orderBy(F.col("seq").desc_nulls_last(), "tool_use_id").select(F.col("tool_name").alias("tool"), F.col("text").alias("error"), "kind", "reason")
+    if tool_usage is None:
+        raise ValueError("neither a transcript nor a log of tool calls")
+    return failures_from_db(tool_usage, session).select("tool", "error", F.lit("failure").alias("kind"), F.lit("").alias("reason"))
+
+
+def mined(message: DataFrame, min_count: int = 2, limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Corrections, error patterns and rejections of all transcripts, secrets in their texts redacted.
+
+    Corrections are collapsed by project and normalized text; with a limit the first of them come out, by first occurrence.
+    """
+    said = user_messages(message).withColumn("c", classify_correction(F.col("text"))).filter("c.kind is not null")
+    hidden = lambda c: policy.redacted(F.col(c))[0].alias(c)
+    slim = said.select("project_folder", "text", "sent_ts", "message_id", F.col("c.kind").alias("kind"), F.col("c.confidence").alias("confidence"), F.col("c.decay_days").alias("decay_days"))
+    corrections = collapse(slim, "project_folder", "text", "sent_ts", "message_id").withColumn("secret_warning", policy.has_secret(F.col("text"))).withColumn("text", hidden("text"))
+    if limit is not None:
+        if limit < 0:
+            raise ValueError("a limit must not be negative")
+        corrections = corrections.orderBy("first_seen", "project_folder", "key").limit(limit)
+    folders = message.groupBy("session_id").agg(F.min("project_folder").alias("project_folder"))
+    failed = failures(message).join(folders, "session_id")
+    errors = error_patterns(failed.filter("kind = 'failure'"), "project_folder", ["session_id", "seq", "tool_use_id"], min_count=min_count).withColumn("samples", hidden("samples"))
+    rejections = failed.filter("kind = 'rejection'").select("project_folder", "session_id", "tool_name", hidden("reason"))
+    return corrections, errors, rejections

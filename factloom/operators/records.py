@@ -17,13 +17,24 @@ def uses() -> Column:
     return F.coalesce("retrieval_count", F.lit(0)) + F.coalesce("surfaced_count", F.lit(0))
 
 
-def in_namespaces(memory: DataFrame, namespaces: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
-    """Rows of the requested namespaces and of those that an alias maps to or from them."""
+def usable(confidence: str = "confidence") -> Column:
+    """A confidence in 0..1; one that is null, NaN or outside counts as missing, everywhere."""
+    c = F.col(confidence)
+    return F.when(~F.isnan(c) & c.between(0.0, 1.0), c)
+
+
+def expanded(namespaces: list[str], aliases: dict[str, str] | None = None) -> list[str]:
+    """The namespaces with those that an alias maps to or from them."""
     wanted = set(namespaces)
     for old, new in (aliases or {}).items():
         if old in namespaces or new in namespaces:
             wanted |= {old, new}
-    return memory.filter(F.col("namespace").isin(*sorted(wanted)))
+    return sorted(wanted)
+
+
+def in_namespaces(memory: DataFrame, namespaces: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
+    """Rows of the requested namespaces and of their aliases."""
+    return memory.filter(F.col("namespace").isin(expanded(namespaces, aliases)))
 
 
 def get(memory: DataFrame, id_: str) -> DataFrame:
@@ -43,9 +54,11 @@ def listing(memory: DataFrame, namespace: str | None = None, limit: int = 50, in
 
 
 def with_staleness(rows: DataFrame, current: DataFrame) -> DataFrame:
-    """Halves the confidence of rows whose source has another hash now. current: source_ref, current_hash, one row a source."""
+    """Halves the confidence of rows whose source has another hash now; an unusable one comes out null.
+
+    current: source_ref, current_hash, one row a source."""
     stale = F.col("source_hash").isNotNull() & F.col("current_hash").isNotNull() & (F.col("source_hash") != F.col("current_hash"))
-    return rows.join(current, "source_ref", "left").withColumn("stale", stale).withColumn("confidence", F.when(F.col("stale"), F.col("confidence") * fixed.STALE_FACTOR).otherwise(F.col("confidence")))
+    return rows.join(current, "source_ref", "left").withColumn("stale", stale).withColumn("confidence", usable() * F.when(F.col("stale"), fixed.STALE_FACTOR).otherwise(1.0))
 
 
 def lessons_missing(sessions: DataFrame, memory: DataFrame) -> DataFrame:
@@ -57,12 +70,12 @@ def lessons_missing(sessions: DataFrame, memory: DataFrame) -> DataFrame:
 def prune_candidates(memory: DataFrame, now: Column) -> DataFrame:
     """Live rows that nobody used, without signal and of little confidence, more than 30 days old by date."""
     unused = (F.coalesce("retrieval_count", F.lit(0)) == 0) & (F.coalesce("surfaced_count", F.lit(0)) == 0)
-    return live(memory).filter(unused & (F.col("signal") == "none") & (F.col("confidence") < fixed.PRUNE_CONFIDENCE) & (F.to_date("ingestion_ts") < F.date_sub(F.to_date(now), fixed.PRUNE_DAYS)))
+    return live(memory).filter(unused & (F.col("signal") == "none") & (usable() < fixed.PRUNE_CONFIDENCE) & (F.to_date("ingestion_ts") < F.date_sub(F.to_date(now), fixed.PRUNE_DAYS)))
 
 
 def promote_candidates(memory: DataFrame) -> DataFrame:
     """Live lessons proven by a tool and used often enough, the most used first, with a slug and a trigger line."""
-    bar = (F.col("type") == "lesson") & F.col("signal").isin(*fixed.PROMOTE_SIGNALS) & (F.col("confidence") >= fixed.PROMOTE_CONFIDENCE) & (uses() > fixed.PROMOTE_USES)
+    bar = (F.col("type") == "lesson") & F.col("signal").isin(*fixed.PROMOTE_SIGNALS) & (usable() >= fixed.PROMOTE_CONFIDENCE) & (uses() > fixed.PROMOTE_USES)
     rows = live(memory).filter(bar).select("id", "namespace", uses().alias("uses"), "confidence", T.slug(F.col("tags"), F.col("id")).alias("slug"), T.first_sentence(F.col("content")).alias("trigger_line"))
     return rows.orderBy(F.col("uses").desc(), F.col("confidence").desc(), F.col("id"))
 
@@ -75,6 +88,14 @@ def rekey(memory: DataFrame, target: str = fixed.GLOBAL_NAMESPACE, source: str |
     return live(memory).filter(moves).withColumn("new_namespace", F.lit(target))
 
 
+def rekey_all(memory: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """The table with old namespace keys replaced, tombstones included; keys that the mapping lacks stay as they are."""
+    if not keys:
+        return memory
+    new = F.element_at(F.create_map(*(F.lit(x) for kv in sorted(keys.items()) for x in kv)), F.col("namespace"))
+    return memory.withColumn("namespace", F.coalesce(new, "namespace"))
+
+
 def T_is_near_miss(namespace: str) -> bool:
     import re
 
@@ -118,10 +139,10 @@ def candidate_window(memory: DataFrame, per_namespace: int = fixed.CLUSTER_ROWS)
 
 
 def best_first() -> Column:
-    """The order in which consolidation takes rows, smallest first: much used and sure, then old, then by id."""
-    weight, sure = F.coalesce("confidence", F.lit(0.0)) * uses(), F.col("confidence")
-    # As in a descending order, NaN comes before all numbers and null after them.
-    return F.struct((~F.isnan(weight)).alias("wn"), (-weight).alias("w"), sure.isNull().alias("c0"), (~F.isnan(sure)).alias("cn"), (-sure).alias("c"), "ingestion_ts", "id")
+    """The order in which consolidation takes rows, smallest first: much used and sure, then sure, then old, then by id. A missing
+    confidence weighs nothing and comes after all others."""
+    weight = F.coalesce(usable(), F.lit(0.0)) * uses()
+    return F.struct((-weight).alias("w"), usable().isNull().alias("c0"), (-usable()).alias("c"), "ingestion_ts", "id")
 
 
 def bump(memory: DataFrame, events: DataFrame) -> DataFrame:

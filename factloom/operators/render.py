@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from factloom.functions import fixed
 from factloom.functions import text as T
-from factloom.operators.records import live, uses
+from factloom.operators.records import live, usable, uses
 
 
 def pack_rows(memory: DataFrame, namespace: str, limit: int, floor: float = fixed.PACK_CONFIDENCE) -> DataFrame:
     """The rows of a pack in order: confidence, uses, newest; ties by id."""
-    rows = live(memory).filter((F.col("namespace") == namespace) & (F.col("confidence") >= floor) & ~F.isnan("confidence")).withColumn("uses", uses())
+    if limit < 0:
+        raise ValueError("a limit must not be negative")
+    rows = live(memory).filter((F.col("namespace") == namespace) & (usable() >= floor)).withColumn("uses", uses())
     order = [F.col("confidence").desc(), F.col("uses").desc(), F.col("ingestion_ts").desc_nulls_last(), F.col("id")]
     return rows.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
@@ -36,9 +38,9 @@ def skip_and_continue(lines: Column, start: Column, budget: int) -> Column:
     return F.aggregate(lines, zero, step)
 
 
-def render_pack(memory: DataFrame, namespace: str, limit: int = fixed.PACK_PROJECT, budget: int = fixed.PACK_BYTES, heading: str = "## Memory\n\n") -> DataFrame:
+def render_pack(memory: DataFrame, namespace: str, limit: int = fixed.PACK_PROJECT, budget: int = fixed.PACK_BYTES, heading: str = "## Memory\n\n", floor: float = fixed.PACK_CONFIDENCE) -> DataFrame:
     """One row: the rendered section, its bytes, and how many rows were kept and left out. The heading counts."""
-    rows = pack_rows(memory, namespace, limit)
+    rows = pack_rows(memory, namespace, limit, floor)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("place", bullet(F.col("type"), F.col("content")).alias("line")))), lambda x: x["line"])
     folded = rows.agg(skip_and_continue(lines, F.lit(len(heading.encode())), budget).alias("r"))
     footer = F.when(F.col("r.skipped") > 0, F.concat(F.lit("\n("), F.col("r.skipped"), F.lit(" omitted)\n"))).otherwise("")
@@ -47,7 +49,9 @@ def render_pack(memory: DataFrame, namespace: str, limit: int = fixed.PACK_PROJE
 
 def context_rows(rows: DataFrame, order: list[Column], group: str, budget: int, per_row: int = 300) -> DataFrame:
     """Rows in order until the first that would overflow its group's budget of characters, each cut to per_row."""
-    shown = rows.withColumn("shown", F.substring(T.one_line(F.col("content")), 1, per_row))
+    # A line takes a character or more, so no more rows than the budget can be shown: the rest goes before any text is sorted.
+    near = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("__nth") <= budget).drop("__nth")
+    shown = near.withColumn("shown", F.substring(T.one_line(F.col("content")), 1, per_row))
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return shown.withColumn("upto", F.sum(F.length("shown") + 1).over(w)).filter(F.col("upto") <= budget)
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import fixed
-from factloom.operators.records import live, uses
+from factloom.operators import index
+from factloom.operators.records import expanded, live, usable, uses, with_staleness
 
 INDEXED = ("content", "tags", "namespace")
 
@@ -24,34 +25,52 @@ def tokens(columns: tuple[str, ...] = INDEXED) -> Column:
     return F.regexp_extract_all(F.lower(F.concat_ws(" ", *columns)), F.lit(r"([a-z0-9]+)"), F.lit(1))
 
 
-def bm25(rows: DataFrame, query: str, columns: tuple[str, ...] = INDEXED, id_col: str = "id") -> DataFrame:
+def bm25(rows: DataFrame, query: str, columns: tuple[str, ...] = INDEXED, id_col: str = "id", index_path: str | None = None) -> DataFrame:
     """id and bm25 of the rows that hold a token with one of the terms as prefix; higher is better.
 
-    Number of rows, mean length and document frequencies are those of all rows, tombstones and other namespaces included. The
-    frequencies of the few terms are counted in one pass with the lengths and come to the driver as one row; a second pass scores
-    the matching rows. Nothing is shuffled.
+    Number of rows, mean length and document frequencies are those of all rows, tombstones and other namespaces included. With
+    index_path, the folder of a stored index of these rows, only the postings of the terms are read. Without one the texts are
+    scanned: one pass for the frequencies, which come to the driver as one row, and one that scores the matching rows.
     """
     terms = terms_of(query)
-    # A token with a term as prefix is a place where the term stands without a token character before it.
-    low = F.lower(F.concat_ws(" ", *columns))
-    tf = [F.when(F.col("low").contains(t), F.regexp_count("low", F.lit(f"(?<![a-z0-9]){t}"))).otherwise(0).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = rows.select(F.col(id_col).alias("id"), low.alias("low")).select("id", F.regexp_count("low", F.lit("[a-z0-9]+")).alias("dl"), *tf)
     if not terms:
-        return counted.select("id", F.lit(0.0).alias("bm25")).limit(0)
-    # One row of sums, as an aggregate that is combined map-side.
-    sums = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("dl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
+        return rows.select(F.col(id_col).alias("id"), F.lit(0.0).alias("bm25")).limit(0)
+    dfs = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
+    if index_path is not None:
+        counted, (n, mean) = index.lookup(rows.sparkSession, index_path, terms)
+        counted = counted.persist()
+        sums = counted.agg(*dfs).first()
+    else:
+        # A token with a term as prefix is a place where the term stands without a token character before it.
+        low = F.lower(F.concat_ws(" ", *columns))
+        tf = [F.when(F.col("low").contains(t), F.regexp_count("low", F.lit(f"(?<![a-z0-9]){t}"))).otherwise(0).alias(f"tf{i}") for i, t in enumerate(terms)]
+        counted = rows.select(F.col(id_col).alias("id"), low.alias("low")).select("id", F.regexp_count("low", F.lit("[a-z0-9]+")).alias("dl"), *tf)
+        # One row of sums, as an aggregate that is combined map-side.
+        sums = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("dl"), *dfs).first()
+        n, mean = sums["n"], float(sums["dl"] or 1.0)
     hit, score = F.lit(False), F.lit(0.0)
     for i in range(len(terms)):
         f, df = F.col(f"tf{i}").cast("double"), sums[f"df{i}"]
-        idf = max(math.log((sums["n"] - df + 0.5) / (df + 0.5)), fixed.BM25_LEAST_IDF)
+        idf = max(math.log((n - df + 0.5) / (df + 0.5)), fixed.BM25_LEAST_IDF)
         hit = hit | (f > 0)
-        score = score + idf * f * (fixed.BM25_K1 + 1) / (f + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / F.lit(float(sums["dl"] or 1.0))))
+        score = score + idf * f * (fixed.BM25_K1 + 1) / (f + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / F.lit(mean)))
     return counted.filter(hit).select("id", score.alias("bm25"))
 
 
+def write_index(rows: DataFrame, path: str, columns: tuple[str, ...] = INDEXED, append: bool = False) -> None:
+    """Stores the inverted index of some rows in a folder, for bm25 and all that ranks by it."""
+    index.write(rows, tokens(columns), path, append=append)
+
+
 def postings(rows: DataFrame, columns: tuple[str, ...] = INDEXED, id_col: str = "id") -> DataFrame:
-    """The inverted index (term, id, tf), to be written clustered by term when it is to be searched often."""
-    return rows.select(F.col(id_col).alias("id"), F.explode(tokens(columns)).alias("term")).groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"))
+    """The inverted index (term, id, tf)."""
+    return index.postings(rows, tokens(columns), id_col).drop("dl")
+
+
+def checked(*limits: int) -> None:
+    """Negative limits are refused."""
+    if any(n < 0 for n in limits):
+        raise ValueError("a limit must not be negative")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -62,6 +81,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k unit vectors with the largest cosine to the query, ties by id: a scan and a top-k, no shuffle of vectors."""
+    checked(k)
     q = F.array(*(F.lit(float(x)) for x in query))
     sims = vectors.select(F.col(id_col), dot(F.col(vector_col), q).alias("sim"))
     return sims.orderBy(F.col("sim").desc(), F.col(id_col)).limit(k)
@@ -82,6 +102,7 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
     import numpy as np
     import pandas as pd
 
+    checked(k)
     if within is not None:
         vectors, queries = (x.filter(F.col(within).isNotNull()) for x in (vectors, queries))
     names = queries.select(id_col).filter(F.col(vector_col).isNotNull()) if vector_col in queries.columns else queries.select(id_col)
@@ -106,7 +127,8 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
                 sims = matrix @ np.stack(pdf["v"].to_numpy()).astype(np.float64).T
                 for q, g, row in zip(ids, groups, sims):
                     row = np.where((other == q) | (of != g), -np.inf, row)
-                    best = np.lexsort((other, -row))[:k]
+                    top = np.flatnonzero(row >= np.partition(row, -k)[-k]) if 0 < k < len(row) else np.arange(len(row))
+                    best = top[np.lexsort((other[top], -row[top]))[:k]]
                     best = best[row[best] > -np.inf]
                     if len(best):
                         yield pd.DataFrame({"query_id": q, "id": other[best], "sim": row[best]})
@@ -120,9 +142,8 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
 
 
 def sure(floor: float) -> Column:
-    """A confidence at or above the floor; null and NaN are below any."""
-    c = F.col("confidence")
-    return (c >= floor) & ~F.isnan(c)
+    """A confidence at or above the floor; a missing one is below any."""
+    return usable() >= floor
 
 
 def fuse(*ranked: DataFrame, id_col: str = "id", k: int = fixed.RRF_K) -> DataFrame:
@@ -154,24 +175,63 @@ def score(rel: Column, confidence: Column, ts: Column, n: Column, now: Column) -
     return fixed.W_RELEVANCE * rel + fixed.W_CONFIDENCE * sure + fixed.W_RECENCY * recency(ts, now) + fixed.W_POPULARITY * popularity(n)
 
 
-def recall(memory: DataFrame, query: str, now: Column, namespace: str | None = None, limit: int = 5, floor: float = fixed.RECALL_FLOOR, current: DataFrame | None = None) -> DataFrame:
-    """One tier: BM25 match, the best max(3 * limit, limit + 5) of the namespace above the floor, then the composite score.
+def recall_all(
+    memory: DataFrame, query: str, now: Column, namespace: str | None = None, limit: int = 5, floor: float = fixed.RECALL_FLOOR, current: DataFrame | None = None, include_global: bool = False, global_limit: int = 3,
+    aliases: dict[str, str] | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None, index_path: str | None = None,
+) -> DataFrame:
+    """id, namespace, tier, score, confidence, stale and rrf of the rows recalled, in both tiers from one match.
 
-    Ties go by id. The floor is tested before stale rows lose confidence. current, if given, has the hashes of the sources now.
+    The first tier is the namespace with its aliases, in either direction (all rows without a namespace); with include_global the
+    second is the global one, whose rows never displace those of the first. A tier takes the best max(3 * limit, limit + 5) rows
+    by BM25 among its live rows at or above the floor, with vectors (id, embedding) and a query vector also its max(5 * limit,
+    limit + 10) nearest ones, and keeps the best by composite score; the fused rank, then the id, breaks ties. A row found by text
+    keeps its text relevance. The floor is tested before stale rows lose confidence; current, if given, has the hashes of the
+    sources now. Null namespaces belong to no tier but that of no namespace.
     """
-    if limit < 0:
-        raise ValueError("limit must not be negative")
-    rows = live(memory).filter(sure(floor))
-    if namespace is not None:
-        rows = rows.filter(F.col("namespace") == namespace)
-    cols = ["id", "namespace", "confidence", "ingestion_ts", "source_ref", "source_hash", uses().alias("n_uses")]
-    matched = bm25(memory, query).join(rows.select(*cols), "id").orderBy(F.col("bm25").desc(), F.col("id")).limit(max(3 * limit, limit + 5))
-    if current is not None:
-        from factloom.operators.records import with_staleness
-
-        matched = with_staleness(matched, current)
-    scored = matched.withColumn("score", score(relevance(F.col("bm25")), F.col("confidence"), F.col("ingestion_ts"), F.col("n_uses"), now))
-    return scored.orderBy(F.col("score").desc(), F.col("id")).limit(limit).select("id", "namespace", F.round("score", 4).alias("score"), F.round("confidence", 3).alias("confidence"))
+    checked(limit, global_limit)
+    wanted = None if namespace is None else expanded([namespace], aliases)
+    tier = F.lit(1) if wanted is None else F.when(F.col("namespace").isin(wanted), 1)
+    sizes = {1: limit}
+    if include_global and wanted is not None and fixed.GLOBAL_NAMESPACE not in wanted:
+        tier, sizes[2] = tier.when(F.col("namespace") == fixed.GLOBAL_NAMESPACE, 2), global_limit
+    of = lambda fn: F.element_at(F.create_map(*(F.lit(x) for t, n in sizes.items() for x in (t, fn(n)))), F.col("tier"))
+    rows = live(memory).filter(sure(floor)).withColumn("tier", tier).filter("tier is not null")
+    rows = rows.select("id", "namespace", "tier", usable().alias("confidence"), "ingestion_ts", "source_ref", "source_hash", uses().alias("n_uses"))
+    by = lambda *order: Window.partitionBy("tier").orderBy(*order)
+    most = lambda fn: max(fn(n) for n in sizes.values())
+
+    def best(found: DataFrame, col: str, fn) -> DataFrame:  # noqa: ANN001
+        ranked = found.withColumn("rank", F.row_number().over(by(F.col(col).desc(), F.col("id")))).filter(F.col("rank") <= most(fn))
+        return ranked.filter(F.col("rank") <= of(fn))
+
+    found = best(bm25(memory, query, index_path=index_path).join(rows, "id"), "bm25", lambda n: max(3 * n, n + 5)).withColumn("sim", F.lit(None).cast("double"))
+    if vectors is not None and query_vector is not None and terms_of(query):
+        q = F.array(*(F.lit(float(x)) for x in query_vector))
+        near = best(vectors.select("id", dot(F.col("embedding"), q).alias("sim")).join(rows, "id"), "sim", lambda n: max(5 * n, n + 10)).withColumn("bm25", F.lit(None).cast("double"))
+        cols = ["namespace", "tier", "confidence", "ingestion_ts", "source_ref", "source_hash", "n_uses"]
+        found = found.unionByName(near).groupBy("id", *cols).agg(F.max("bm25").alias("bm25"), F.max("sim").alias("sim"), F.sum(1.0 / (fixed.RRF_K + F.col("rank"))).alias("rrf"))
+    else:
+        found = found.withColumn("rrf", 1.0 / (fixed.RRF_K + F.col("rank")))
+    found = with_staleness(found, current) if current is not None else found.withColumn("stale", F.lit(False))
+    rel = relevance(F.col("bm25"), F.col("sim"))
+    scored = found.withColumn("score", score(rel, F.col("confidence"), F.col("ingestion_ts"), F.col("n_uses"), now))
+    kept = scored.withColumn("place", F.row_number().over(by(F.col("score").desc(), F.col("rrf").desc(), F.col("id")))).filter(F.col("place") <= of(int))
+    return kept.orderBy("tier", "place").select("id", "namespace", "tier", F.round("score", 4).alias("score"), F.round("confidence", 3).alias("confidence"), "stale", F.round("rrf", 6).alias("rrf"))
+
+
+def recall(memory: DataFrame, query: str, now: Column, namespace: str | None = None, limit: int = 5, floor: float = fixed.RECALL_FLOOR, current: DataFrame | None = None, index_path: str | None = None) -> DataFrame:
+    """One tier of recall_all by text alone."""
+    return recall_all(memory, query, now, namespace, limit, floor, current, index_path=index_path).select("id", "namespace", "score", "confidence")
+
+
+def recall_tiers(memory: DataFrame, query: str, now: Column, namespace: str, limit: int = 5, general_limit: int = 3, floor: float = fixed.RECALL_FLOOR, index_path: str | None = None) -> DataFrame:
+    """The namespace's tier and the global one by text alone."""
+    return recall_all(memory, query, now, namespace, limit, floor, include_global=True, global_limit=general_limit, index_path=index_path).select("id", "namespace", "score", "confidence", "tier")
+
+
+def telemetry(found: DataFrame, now: Column, explicit: bool = True) -> DataFrame:
+    """The events (id, kind, ts) by which rows that were shown are counted: explicit or passive, never both."""
+    return found.select("id", F.lit("explicit" if explicit else "passive").alias("kind"), now.alias("ts"))
 
 
 def tiers(project: DataFrame, general: DataFrame, project_limit: int, general_limit: int) -> DataFrame:
@@ -181,34 +241,18 @@ def tiers(project: DataFrame, general: DataFrame, project_limit: int, general_li
     return first.unionByName(rest)
 
 
-def recall_tiers(memory: DataFrame, query: str, now: Column, namespace: str, limit: int = 5, general_limit: int = 3) -> DataFrame:
-    one = recall(memory, query, now, namespace, limit)
-    if namespace == fixed.GLOBAL_NAMESPACE:
-        return one.withColumn("tier", F.lit(1))
-    return tiers(one, recall(memory, query, now, fixed.GLOBAL_NAMESPACE, general_limit), limit, general_limit)
-
-
-def recent(memory: DataFrame, namespace: str, limit: int = 5, floor: float = fixed.RECENT_FLOOR) -> DataFrame:
-    rows = live(memory).filter((F.col("namespace") == namespace) & sure(floor))
+def recent(memory: DataFrame, namespace: str, limit: int = 5, floor: float = fixed.RECENT_FLOOR, aliases: dict[str, str] | None = None) -> DataFrame:
+    """The newest live rows of a namespace and its aliases at or above the floor; ties by id."""
+    checked(limit)
+    rows = live(memory).filter(F.col("namespace").isin(expanded([namespace], aliases)) & sure(floor))
     return rows.orderBy(F.col("ingestion_ts").desc_nulls_last(), F.col("id")).limit(limit).select("id", "namespace", "type", F.round("confidence", 3).alias("confidence"))
 
 
-def recent_tiers(memory: DataFrame, namespace: str, limit: int = 5, general_limit: int = 3) -> DataFrame:
-    return tiers(recent(memory, namespace, limit), recent(memory, fixed.GLOBAL_NAMESPACE, general_limit), limit, general_limit)
+def recent_tiers(memory: DataFrame, namespace: str, limit: int = 5, general_limit: int = 3, floor: float = fixed.RECENT_FLOOR, aliases: dict[str, str] | None = None) -> DataFrame:
+    checked(limit, general_limit)
+    return tiers(recent(memory, namespace, limit, floor, aliases), recent(memory, fixed.GLOBAL_NAMESPACE, general_limit, floor), limit, general_limit)
 
 
-def hybrid(memory: DataFrame, query: str, vectors: DataFrame, query_vector: list[float], now: Column, limit: int = 5, floor: float = fixed.RECALL_FLOOR) -> DataFrame:
-    """Text and vector search fused: vectors are (id, embedding). Rows are filtered before they are ranked, in both lists.
-
-    A row found by text keeps its text relevance; the cosine counts only for the others. The fused rank breaks score ties.
-    """
-    rows = live(memory).filter(sure(floor))
-    ids = rows.select("id")
-    text = bm25(memory, query).join(ids, "id").orderBy(F.col("bm25").desc(), F.col("id")).limit(max(3 * limit, limit + 5))
-    near = nearest(vectors.join(ids, "id"), query_vector, max(5 * limit, limit + 10), "id")
-    text = text.withColumn("rank", F.row_number().over(Window.orderBy(F.col("bm25").desc(), F.col("id"))))
-    near = near.withColumn("rank", F.row_number().over(Window.orderBy(F.col("sim").desc(), F.col("id"))))
-    fused = fuse(text, near).join(text.select("id", "bm25"), "id", "left").join(near.select("id", "sim"), "id", "left")
-    found = fused.join(rows.select("id", "confidence", "ingestion_ts", uses().alias("n_uses")), "id")
-    out = found.withColumn("score", score(relevance(F.col("bm25"), F.col("sim")), F.col("confidence"), F.col("ingestion_ts"), F.col("n_uses"), now))
-    return out.orderBy(F.col("score").desc(), F.col("rrf").desc(), F.col("id")).limit(limit).select("id", F.round("score", 4).alias("score"), F.round("rrf", 6).alias("rrf"))
+def hybrid(memory: DataFrame, query: str, vectors: DataFrame, query_vector: list[float], now: Column, limit: int = 5, floor: float = fixed.RECALL_FLOOR, index_path: str | None = None) -> DataFrame:
+    """Text and vector search fused over all namespaces: id, score, rrf. See recall_all."""
+    return recall_all(memory, query, now, None, limit, floor, vectors=vectors, query_vector=query_vector, index_path=index_path).select("id", "score", "rrf")

@@ -26,7 +26,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the session's checkpoint folder; makes one only where none is named, as in tests."""
+    """Takes the session's checkpoint folder; makes one only where none is named and all runs on this machine, as in tests.
+
+    On a cluster a machine-local folder would lose what it holds with its machine, so a missing spark.checkpoint.dir is an error there.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))

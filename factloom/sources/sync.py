@@ -9,7 +9,7 @@ from pyspark.sql import types as S
 from factloom.functions import fixed, policy
 from factloom.functions import text as T
 from factloom.operators.consolidate import default_confidence, signal_rank
-from factloom.operators.records import live
+from factloom.operators.records import live, rekey_all, usable
 
 EXPORTED = ("id", "namespace", "type", "content", "tags", "source_ref", "confidence", "signal", "valid_from", "ingestion_ts", "superseded_at", "supersede_reason", "merged_from")
 ID_SHAPE = r"^[0-9a-fA-F-]{36}$"
@@ -28,13 +28,19 @@ def read_memory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MEMORY).parquet(path)
 
 
-def migrated(df: DataFrame, version: int) -> DataFrame:
-    """A table of an older version with the columns it lacks, typed and null; one of a newer version is refused."""
+def migrated(df: DataFrame, version: int, keys: dict[str, str] | None = None) -> DataFrame:
+    """A table of an older version with the columns it lacks, typed and null; one of a newer version is refused.
+
+    Before version 5 namespaces have old keys: those in `keys` are replaced in all rows, tombstones included; the others stay, to
+    be replaced when their new key is known. The normalized content is computed where it is needed and not stored.
+    """
     if version > VERSION:
         raise ValueError(f"version {version} is newer than {VERSION}")
     for f in MEMORY.fields:
         if f.name not in df.columns:
             df = df.withColumn(f.name, F.lit(0 if f.name.endswith("_count") else None).cast(f.dataType))
+    if version < 5:
+        df = rekey_all(df, keys or {})
     return df.select(*(F.col(f.name).cast(f.dataType) for f in MEMORY.fields))
 
 
@@ -107,11 +113,14 @@ def outcomes(batch: DataFrame, memory: DataFrame, now: Column, allow_tombstones:
 
     malformed; skipped, tombstoned or tombstone_refused for a known id; capture_refused; deduped for a content that the namespace
     has, in the table or from an earlier added row; else added. A repeated id is known from its first added row on. The first
-    usable row of an id and of a (namespace, content) decides for the later ones, so two windows replace the sequence.
+    usable row of an id and of a (namespace, content) decides for the later ones, so two aggregates replace the sequence.
     """
     has_tomb = "superseded_at" in batch.columns
     dead = F.col("superseded_at").isNotNull() if has_tomb else F.lit(False)
-    rows = validated(batch, now).withColumn("dead", dead).withColumn("norm", F.sha2(F.concat_ws("\u0001", "namespace", T.normalized(F.col("content"))), 256))
+    rows = validated(batch, now).withColumn("dead", dead)
+    if mode == "auto":  # what is stored, and so compared, is the redacted text
+        rows = policy.capture(rows, mode).withColumn("content", F.col("new_content")).drop("new_content", "new_tags", "outcome")
+    rows = rows.withColumn("norm", F.sha2(F.concat_ws("\u0001", "namespace", T.normalized(F.col("content"))), 256))
     known = memory.select("id", F.col("superseded_at").isNull().alias("known_live"))
     have = live(memory).select(F.sha2(F.concat_ws("\u0001", "namespace", T.normalized(F.col("content"))), 256).alias("norm")).distinct().withColumn("have", F.lit(True))
     rows = rows.join(known, "id", "left").join(have, "norm", "left")
@@ -119,10 +128,12 @@ def outcomes(batch: DataFrame, memory: DataFrame, now: Column, allow_tombstones:
     usable = F.col("reject").isNull() & F.col("known_live").isNull() & ~refused
     order = F.struct("batch_no", "line_no")
     # A row can be added only if no earlier usable row has its id; of those, only the first of a content is, unless it is there.
-    by_id = Window.partitionBy("id")
-    rows = rows.withColumn("usable", usable).withColumn("ord", order).withColumn("first_of_id", F.min(F.when(F.col("usable"), F.col("ord"))).over(by_id))
-    entering = F.col("usable") & (F.col("ord") == F.col("first_of_id"))
-    rows = rows.withColumn("entering", entering).withColumn("first_of_norm", F.min(F.when(F.col("entering") & ~F.col("dead"), F.col("ord"))).over(Window.partitionBy("norm")))
+    # The minima are combined map-side, so that an id or a content of a third of all rows is gathered nowhere.
+    rows = rows.withColumn("usable", usable).withColumn("ord", order)
+    firsts = rows.filter("usable").groupBy("id").agg(F.min("ord").alias("first_of_id"))
+    rows = rows.join(firsts, "id", "left").withColumn("entering", F.coalesce(F.col("usable") & (F.col("ord") == F.col("first_of_id")), F.lit(False)))
+    norms = rows.filter(F.col("entering") & ~F.col("dead")).groupBy("norm").agg(F.min("ord").alias("first_of_norm"))
+    rows = rows.join(norms, "norm", "left")
     # An id whose first row was deduped isn't in the table, so its later rows meet the same content rules as any new row.
     tomb = F.when(F.col("known_live") & F.lit(allow_tombstones), "tombstoned").when(F.col("known_live"), "tombstone_refused").otherwise("skipped")
     outcome = (
@@ -152,21 +163,57 @@ def transcripts(spark: SparkSession, path: str, since: Column | None = None) ->
     return raw.select("file", "modified", get("$.type").alias("type"), (get("$.isMeta") == "true").alias("is_meta"), get("$.message.role").alias("role"), get("$.message.content").alias("content"))
 
 
+def newest_first(lines: DataFrame) -> DataFrame:
+    """The files of some transcript lines with their time, the newest first; ties by name."""
+    return lines.groupBy("file").agg(F.max("modified").alias("modified")).orderBy(F.col("modified").desc(), "file")
+
+
 def sniff(lines: DataFrame) -> DataFrame:
     """file, valid: a file is a transcript when any of its lines has a type."""
     return lines.groupBy("file").agg(F.coalesce(F.bool_or(F.coalesce("type", F.lit("")) != ""), F.lit(False)).alias("valid"))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def snapshot(memory: DataFrame, path: str) -> dict[str, int]:
-    """Writes a copy and counts it again; a copy whose rows or live rows differ is an error."""
+    """Writes a copy and counts it again; a copy whose rows or live rows differ is deleted and an error."""
     memory.write.mode("errorifexists").parquet(path)
     copy = memory.sparkSession.read.parquet(path)
     one, two = (d.agg(F.count("*").alias("total"), F.count_if(F.col("superseded_at").isNull()).alias("live")).first().asDict() for d in (memory, copy))
     if one != two:
+        remove(memory.sparkSession, path)
         raise RuntimeError(f"snapshot disagrees: {one} and {two}")
     return two
 
 
+def fingerprint(df: DataFrame) -> DataFrame:
+    """One row: the number of rows and a sum over hashes of whole rows, the same whatever their order."""
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+
+
+def import_legacy(spark: SparkSession, source: str, target: str, version: int = VERSION, force: bool = False, keys: dict[str, str] | None = None) -> DataFrame:
+    """Copies a table of records of any version to a new place and returns one row that proves it: the source's fingerprint before and
+    after, total and live rows of the copy.
+
+    A target that has rows is refused without force. The source is only read; if it changed meanwhile the copy is an error.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = jvm.org.apache.hadoop.fs.Path(target)
+    if not force and there.getFileSystem(conf).exists(there) and not spark.read.parquet(target).isEmpty():
+        raise FileExistsError(f"{target} has rows already")
+    before = fingerprint(spark.read.parquet(source)).first()
+    migrated(spark.read.parquet(source), version, keys).write.mode("overwrite").parquet(target)
+    spark.catalog.refreshByPath(source)
+    after = fingerprint(spark.read.parquet(source)).first()
+    if before != after:
+        raise RuntimeError("the source changed while it was copied")
+    copy = spark.read.parquet(target).agg(F.count("*").alias("total"), F.count_if(F.col("superseded_at").isNull()).alias("live"))
+    return copy.select(F.lit(before["digest"]).alias("before"), F.lit(after["digest"]).alias("after"), "total", "live")
+
+
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: total and live rows of two tables and whether they agree."""
     side = lambda d, s: d.select(F.lit(s).alias("side"), F.col("superseded_at").isNull().alias("live"))
@@ -203,7 +250,7 @@ def applied(batch: DataFrame, memory: DataFrame, now: Column, allow_tombstones:
     hit = F.col("f_n").isNotNull()
     tags = F.array_join(F.array_sort(F.array_union(T.tag_list(F.col("tags")), "f_tags")), ",")
     changed = {
-        "confidence": F.when(hit, F.greatest("confidence", "f_conf")), "signal": F.when(hit & (signal_rank(F.col("f_signal")) > signal_rank(F.col("signal"))), F.col("f_signal")), "tags": F.when(hit & (tags != ""), tags),
+        "confidence": F.when(hit, F.greatest(usable(), "f_conf")), "signal": F.when(hit & (signal_rank(F.col("f_signal")) > signal_rank(F.col("signal"))), F.col("f_signal")), "tags": F.when(hit & (tags != ""), tags),
         "retrieval_count": F.when(hit, F.col("retrieval_count") + F.col("f_n")), "superseded_at": F.coalesce("superseded_at", "d_at"), "supersede_reason": F.when(F.col("superseded_at").isNull() & F.col("d_id").isNotNull(), F.col("d_reason")),
     }
     return out.select(*(F.coalesce(changed[c], c).cast(k).alias(c) if c in changed else F.col(c) for c, k in fields.items()))

@@ -63,9 +63,20 @@ def nudges_batch(events: DataFrame, order: list[Column], every: int = 10) -> Dat
     return one("convention", F.col("at_call") >= every).unionAll(one("commit", F.col("is_commit"))).unionAll(one("failure", F.col("failed")))
 
 
-def first_failures(events: DataFrame, lessons: DataFrame) -> DataFrame:
-    """The first failure of each session of a stream that no lesson covers: deduplicated by session, then an anti join."""
-    return events.filter("failed").dropDuplicates(["session_id"]).join(lessons.select("session_id"), "session_id", "left_anti")
+def every_nth_batch(events: DataFrame, order: list[Column], every: int = 10) -> DataFrame:
+    """session_id and at_call of every `every`th success of each session: what `nudges` gives with modulo over a whole table."""
+    w = Window.partitionBy("session_id").orderBy(*order)
+    good = F.sum((~F.col("failed")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    n = events.withColumn("at_call", F.row_number().over(w).cast("long")).withColumn("good", good)
+    return n.filter(~F.col("failed") & (F.col("good") % every == 0)).select("session_id", "at_call")
+
+
+def first_failures(events: DataFrame, lessons: DataFrame, ttl: str = "7 days") -> DataFrame:
+    """The first failure of each session of a stream that no lesson covers: deduplicated by session, then an anti join. A session's state
+    goes when the stream's time is past its failure by the time to live."""
+    rows = events.withWatermark("ts", ttl) if events.isStreaming else events
+    first = rows.filter("failed").dropDuplicatesWithinWatermark(["session_id"]) if events.isStreaming else rows.filter("failed").dropDuplicates(["session_id"])
+    return first.join(lessons.select("session_id"), "session_id", "left_anti")
 
 
 def delivery(armed: DataFrame) -> DataFrame:
@@ -74,6 +85,11 @@ def delivery(armed: DataFrame) -> DataFrame:
     return armed.groupBy("session_id").agg(F.min_by("nudge", F.struct(rank, "nudge")).alias("nudge"))
 
 
+def not_looping(events: DataFrame, flag: str = "stop_hook_active") -> DataFrame:
+    """Stop events that weren't themselves caused by a stop hook: the others get no answer, so none can go round in a loop."""
+    return events.filter(~F.coalesce(F.col(flag), F.lit(False)))
+
+
 def windowed_counts(events: DataFrame, size: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Calls and failures by tool and event-time window; rows later than the watermark are left out."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "tool_name").agg(F.count("*").alias("calls"), F.count_if("failed").alias("failures"))

@@ -291,6 +291,60 @@ def test_queue(spark):
     assert mining.queue_clear(q, now(), everything=True).count() == 0 and mining.queue_clear(q, now(), ids=["i1"]).count() == 121
 
 
+def test_missing_confidences(spark):
+    """Null, NaN and values outside 0..1 count as missing everywhere."""
+    m = rows(spark, [{"id": str(i), "confidence": c, "retrieval_count": 9, "tags": "a"} for i, c in enumerate((None, float("nan"), 7.5, -1.0, 0.9))])
+    assert values(records.promote_candidates(m).select("id")) == ["4"]
+    assert values(records.candidate_window(m, 1).select("id")) == ["4"]
+    assert values(records.with_staleness(m, spark.createDataFrame([], "source_ref string, current_hash string")).select("confidence")) == [0.9, None, None, None, None]
+    assert consolidate.merged_metadata(m, ["namespace"], ["ingestion_ts", "id"]).first()["confidence"] == 0.9
+    assert values(search.recent(m, "n").select("id")) == ["4"] and render.pack_rows(m, "n", 9).count() == 1
+
+
+def test_checkpoint_folder_is_asked_for(spark):
+    from types import SimpleNamespace as N
+
+    from factloom.session import checkpoint_dir
+
+    cluster = N(sparkContext=N(getCheckpointDir=lambda: None, master="spark://host:7077"), conf=N(get=lambda k, d: d))
+    with pytest.raises(ValueError):
+        checkpoint_dir(cluster)
+
+
+def test_index_agrees_with_a_scan(spark, tmp_path):
+    r = random.Random(3)
+    m = rows(spark, [{"content": " ".join(r.choices(["cache", "cached", "queue", "q", "x1", "xyz", "z" * 40], k=r.randint(0, 9))), "tags": r.choice([None, "q"])} for _ in range(60)] + [{"content": None, "namespace": None}])
+    path = str(tmp_path / "index")
+    search.write_index(m.filter("id < 'r3'"), path)
+    search.write_index(m.filter("id >= 'r3'"), path, append=True)
+    for q in ("cache q", "x", "zz none", "absent", "n r"):
+        assert [(a, round(b, 9)) for a, b in values(search.bm25(m, q, index_path=path))] == [(a, round(b, 9)) for a, b in values(search.bm25(m, q))]
+    plan = search.bm25(m, "cache", index_path=path)._jdf.queryExecution().toString()
+    assert "content" not in plan
+
+
+def test_cosine_pairs_against_all(spark):
+    import numpy as np
+
+    g = np.random.default_rng(4)
+    base = g.standard_normal((30, 16))
+    v = np.concatenate([base, base + 0.25 * g.standard_normal((30, 16))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    from factloom.operators import semantic
+
+    df = spark.createDataFrame([(i, "ab"[i % 2], [float(x) for x in r]) for i, r in enumerate(v)] + [(90, "a", None), (91, None, [1.0] * 16), (92, "a", [])], "id long, namespace string, embedding array<float>")
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 2 == j % 2 and v[i] @ v[j] >= 0.8}
+    got = {(r["a"], r["b"]) for r in semantic.cosine_pairs(df, 0.8, recall=0.9999).collect()}
+    assert len(want) > 15 and got == want
+
+
+def test_hot_ids_and_contents(spark):
+    """An id and a content of most rows: the outcomes are those of the sequence."""
+    b = spark.createDataFrame([(i, 1, i, "a" * 36 if i % 2 else "b" * 36, "n", "fact", "same text") for i in range(300)], "row_id long, batch_no int, line_no int, id string, namespace string, type string, content string").selectExpr("*", "cast(null as string) source_ref", "cast(null as string) tags", "'none' signal", "cast(null as double) confidence", "timestamp'2025-01-01' ingestion_ts")
+    got = {r["row_id"]: r["outcome"] for r in sync.outcomes(b, rows(spark, []), now()).collect()}
+    assert got[0] == "added" and got[1] == "deduped" and {got[i] for i in range(2, 300)} == {"skipped"}
+
+
 def test_retention(spark):
     s = spark.createDataFrame([(f"s{i}", NOW + timedelta(days=i)) for i in range(5)] + [("prerestore-1", NOW - timedelta(days=99))], "name string, mtime timestamp")
     assert values(records.retention(s, 3).select("name")) == ["s0", "s1"] and records.retention(s, 0).count() == 0
