@@ -132,7 +132,9 @@ def similar_classes(new: DataFrame, num: int, den: int, old_blocks: DataFrame, o
     met = x.join(y.hint("merge"), (F.col("key") == F.col("k")) & (near | huge) & (F.col("xa") != F.col("ya"))).select("xa", "ya").distinct().persist()
     tx = new.filter("fresh").select(F.col("ca").alias("xa"), F.col("cb").alias("xb"), F.col("toks").alias("tx"))
     ready = met.join(tx, "xa").join(old_words(met).hint("merge"), "ya")
-    return ready.select("xa", "xb", "ya", "yb", "tx", "ty").mapInArrow(_verify(num, den), "xa long, xb long, ya long, yb long").distinct()
+    out = cut(ready.select("xa", "xb", "ya", "yb", "tx", "ty").mapInArrow(_verify(num, den), "xa long, xb long, ya long, yb long").distinct())
+    met.unpersist()
+    return out
 
 
 def origin(ref: str, ts: str) -> F.Column:
@@ -165,6 +167,7 @@ def decide(rows: DataFrame, edges: DataFrame) -> DataFrame:
         cases = found if cases is None else cases.unionAll(found)
         open_, no = rest.filter("not case").drop("case"), no + 1
         if open_.isEmpty():
+            links.unpersist()
             return cases
 
 
@@ -179,6 +182,8 @@ def history_rows(memory: DataFrame) -> DataFrame:
 
 #: Rows of a block table that one range of keys holds, and the most ranges there are.
 RANGE_ROWS, MOST_BITS = 1 << 20, 12
+#: Tasks that write one range.
+SPREAD = 64
 
 
 def ranged(rows: DataFrame, column: str, bits: int) -> DataFrame:
@@ -210,14 +215,18 @@ class FingerprintStore:
         self.spark.createDataFrame(order).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/order")
         self._append(prints, 0, *bits)
         prints.unpersist()
-        del prints
-        release(self.spark)
 
     def _append(self, prints: DataFrame, number: int, print_bits: int, block_bits: int) -> None:
+        """Writes each table by its ranges, a range by several tasks, and lets go of the shuffle files of one before the next."""
+        def put(name: str, rows: DataFrame, column: str, bits: int) -> None:
+            spread = ranged(rows, column, bits).repartition("part", F.pmod(F.xxhash64(column), F.lit(SPREAD))).sortWithinPartitions("part", column)
+            spread.write.option("parquet.enable.dictionary", "false").mode("overwrite").partitionBy("part").parquet(f"{self.path}/{name}/batch={number}")
+
         fresh = prints.filter("fresh").select("ca", "cb", "n", "r", "f1", "f2", "toks")
-        ranged(fresh, "ca", print_bits).repartition("part").write.option("parquet.enable.dictionary", "false").mode("overwrite").partitionBy("part").parquet(f"{self.path}/prints/batch={number}")
-        table = blocks(fresh.withColumn("fresh", F.lit(True)), self.num, self.den)
-        ranged(table, "key", block_bits).repartition("part", F.pmod("key", F.lit(8))).sortWithinPartitions("part", "key").write.option("parquet.enable.dictionary", "false").mode("overwrite").partitionBy("part").parquet(f"{self.path}/blocks/batch={number}")
+        put("prints", fresh, "ca", print_bits)
+        release(self.spark)
+        put("blocks", blocks(fresh.withColumn("fresh", F.lit(True)), self.num, self.den), "key", block_bits)
+        release(self.spark)
         prints.filter("ref is not null").select("ref").distinct().write.mode("overwrite").parquet(f"{self.path}/refs/batch={number}")
 
     def _table(self, name: str, schema: str, parts: list[int] | None = None) -> DataFrame:
@@ -234,12 +243,23 @@ class FingerprintStore:
         A row is a case when it is similar to one accepted before, in the store or in these rows, or has its source and time.
         """
         checkpoint_dir(self.spark)
-        num, den = self.num, self.den
         order = self.spark.read.parquet(f"{self.path}/order").first()
-        print_bits, block_bits = order["print_bits"], order["block_bits"]
+        bits = order["print_bits"], order["block_bits"]
         rows = fingerprints(batch_rows(batch), np.frombuffer(order["counts"], dtype=np.int64), self.common).persist()
+        # Frames of a step go out of reach with it, so that its shuffle files can go.
+        marked = self._against_history(rows, number, *bits)
+        release(self.spark)
+        cases = self._among_themselves(rows, marked)
+        release(self.spark)
+        # Of the rows that are no cases one of each class is stored: a second one would be a case.
+        self._append(rows.join(cases.hint("merge"), "row_id", "left_anti").withColumn("fresh", F.col("n").isNotNull()), number, *bits)
+        rows.unpersist()
+        return cases
+
+    def _against_history(self, rows: DataFrame, number: int, print_bits: int, block_bits: int) -> DataFrame:
+        """row_id, ord, class, ref and whether what is stored makes the row a case."""
         new = rows.filter("n is not null")
-        mine = blocks(new, num, den).select("key").persist()
+        mine, classes = blocks(new, self.num, self.den).select("key").persist(), new.select("ca", "cb").distinct().persist()
         stored = "key long, ca long, f1 long, f2 long, batch int, part int"
         old = self._table("blocks", stored, self._parts(mine, "key", block_bits)).filter(F.col("batch") < number)
         near = kept_by(old.select("key", "ca", "f1", "f2"), "key", membership(mine, "key"))
@@ -249,25 +269,25 @@ class FingerprintStore:
             prints = self._table("prints", words, self._parts(met.select(F.col("ya").alias("ca")), "ca", print_bits)).filter(F.col("batch") < number)
             return kept_by(prints.select("ca", "cb", "toks"), "ca", membership(met, "ya")).select(F.col("ca").alias("ya"), F.col("cb").alias("yb"), F.col("toks").alias("ty")).distinct()
 
-        against = similar_classes(new, num, den, near, stored_words).select(F.col("xa").alias("ca"), F.col("xb").alias("cb"))
-        classes = new.select("ca", "cb").distinct().persist()
+        against = similar_classes(new, self.num, self.den, near, stored_words).select(F.col("xa").alias("ca"), F.col("xb").alias("cb"))
         same = self._table("prints", words, self._parts(classes, "ca", print_bits)).filter(F.col("batch") < number).select("ca", "cb")
         known = against.unionAll(classes.join(kept_by(same, "ca", membership(classes, "ca")).hint("merge"), ["ca", "cb"], "left_semi")).distinct().withColumn("k", F.lit(True))
         refs = self._table("refs", "ref struct<r:string,t:timestamp>, batch int").filter(F.col("batch") < number)
         wanted = rows.filter("ref is not null").select(F.xxhash64("ref").alias("h"), "ref")
         had = kept_by(refs.select(F.xxhash64("ref").alias("h"), "ref"), "h", membership(wanted, "h")).select("ref").distinct().withColumn("s", F.lit(True))
         marked = rows.select("row_id", "ord", "ca", "cb", "ref").join(known, ["ca", "cb"], "left").join(had.hint("merge"), "ref", "left")
-        marked = cut(marked.select("row_id", "ord", "ca", "cb", "ref", (F.col("k").isNotNull() | F.col("s").isNotNull()).alias("case")), free=True)
-        # Among themselves the rows meet over their own blocks. Cases of the history can't make others cases.
-        left = marked.filter("not case").drop("case")
-        own = lambda met: new.filter("fresh").select(F.col("ca").alias("ya"), F.col("cb").alias("yb"), F.col("toks").alias("ty"))  # noqa: E731, ARG005
-        edges = similar_classes(new, num, den, blocks(new, num, den), own)
-        cases = cut(marked.filter("case").select("row_id").unionAll(decide(left, edges)))
-        # Of the rows that are no cases one of each class is stored.
-        accepted = rows.join(cases.hint("merge"), "row_id", "left_anti").withColumn("fresh", F.col("n").isNotNull())
-        self._append(accepted, number, print_bits, block_bits)
-        rows.unpersist()
-        return cases
+        out = cut(marked.select("row_id", "ord", "ca", "cb", "ref", (F.col("k").isNotNull() | F.col("s").isNotNull()).alias("case")))
+        mine.unpersist()
+        classes.unpersist()
+        return out
+
+    def _among_themselves(self, rows: DataFrame, marked: DataFrame) -> DataFrame:
+        """row_id of all cases. Rows meet over their own blocks; cases of the history can't make others cases."""
+        open_ = marked.filter("not case").drop("case")
+        new = rows.filter("fresh").join(open_.select("ca", "cb").distinct(), ["ca", "cb"], "left_semi")
+        own = lambda met: new.select(F.col("ca").alias("ya"), F.col("cb").alias("yb"), F.col("toks").alias("ty"))  # noqa: E731, ARG005
+        edges = similar_classes(new, self.num, self.den, blocks(new, self.num, self.den), own)
+        return cut(marked.filter("case").select("row_id").unionAll(decide(open_, edges)))
 
     def drop(self) -> None:
         """Deletes the folder."""

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
-from factloom.llm.words import COMMON, KEPT, SKETCH_BITS, WordHasher, WordSets, cut, exact, halves, kept_by, membership, packed, sketch, slots
+from factloom.llm.words import COMMON, KEPT, SKETCH_BITS, WordHasher, WordSets, cut, exact, halves, kept_by, membership, packed, release, sketch, slots
 
 #: From so many sets on a group's union stands for several sets.
 UNION_OF = 2
@@ -263,7 +263,8 @@ def class_pairs(feats: DataFrame, threshold: float) -> DataFrame:
     num, den = exact(threshold)
     groups = _groups(feats)
     # The rows by which sets and groups meet are the most by far; their shuffle files go before the members travel.
-    opened = cut(_met(groups, num, den).filter("opened").select("g", "h").distinct(), free=True)
+    opened = cut(_met(groups, num, den).filter("opened").select("g", "h").distinct())
+    release(groups.sparkSession)
     ready = opened.join(groups.select("g", "members"), "g").select("h", "members").join(groups.select(F.col("g").alias("h"), F.col("members").alias("others")), "h").select("members", "others")
     schema = "xa long, xb long, ya long, yb long"
     across = ready.mapInArrow(_similar(num, den), schema)
