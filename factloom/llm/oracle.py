@@ -8,6 +8,12 @@ P1 = f"""WITH w AS (SELECT id, namespace, {WORDS('content')} AS s FROM memory WH
 p AS (SELECT x.id AS id_a, y.id AS id_b, len(list_intersect(x.d, y.d)) AS i, len(x.d) + len(y.d) AS n FROM u x JOIN u y ON x.namespace = y.namespace AND x.id < y.id AND x.s <> y.s AND 10 * least(len(x.d), len(y.d)) >= 7 * greatest(len(x.d), len(y.d)))
 SELECT id_a, id_b FROM p WHERE 10 * i >= 7 * (n - i)"""
 
+P1_GROUPS = f"""WITH RECURSIVE w AS (SELECT id, namespace, list_sort(list_distinct({WORDS('content')})) AS d FROM memory WHERE superseded_at IS NULL),
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(id)) AS k, namespace, d, min(id) AS first FROM w WHERE len(d) > 0 GROUP BY namespace, d),
+l AS MATERIALIZED (SELECT x.k AS x, y.k AS y FROM c x JOIN c y ON x.namespace = y.namespace AND x.k <> y.k AND 10 * least(len(x.d), len(y.d)) >= 7 * greatest(len(x.d), len(y.d)) AND 10 * len(list_intersect(x.d, y.d)) >= 7 * (len(x.d) + len(y.d) - len(list_intersect(x.d, y.d)))),
+r(k, o) AS (SELECT k, k FROM c UNION SELECT l.y, r.o FROM r JOIN l ON l.x = r.k), g AS (SELECT r.k, min(c.first) AS group_id FROM r JOIN c ON r.o = c.k GROUP BY r.k), n AS (SELECT x, count(*) AS links FROM l GROUP BY x)
+SELECT w.id, g.group_id, coalesce(n.links, 0) AS links FROM w JOIN c ON w.namespace = c.namespace AND w.d = c.d JOIN g ON c.k = g.k LEFT JOIN n ON c.k = n.x"""
+
 P2 = """WITH r AS (SELECT namespace, id, CASE WHEN confidence BETWEEN 0 AND 1 AND NOT isnan(confidence) THEN confidence END AS c, last_retrieved FROM memory WHERE superseded_at IS NULL),
 n AS (SELECT namespace, id, row_number() OVER (PARTITION BY namespace ORDER BY c DESC NULLS LAST, last_retrieved DESC NULLS LAST, id) AS rank_no FROM r) SELECT namespace, rank_no::INTEGER AS rank_no, id FROM n WHERE rank_no <= 5"""
 
@@ -51,4 +57,4 @@ SELECT t.source, target_share, max_repeats, coalesce(n, 0) AS available, 0::BIGI
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_kept": P3_KEPT, "p4_found": P4, "p4_last_batch": P4 + " AND row_id IN (SELECT row_id FROM memory_batch WHERE batch_no = (SELECT max(batch_no) FROM memory_batch))", "p5_found": P5, "p6_promises": P6_PROMISES, "p7_promises": P7_PROMISES, "p8_found": P8}
+    return {"p1_found": P1, "p1_groups": P1_GROUPS, "p2_found": P2, "p3_found": P3, "p3_kept": P3_KEPT, "p4_found": P4, "p4_last_batch": P4 + " AND row_id IN (SELECT row_id FROM memory_batch WHERE batch_no = (SELECT max(batch_no) FROM memory_batch))", "p5_found": P5, "p5_gap_agreement": "SELECT true AS precise, true AS complete", "p6_promises": P6_PROMISES, "p7_promises": P7_PROMISES, "p8_found": P8}

@@ -16,7 +16,7 @@ from factloom.llm.near_duplicates import matrix_report, near_duplicate_groups, n
 from factloom.llm.oracle import oracle_sql
 from factloom.llm.paragraph_bands import paragraph_clusters
 from factloom.llm.packing import containers, unused_space
-from factloom.llm.sessions_by_gap import gap_sessions
+from factloom.llm.sessions_by_gap import gap_sessions, scores
 from factloom.llm.shared_spans import shared_spans
 from factloom.llm.top_n import top_records
 
@@ -94,6 +94,16 @@ def p5_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gap_sessions(_t(spark, sf_dir, "message"))
 
 
+def p5_gap_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the sessions by time alone are the known ones: pair precision and recall of 0.9 or more."""
+    one = scores(_t(spark, sf_dir, "message"))
+    return one.select((F.col("precision") >= 0.9).alias("precise"), (F.col("recall") >= 0.9).alias("complete"))
+
+
+def p5_gap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(_t(spark, sf_dir, "message"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(_t(spark, sf_dir, "documents"))
 
@@ -103,7 +113,7 @@ def p8_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_groups, p1_matrix, p2_found, p3_found, p3_kept, p4_found, p4_last_batch, p5_found, p5_gap_sessions, p6_containers, p6_unused, p6_promises, p7_mix, p7_shares, p7_promises, p8_found, p8_paragraphs]
+    found = [p1_found, p1_groups, p1_matrix, p2_found, p3_found, p3_kept, p4_found, p4_last_batch, p5_found, p5_gap_sessions, p5_gap_scores, p5_gap_agreement, p6_containers, p6_unused, p6_promises, p7_mix, p7_shares, p7_promises, p8_found, p8_paragraphs]
     return {f.__name__: f for f in found}
 
 

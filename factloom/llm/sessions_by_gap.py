@@ -51,19 +51,51 @@ def calibrated_gap(rows: DataFrame, channel: str, ts: str, session: str) -> floa
     return best
 
 
+def considered(message: DataFrame, channel: str = "project_folder", ts: str = "sent_ts", labelled: str = "session_id") -> DataFrame:
+    """The rows that can be in a session: channel, at, role, message_id and known, the session they are known to be of."""
+    rows = message.filter(~F.coalesce("is_meta", F.lit(False))).select(
+        F.col(channel).alias("channel"), F.coalesce(ts, "stored_ts").alias("at"), "message_id", speaker(F.col("role"), F.col("type"), F.col("tool_use_id")).alias("role"), F.col(labelled).alias("known"), F.xxhash64("content", "tool_use_id").alias("what"),
+    ).filter(F.col("channel").isNotNull() & F.col("at").isNotNull() & F.col("role").isin("user", "assistant"))
+    return rows.groupBy("channel", "at", "role", "what").agg(F.min("message_id").alias("message_id"), F.min_by("known", "message_id").alias("known")).drop("what")
+
+
+def scores(message: DataFrame, gap: float | None = None) -> DataFrame:
+    """One row: how the sessions by gap agree with the known ones, over pairs of rows: pairs of one session found, pairs of one known
+    session that has a row of either speaker, pairs that are both, and so precision and recall; and the known sessions that come out whole.
+
+    Rows that don't come out are alone. Pairs are counted by the sizes of sessions, never formed.
+    """
+    rows = considered(message).persist()
+    answered = rows.groupBy("known").agg(F.count_distinct("role").alias("roles")).filter("known is not null and roles = 2").select("known")
+    rows = rows.join(answered.hint("merge"), "known")
+    placed = rows.select("message_id", "known").join(gap_sessions(message, gap).select("message_id", "channel", "session_start").hint("merge"), "message_id", "left")
+    pairs = lambda n: F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0)).cast("long")
+    out = F.col("session_start").isNotNull()
+    cell = placed.groupBy("known", "channel", "session_start").agg(F.count("*").alias("n")).persist()
+    by_found = cell.filter(out).groupBy("channel", "session_start").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
+    by_known = cell.groupBy("known").agg(F.sum("n").alias("n"))
+    # A known session is whole when it and a found one are the same rows.
+    same = cell.filter(out).join(by_found.withColumnRenamed("n", "nf"), ["channel", "session_start"]).join(by_known.withColumnRenamed("n", "nk"), "known").filter("n = nf and n = nk")
+    parts = [by_found.agg(pairs(F.col("n")).alias("x")), by_known.agg(pairs(F.col("n")).alias("x")), cell.filter(out).agg(pairs(F.col("n")).alias("x")), by_known.agg(F.count("*").alias("x")), same.agg(F.count("*").alias("x"))]
+    names = ["pairs_found", "pairs_known", "pairs_both", "sessions_known", "sessions_whole"]
+    long = parts[0].select(F.lit(names[0]).alias("k"), "x")
+    for name, p in zip(names[1:], parts[1:]):
+        long = long.unionAll(p.select(F.lit(name).alias("k"), "x"))
+    one = long.agg(*(F.max(F.when(F.col("k") == n, F.col("x"))).alias(n) for n in names))
+    share = lambda of: F.round(F.col("pairs_both") / F.greatest(F.col(of), F.lit(1)), 4)
+    return one.withColumn("precision", share("pairs_found")).withColumn("recall", share("pairs_known"))
+
+
 def gap_sessions(message: DataFrame, gap: float | None = None, channel: str = "project_folder", ts: str = "sent_ts", labelled: str = "session_id") -> DataFrame:
     """channel, session_start, turn_no, message_id and role of the sessions of each channel that have replies.
 
     Rows are put in order of time (stored_ts where sent_ts is missing; rows without either are left out), a gap longer than
     `gap` seconds begins a session, and a gap of None is calibrated on the rows whose session is known. Roles are read or
     inferred by `speaker`; rows without a role, system rows, and meta rows are left out, as are later deliveries of a row with
-    equal channel, time, role and content. A session comes out when the user's rows are answered: the user speaks first and a
-    row of the assistant follows somewhere. Rows without a channel belong to no session.
+    equal channel, time, role and content. A session comes out when the user is answered: a row of the assistant follows one of
+    the user's. Rows without a channel belong to no session.
     """
-    rows = message.filter(~F.coalesce("is_meta", F.lit(False))).select(
-        F.col(channel).alias("channel"), F.coalesce(ts, "stored_ts").alias("at"), "message_id", speaker(F.col("role"), F.col("type"), F.col("tool_use_id")).alias("role"), F.col(labelled).alias("known"), F.xxhash64("content", "tool_use_id").alias("what"),
-    ).filter(F.col("channel").isNotNull() & F.col("at").isNotNull() & F.col("role").isin("user", "assistant"))
-    rows = rows.groupBy("channel", "at", "role", "what").agg(F.min("message_id").alias("message_id"), F.min_by("known", "message_id").alias("known")).drop("what").persist()
+    rows = considered(message, channel, ts, labelled).persist()
     if gap is None:
         gap = calibrated_gap(rows, "channel", "at", "known")
     placed = with_previous(rows, "channel", "at")
@@ -79,6 +111,6 @@ def gap_sessions(message: DataFrame, gap: float | None = None, channel: str = "p
     sizes = whole.groupBy("channel", "session_start", "span").agg(F.count("*").alias("n"))
     base = sizes.withColumn("base", F.sum("n").over(Window.partitionBy("channel", "session_start").orderBy("span")) - F.col("n")).drop("n")
     key = F.struct("at", "message_id")
-    replied = whole.groupBy("channel", "session_start").agg(F.min_by("role", key).alias("first"), F.max(F.when(F.col("role") == "assistant", F.lit(1)).otherwise(0)).alias("answers")).filter("first = 'user' and answers = 1").select("channel", "session_start")
+    replied = whole.groupBy("channel", "session_start").agg(F.min(F.when(F.col("role") == "user", key)).alias("asked"), F.max(F.when(F.col("role") == "assistant", key)).alias("answered")).filter("asked < answered").select("channel", "session_start")
     out = inner.join(base, ["channel", "session_start", "span"]).join(replied, ["channel", "session_start"])
     return out.select("channel", "session_start", (F.col("nth") + F.col("base")).cast("int").alias("turn_no"), "message_id", "role")

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
-from factloom.llm.sessions_by_gap import calibrated_gap, gap_sessions
+from factloom.llm.sessions_by_gap import calibrated_gap, gap_sessions, scores
 
 SCHEMA = "session_id string, project_folder string, message_id long, type string, role string, content string, tool_use_id string, is_meta boolean, sent_ts timestamp, stored_ts timestamp"
 
@@ -54,3 +54,12 @@ def test_whole_table(spark, data):
 
     got = queries()["p5_gap_sessions"](spark, data)
     assert got.count() > 0 and got.groupBy("channel", "session_start").count().count() > 1
+
+
+def test_scores(spark):
+    """Found sessions that are the known ones score 1; a gap too long joins them, one too short cuts them."""
+    df = spark.createDataFrame(made(3)[0], SCHEMA)
+    good, long, short = (scores(df, g).first() for g in (1800.0, 1e9, 20.0))
+    assert good["precision"] == good["recall"] == 1.0 and good["sessions_whole"] == good["sessions_known"] > 30
+    assert long["precision"] < 0.5 and short["recall"] < 0.9 and short["precision"] == 1.0
+    assert scores(df.limit(0)).first()["recall"] == 0.0
