@@ -46,6 +46,16 @@ def merged_metadata(rows: DataFrame, group: list[str], order: list[str]) -> Data
     )
 
 
+def lexical_classes(rows: DataFrame) -> DataFrame:
+    """namespace, id, class_id: rows of one namespace with the same lexical tokens are one class, named by its smallest id. Rows without
+    tokens are in none; a null namespace is a namespace."""
+    keyed = rows.select("namespace", "id", T.lexical_tokens(F.col("content")).alias("toks")).filter(F.size("toks") > 0).select("namespace", "id", F.sha2(F.array_join(F.array_sort("toks"), " "), 256).alias("t"))
+    named = keyed.groupBy("namespace", "t").agg(F.min("id").alias("class_id"))
+    # The class of a third of all rows is one row here; adaptive skew handling splits its members.
+    k, c = keyed.alias("k"), named.alias("c")
+    return k.join(c.hint("merge"), F.col("k.namespace").eqNullSafe(F.col("c.namespace")) & (F.col("k.t") == F.col("c.t"))).select("k.namespace", "k.id", "c.class_id")
+
+
 def lexical_pairs(rows: DataFrame, threshold: float = fixed.CLUSTER_JACCARD) -> DataFrame:
     """Pairs (namespace, a, b, sim) of rows of one namespace whose lexical tokens reach a Jaccard similarity, a before b.
 

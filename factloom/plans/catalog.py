@@ -479,10 +479,18 @@ def candidate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.candidate_window(memory(spark, sf_dir), 20).select("id", "place")
 
 
-@query(f"""WITH s AS (SELECT namespace, id, {Q.lexical('content')} AS toks FROM memory WHERE superseded_at IS NULL), p AS (SELECT x.namespace, x.id AS a, y.id AS b, len(list_intersect(x.toks, y.toks)) AS i, len(x.toks) AS n, len(y.toks) AS m FROM s x JOIN s y ON x.namespace = y.namespace AND x.id < y.id AND len(x.toks) > 0 AND least(len(x.toks), len(y.toks)) >= 0.59 * greatest(len(x.toks), len(y.toks)))
+@query(f"""WITH s AS (SELECT namespace, toks, min(id) AS id FROM (SELECT namespace, id, {Q.lexical('content')} AS toks FROM memory WHERE superseded_at IS NULL) WHERE len(toks) > 0 GROUP BY namespace, toks), p AS (SELECT x.namespace, x.id AS a, y.id AS b, len(list_intersect(x.toks, y.toks)) AS i, len(x.toks) AS n, len(y.toks) AS m FROM s x JOIN s y ON x.namespace = y.namespace AND x.id < y.id AND least(len(x.toks), len(y.toks)) >= 0.59 * greatest(len(x.toks), len(y.toks)))
 SELECT namespace, a, b, round(i / (n + m - i), 6) AS sim FROM p WHERE i / (n + m - i) >= 0.6""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consolidate.lexical_pairs(records.live(memory(spark, sf_dir))).select("namespace", "a", "b", F.round("sim", 6).alias("sim"))
+    """Pairs of classes of equal tokens, each named by its smallest id; jaccard_classes says which rows a class holds."""
+    rows = records.live(memory(spark, sf_dir))
+    named = consolidate.lexical_classes(rows).select(F.col("class_id").alias("id")).distinct()
+    return consolidate.lexical_pairs(rows.join(named, "id", "left_semi")).select("namespace", "a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query(f"SELECT namespace, id, min(id) OVER (PARTITION BY namespace, toks) AS class_id FROM (SELECT namespace, id, {Q.lexical('content')} AS toks FROM memory WHERE superseded_at IS NULL) WHERE len(toks) > 0")
+def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consolidate.lexical_classes(records.live(memory(spark, sf_dir)))
 
 
 @query(f"""WITH k AS (SELECT namespace, min(id) AS keeper FROM memory WHERE superseded_at IS NULL GROUP BY namespace), j AS (SELECT m.id AS member, c.content AS kc, m.content AS mc FROM memory m JOIN k ON m.namespace = k.namespace JOIN memory c ON c.id = k.keeper WHERE m.superseded_at IS NULL AND m.id <> k.keeper)
@@ -652,13 +660,6 @@ def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "tool_usage").select(mining.error_type(F.col("error_message")).alias("error_type")).groupBy("error_type").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH e AS (SELECT tool_name, error_message, completed_at, logged_at, session_id, {Q.error_type('error_message')} AS error_type FROM tool_usage), r AS (SELECT *, row_number() OVER (PARTITION BY error_type, tool_name ORDER BY completed_at NULLS FIRST, logged_at NULLS FIRST, error_message, session_id NULLS FIRST) AS nth FROM e WHERE error_type IS NOT NULL AND tool_name IS NOT NULL)
-SELECT error_type, tool_name, count(*) AS n, array_to_string(list(substr(error_message, 1, 200) ORDER BY nth) FILTER (nth <= 3), ' | ') AS samples, CASE WHEN count(*) >= 5 THEN 0.90 WHEN count(*) >= 3 THEN 0.85 ELSE 0.70 END::DOUBLE AS priority FROM r GROUP BY error_type, tool_name HAVING count(*) >= 2""")
-def error_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t(spark, sf_dir, "tool_usage").filter("tool_name is not null")
-    return mining.error_patterns(e, "tool_name", ["completed_at", "logged_at", "error_message", "session_id"], "error_message").select("error_type", "tool_name", "n", "samples", "priority")
-
-
 @query(Q.FAILURES + f"SELECT {Q.error_type('text')} AS error_type, count(*) AS n FROM f WHERE kind = 'failure' GROUP BY 1")
 def transcript_error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = mining.failures(t(spark, sf_dir, "message")).filter("kind = 'failure'")
@@ -667,14 +668,16 @@ def transcript_error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(Q.FAILURES + f""", e AS (SELECT *, {Q.error_type('text')} AS error_type FROM f WHERE kind = 'failure'), r AS (SELECT *, row_number() OVER (PARTITION BY error_type, tool_name ORDER BY session_id, seq NULLS FIRST, tool_use_id) AS nth FROM e WHERE error_type IS NOT NULL)
 SELECT error_type, tool_name, count(*) AS n, array_to_string(list(substr(text, 1, 200) ORDER BY nth) FILTER (nth <= 3), ' | ') AS samples, CASE WHEN count(*) >= 5 THEN 0.90 WHEN count(*) >= 3 THEN 0.85 ELSE 0.70 END::DOUBLE AS priority FROM r GROUP BY error_type, tool_name""")
-def transcript_error_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def error_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = mining.failures(t(spark, sf_dir, "message")).filter("kind = 'failure'")
     return mining.error_patterns(f, "tool_name", ["session_id", "seq", "tool_use_id"], min_count=1).select("error_type", "tool_name", "n", "samples", "priority")
 
 
-@query("SELECT item_id, message FROM correction_item WHERE trim(coalesce(patterns, '')) = '' ORDER BY item_id LIMIT 10")
+@query(f"SELECT item_id, message FROM ({Q.correction_classes()}) JOIN correction_item USING (item_id) WHERE kind IS NULL ORDER BY item_id LIMIT 50")
 def unmatched_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.unmatched_sample(t(spark, sf_dir, "correction_item"), 10)
+    """The first items whose message is no correction."""
+    items = t(spark, sf_dir, "correction_item").withColumn("patterns", mining.classify_correction(F.col("message"))["kind"])
+    return mining.unmatched_sample(items, 50)
 
 
 @query(Q.USER_MESSAGES + f", k AS (SELECT *, {Q.collapse_key('text')} AS key FROM u) SELECT project_folder, key, count(*) AS occurrences FROM k GROUP BY project_folder, key")

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "factloom.shipped"
 
@@ -36,3 +36,12 @@ def checkpoint_dir(spark: SparkSession) -> None:
         if named is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder; they are kept while that is done, because writing takes a second pass."""
+    checkpoint_dir(df.sparkSession)
+    held = df.persist()
+    out = held.checkpoint()
+    held.unpersist()
+    return out
