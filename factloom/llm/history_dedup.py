@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.words import COMMON, KEPT, SKETCH_BITS, WordHasher, WordSets, cut, exact, kept_by, membership, packed, release, sketch, slots
+from factloom.llm.words import COMMON, KEPT, SKETCH_BITS, WordHasher, WordSets, cut, exact, kept_by, mark, membership, packed, release, sketch, slots
 from factloom.session import checkpoint_dir
 
 FINGERPRINT = "ca long, cb long, n int, r int, f1 long, f2 long, toks binary, fresh boolean"
@@ -222,11 +222,11 @@ class FingerprintStore:
             spread = ranged(rows, column, bits).repartition("part", F.pmod(F.xxhash64(column), F.lit(SPREAD))).sortWithinPartitions("part", column)
             spread.write.option("parquet.enable.dictionary", "false").mode("overwrite").partitionBy("part").parquet(f"{self.path}/{name}/batch={number}")
 
-        fresh = prints.filter("fresh").select("ca", "cb", "n", "r", "f1", "f2", "toks")
+        since, fresh = mark(self.spark), prints.filter("fresh").select("ca", "cb", "n", "r", "f1", "f2", "toks")
         put("prints", fresh, "ca", print_bits)
-        release(self.spark)
+        release(self.spark, since)
         put("blocks", blocks(fresh.withColumn("fresh", F.lit(True)), self.num, self.den), "key", block_bits)
-        release(self.spark)
+        release(self.spark, since)
         prints.filter("ref is not null").select("ref").distinct().write.mode("overwrite").parquet(f"{self.path}/refs/batch={number}")
 
     def _table(self, name: str, schema: str, parts: list[int] | None = None) -> DataFrame:
@@ -247,10 +247,11 @@ class FingerprintStore:
         bits = order["print_bits"], order["block_bits"]
         rows = fingerprints(batch_rows(batch), np.frombuffer(order["counts"], dtype=np.int64), self.common).persist()
         # Frames of a step go out of reach with it, so that its shuffle files can go.
+        since = mark(self.spark)
         marked = self._against_history(rows, number, *bits)
-        release(self.spark)
+        release(self.spark, since)
         cases = self._among_themselves(rows, marked)
-        release(self.spark)
+        release(self.spark, since)
         # Of the rows that are no cases one of each class is stored: a second one would be a case.
         self._append(rows.join(cases.hint("merge"), "row_id", "left_anti").withColumn("fresh", F.col("n").isNotNull()), number, *bits)
         rows.unpersist()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
-from factloom.llm.near_duplicates import class_pairs, columns_of, groups_of
+from factloom.llm.near_duplicates import class_pairs, columns_of, groups_of, members_of
 from factloom.llm.words import KEPT, WordHasher, exact, halves, packed, signed, words
 
 PARAGRAPH = re.compile(r"[^\r\n]+")
@@ -126,7 +126,7 @@ def similar_paragraphs(classes: DataFrame, threshold: float, hot_bucket: int = H
     if hot.isEmpty():
         return found
     crowd = one.join(hot.hint("merge"), ["ca", "cb"], "left_semi").withColumn("fresh", F.lit(True))
-    return found.unionAll(class_pairs(crowd, threshold)).distinct()
+    return found.unionAll(class_pairs(members_of(crowd).persist(), threshold)).distinct()
 
 
 def paragraph_clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.99, hot_bucket: int = HOT_BUCKET) -> DataFrame:
