@@ -29,6 +29,8 @@ from factloom.llm.words import COMMON, KEPT, SKETCH_BITS, WordHasher, WordSets,
 from factloom.session import checkpoint_dir
 
 FINGERPRINT = "ca long, cb long, n int, r int, f1 long, f2 long, toks binary, fresh boolean"
+#: The stored table of them.
+PRINTS = "ca long, cb long, n int, r int, f1 long, f2 long, toks binary, batch int, part int"
 #: The largest set size that the lower 16 bits of f2 tell exactly.
 MOST = 0xFFFF
 
@@ -206,28 +208,34 @@ class FingerprintStore:
 
     def create(self, memory: DataFrame) -> None:
         """Fixes the order of words, which every later batch shares, and stores the history: one pass for the order, one for the prints."""
-        rows = history_rows(memory)
+        rows, since = history_rows(memory), mark(self.spark)
         counts = word_order(rows)
         prints = fingerprints(rows, counts, self.common).persist()
         size = prints.filter("fresh").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest(F.col("n") / 3, F.lit(1.0))), F.lit(0.0)).alias("blocks")).first()
         bits = [min(MOST_BITS, max(0, (int(n) // RANGE_ROWS).bit_length())) for n in (size["n"], size["blocks"])]
         order = pd.DataFrame({"counts": [counts.astype(np.int64).tobytes()], "print_bits": [bits[0]], "block_bits": [bits[1]]})
         self.spark.createDataFrame(order).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/order")
-        self._append(prints, 0, *bits)
-        prints.unpersist()
+        self._append(prints, prints, 0, *bits)
+        release(self.spark, since)
+
+    def _append(self, prints: DataFrame, held: DataFrame, number: int, print_bits: int, block_bits: int) -> None:
+        """Writes each table by its ranges, a range by several tasks, and lets go of the shuffle files of one before the next.
 
-    def _append(self, prints: DataFrame, number: int, print_bits: int, block_bits: int) -> None:
-        """Writes each table by its ranges, a range by several tasks, and lets go of the shuffle files of one before the next."""
+        `held`, which is what prints are read from, is let go as soon as they are stored; the blocks are made from the stored ones.
+        """
         def put(name: str, rows: DataFrame, column: str, bits: int) -> None:
             spread = ranged(rows, column, bits).repartition("part", F.pmod(F.xxhash64(column), F.lit(SPREAD))).sortWithinPartitions("part", column)
+            since = mark(self.spark)
             spread.write.option("parquet.enable.dictionary", "false").mode("overwrite").partitionBy("part").parquet(f"{self.path}/{name}/batch={number}")
+            release(self.spark, since)
 
-        since, fresh = mark(self.spark), prints.filter("fresh").select("ca", "cb", "n", "r", "f1", "f2", "toks")
-        put("prints", fresh, "ca", print_bits)
-        release(self.spark, since)
-        put("blocks", blocks(fresh.withColumn("fresh", F.lit(True)), self.num, self.den), "key", block_bits)
-        release(self.spark, since)
+        since = mark(self.spark)
         prints.filter("ref is not null").select("ref").distinct().write.mode("overwrite").parquet(f"{self.path}/refs/batch={number}")
+        put("prints", prints.filter("fresh").select("ca", "cb", "n", "r", "f1", "f2", "toks"), "ca", print_bits)
+        held.unpersist(blocking=True)
+        release(self.spark, since)
+        stored = self._table("prints", PRINTS).filter(F.col("batch") == number)
+        put("blocks", blocks(stored.withColumn("fresh", F.lit(True)), self.num, self.den), "key", block_bits)
 
     def _table(self, name: str, schema: str, parts: list[int] | None = None) -> DataFrame:
         found = self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
@@ -246,15 +254,14 @@ class FingerprintStore:
         order = self.spark.read.parquet(f"{self.path}/order").first()
         bits = order["print_bits"], order["block_bits"]
         rows = fingerprints(batch_rows(batch), np.frombuffer(order["counts"], dtype=np.int64), self.common).persist()
-        # Frames of a step go out of reach with it, so that its shuffle files can go.
+        # The shuffle files of a step go with it.
         since = mark(self.spark)
         marked = self._against_history(rows, number, *bits)
         release(self.spark, since)
         cases = self._among_themselves(rows, marked)
         release(self.spark, since)
         # Of the rows that are no cases one of each class is stored: a second one would be a case.
-        self._append(rows.join(cases.hint("merge"), "row_id", "left_anti").withColumn("fresh", F.col("n").isNotNull()), number, *bits)
-        rows.unpersist()
+        self._append(rows.join(cases.hint("merge"), "row_id", "left_anti").withColumn("fresh", F.col("n").isNotNull()), rows, number, *bits)
         return cases
 
     def _against_history(self, rows: DataFrame, number: int, print_bits: int, block_bits: int) -> DataFrame:
@@ -264,14 +271,13 @@ class FingerprintStore:
         stored = "key long, ca long, f1 long, f2 long, batch int, part int"
         old = self._table("blocks", stored, self._parts(mine, "key", block_bits)).filter(F.col("batch") < number)
         near = kept_by(old.select("key", "ca", "f1", "f2"), "key", membership(mine, "key"))
-        words = "ca long, cb long, n int, r int, f1 long, f2 long, toks binary, batch int, part int"
 
         def stored_words(met: DataFrame) -> DataFrame:
-            prints = self._table("prints", words, self._parts(met.select(F.col("ya").alias("ca")), "ca", print_bits)).filter(F.col("batch") < number)
+            prints = self._table("prints", PRINTS, self._parts(met.select(F.col("ya").alias("ca")), "ca", print_bits)).filter(F.col("batch") < number)
             return kept_by(prints.select("ca", "cb", "toks"), "ca", membership(met, "ya")).select(F.col("ca").alias("ya"), F.col("cb").alias("yb"), F.col("toks").alias("ty")).distinct()
 
         against = similar_classes(new, self.num, self.den, near, stored_words).select(F.col("xa").alias("ca"), F.col("xb").alias("cb"))
-        same = self._table("prints", words, self._parts(classes, "ca", print_bits)).filter(F.col("batch") < number).select("ca", "cb")
+        same = self._table("prints", PRINTS, self._parts(classes, "ca", print_bits)).filter(F.col("batch") < number).select("ca", "cb")
         known = against.unionAll(classes.join(kept_by(same, "ca", membership(classes, "ca")).hint("merge"), ["ca", "cb"], "left_semi")).distinct().withColumn("k", F.lit(True))
         refs = self._table("refs", "ref struct<r:string,t:timestamp>, batch int").filter(F.col("batch") < number)
         wanted = rows.filter("ref is not null").select(F.xxhash64("ref").alias("h"), "ref")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import near_duplicates as N
 from factloom.llm import words
+from factloom.llm.history_dedup import FingerprintStore
 
 
 def left(spark, since: int) -> list[int]:
@@ -43,3 +44,13 @@ def test_matrix_rows_travel_once(spark, data):
     met = N._met(groups, 7, 10)
     assert met.count() and met.collect()
     assert "ReusedExchange" in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_store_leaves_no_shuffle_files(spark, data, tmp_path):
+    since = number(spark)
+    live = spark.read.parquet(f"{data}/memory.parquet").filter("superseded_at is null")
+    store = FingerprintStore(spark, str(tmp_path / "store"))
+    store.create(live)
+    assert left(spark, since) == []
+    # The blocks come from the stored fingerprints.
+    assert store._table("blocks", "key long, ca long").select("ca").distinct().count() == store._table("prints", "ca long").distinct().count()
